@@ -75,7 +75,7 @@ def autocorrelation(a: Column) -> Column:
     power = _sum(F.transform(centred, lambda v: v * v))
     return F.transform(
         _lags(F.size(a)),
-        lambda lag: _sum(F.zip_with(_tail(centred, lag), _head(centred, lag), lambda x, y: x * y)) / power,
+        lambda lag: F.try_divide(_sum(F.zip_with(_tail(centred, lag), _head(centred, lag), lambda x, y: x * y)), power),
     )
 
 
@@ -83,7 +83,7 @@ def histogram_mode(z: Column, bins: int) -> Column:
     """Centre of the fullest of equal-width bins; the mean of the centres on a tie."""
     low, high = F.array_min(z), F.array_max(z)
     width = (high - low) / bins
-    placed = F.transform(z, lambda v: F.least(F.floor((v - low) / width), F.lit(bins - 1)))
+    placed = F.transform(z, lambda v: F.least(F.floor(F.try_divide(v - low, width)), F.lit(bins - 1)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(placed, lambda p: p == b)))
     centres = F.transform(counts, lambda c, i: F.when(c == F.array_max(counts), low + width * (i + 0.5)))
     return array_mean(F.filter(centres, lambda c: c.isNotNull()))
@@ -93,7 +93,7 @@ def first_one_over_e(ac: Column) -> Column:
     """First lag where the autocorrelation falls below 1/e, interpolated; n if it never does."""
     limit = F.lit(1 / math.e)
     crossings = F.filter(
-        F.transform(_lags(F.size(ac) - 1), lambda i: F.when(F.get(ac, i + 1) < limit, i.cast("double") + (limit - F.get(ac, i)) / (F.get(ac, i + 1) - F.get(ac, i)))),
+        F.transform(_lags(F.size(ac) - 1), lambda i: F.when(F.get(ac, i + 1) < limit, i.cast("double") + F.try_divide(limit - F.get(ac, i), F.get(ac, i + 1) - F.get(ac, i)))),
         lambda v: v.isNotNull(),
     )
     return F.coalesce(F.get(crossings, 0), F.size(ac).cast("double"))
@@ -146,7 +146,7 @@ def _lag_correlation(a: Column, lag: Column) -> Column:
     mx, my = array_mean(x), array_mean(y)
     cov = _sum(F.zip_with(x, y, lambda p, q: (p - mx) * (q - my)))
     vx, vy = _sum(F.transform(x, lambda p: (p - mx) * (p - mx))), _sum(F.transform(y, lambda q: (q - my) * (q - my)))
-    return cov / F.when(vx * vy > 0, F.sqrt(vx * vy))
+    return F.try_divide(cov, F.when(vx * vy > 0, F.sqrt(vx * vy)))
 
 
 def gaussian_ami_minimum(z: Column, most: int = 40) -> Column:
@@ -188,10 +188,10 @@ def expression_features(z: Column, ac: Column, ac_diff: Column) -> dict[str, Col
         "CO_FirstMin_ac": first_minimum(ac, F.size(ac)),
         "CO_HistogramAMI_even_2_5": histogram_ami(z),
         "CO_trev_1_num": array_mean(F.transform(step, lambda d: d * d * d)),
-        "MD_hrv_classic_pnn40": F.size(F.filter(step, lambda d: F.abs(d) * 1000 > 40)) / F.size(step),
+        "MD_hrv_classic_pnn40": F.try_divide(F.size(F.filter(step, lambda d: F.abs(d) * 1000 > 40)), F.size(step)),
         "SB_BinaryStats_mean_longstretch1": longest_run(F.transform(z, lambda v: v > 0)),
         "IN_AutoMutualInfoStats_40_gaussian_fmmi": gaussian_ami_minimum(z),
-        "FC_LocalSimple_mean1_tauresrat": first_zero(ac_diff) / first_zero(ac),
+        "FC_LocalSimple_mean1_tauresrat": F.try_divide(first_zero(ac_diff), first_zero(ac)),
         "SB_BinaryStats_diff_longstretch0": longest_run(F.transform(step, lambda d: d < 0)),
         "SB_MotifThree_quantile_hh": motif_entropy(z),
         "FC_LocalSimple_mean3_stderr": F.when(F.size(forecast) > 1, array_std(forecast, 1)),
@@ -338,6 +338,11 @@ def numeric_features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         )
 
 
+def _standardised(channel: str) -> Column:
+    mean, spread = F.col(f"__m_{channel}"), F.col(f"__s_{channel}")
+    return F.when(spread.isNotNull(), F.transform(channel, lambda v: (v - mean) / spread))
+
+
 def catch22_features(
     windows: DataFrame,
     channels: Sequence[str],
@@ -354,8 +359,9 @@ def catch22_features(
         series = F.col(c)
         spread = F.when(F.size(series) >= 3, array_std(series, 1))
         mean = array_mean(series)
-        scaled = F.when(spread > 0, F.transform(series, lambda v, m=mean, s=spread: (v - m) / s))
-        out = out.withColumn(f"__z_{c}", scaled)
+        out = out.withColumns({f"__m_{c}": mean, f"__s_{c}": F.when(spread > 0, spread)})
+    for c in channels:
+        out = out.withColumn(f"__z_{c}", _standardised(c))
     for c in channels:
         z = F.col(f"__z_{c}")
         out = out.withColumns(

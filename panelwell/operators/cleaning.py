@@ -158,7 +158,9 @@ def enrollment_join(sensors: DataFrame, windows: DataFrame) -> DataFrame:
     return sensors.join(windows, "app_user_id").filter(inside).select(*sensors.columns)
 
 
-def exact_quantile(df: DataFrame, group: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:
+def exact_quantile(
+    df: DataFrame, group: Sequence[str], value: str, q: float, name: str = "quantile", max_group: int | None = None
+) -> DataFrame:
     """Linear-interpolated quantile per group, exact at any size.
 
     Equal values are counted first; running counts then locate the two neighbouring ranks.
@@ -166,7 +168,7 @@ def exact_quantile(df: DataFrame, group: Sequence[str], value: str, q: float, na
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
     ranked = ordered_columns(
-        counts, group, [F.col(value)], sums={"__cum": F.col("__c")}, totals={"__n": F.col("__c")}
+        counts, group, [F.col(value)], sums={"__cum": F.col("__c")}, totals={"__n": F.col("__c")}, max_group=max_group,
     )
     spot = (F.col("__n") - 1) * F.lit(float(q))
     low = F.floor(spot)
@@ -182,7 +184,9 @@ def exact_quantile(df: DataFrame, group: Sequence[str], value: str, q: float, na
     return ends.select(*group, result.alias(name))
 
 
-def clip_upper_quantile(sensors: DataFrame, q: float = 0.99, approximate: bool = False) -> DataFrame:
+def clip_upper_quantile(
+    sensors: DataFrame, q: float = 0.99, approximate: bool = False, max_group: int | None = None
+) -> DataFrame:
     """Caps values at the modality's quantile. One limit per modality, so the limits are broadcast.
 
     ``approximate`` uses a sketch for the limit where an exact one is not needed.
@@ -190,7 +194,7 @@ def clip_upper_quantile(sensors: DataFrame, q: float = 0.99, approximate: bool =
     if approximate:
         limits = sensors.groupBy("modality").agg(F.percentile_approx("value", q, 10_000).alias("__limit"))
     else:
-        limits = exact_quantile(sensors, ["modality"], "value", q, "__limit")
+        limits = exact_quantile(sensors, ["modality"], "value", q, "__limit", max_group)
     clipped = F.when(F.col("value").isNotNull(), F.least("value", "__limit"))
     return (
         sensors.join(F.broadcast(limits), "modality", "left")

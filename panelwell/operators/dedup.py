@@ -37,8 +37,13 @@ def answer_fingerprint(answers: DataFrame) -> DataFrame:
     return last.groupBy("survey_response_id").agg(F.sha2(F.to_json(pairs), 256).alias("fingerprint"))
 
 
-def kept_responses(responses: DataFrame, answers: DataFrame, gap_minutes: float = 10.0) -> DataFrame:
-    """Ids of the responses that stay. Two responses without answers count as equal."""
+def kept_responses(
+    responses: DataFrame, answers: DataFrame, gap_minutes: float = 10.0, max_group: int | None = None
+) -> DataFrame:
+    """Ids of the responses that stay. Two responses without answers count as equal.
+
+    ``max_group`` is a proven bound on the responses of one user, if the caller has one.
+    """
     gap = int(gap_minutes * MICROS_PER_MINUTE)
     keys = ["app_user_id"] + (["survey_id"] if "survey_id" in responses.columns else [])
     marked = (
@@ -47,15 +52,19 @@ def kept_responses(responses: DataFrame, answers: DataFrame, gap_minutes: float
         .withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
     )
     order = [F.col("t"), F.col("id")]
-    lagged = ordered_columns(marked, keys, order, lags={"__t": F.col("t"), "__f": F.col("fingerprint")})
+    lagged = ordered_columns(marked, keys, order, lags={"__t": F.col("t"), "__f": F.col("fingerprint")}, max_group=max_group)
     starts = F.col("__t").isNull() | (F.col("t") - F.col("__t") > gap) | (F.col("fingerprint") != F.col("__f"))
     runs = ordered_columns(
         lagged.withColumn("__start", F.coalesce(starts, F.lit(True)).cast("int")),
-        keys, order, sums={"__run": F.col("__start")},
+        keys, order, sums={"__run": F.col("__start")}, max_group=max_group,
     )
     run_key = [*keys, "__run"]
     # copies at the same time: only the first can be kept, so a run shrinks to its distinct times
     points = runs.groupBy(*run_key, "t").agg(F.min("id").alias("id"))
+    if max_group is not None and max_group <= FOLD_ROWS:
+        return _fold_runs(points, run_key, gap)
+    # the run sizes and the walk read the same points; keep them instead of finding them twice
+    points = cut_lineage(points)
     sizes = points.groupBy(*run_key).agg(F.count(F.lit(1)).alias("__points"))
     longest = sizes.agg(F.max("__points")).first()[0] or 0
     if longest <= FOLD_ROWS:
@@ -121,10 +130,10 @@ def _jump_runs(points: DataFrame, run_key: Sequence[str], gap: int) -> DataFrame
 
 
 def dedup_responses(
-    responses: DataFrame, answers: DataFrame, gap_minutes: float = 10.0
+    responses: DataFrame, answers: DataFrame, gap_minutes: float = 10.0, max_group: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Responses and answers without repeated submissions."""
-    kept = kept_responses(responses, answers, gap_minutes)
+    kept = kept_responses(responses, answers, gap_minutes, max_group)
     return (
         responses.join(kept, "id", "left_semi"),
         answers.join(kept.withColumnRenamed("id", "survey_response_id"), "survey_response_id", "left_semi"),

@@ -15,14 +15,14 @@ INPUT_STATS = ("mean", "std", "min", "max", "last")
 
 
 def array_mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), F.size(a))
 
 
 def array_std(a: Column, ddof: int = 0) -> Column:
     """Two passes: the mean first, then squared deviations."""
     mean = array_mean(a)
     squares = F.aggregate(F.transform(a, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v)
-    return F.sqrt(squares / (F.size(a) - ddof))
+    return F.sqrt(F.try_divide(squares, F.size(a) - ddof))
 
 
 def array_median(a: Column) -> Column:

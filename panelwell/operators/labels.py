@@ -165,10 +165,12 @@ def labels_join_responses(labels: DataFrame, responses: DataFrame) -> DataFrame:
     return labels.join(responses.select(*columns), "survey_response_id")
 
 
-def referent_window(master: DataFrame) -> DataFrame:
+def referent_window(master: DataFrame, max_group: int | None = None) -> DataFrame:
     """Adds the user's previous response time, hours since it, and the morning flag."""
     order = [F.col("record_timestamp"), F.col("survey_response_id")]
-    lagged = ordered_columns(master, ["app_user_id"], order, lags={"prev_record_timestamp": F.col("record_timestamp")})
+    lagged = ordered_columns(
+        master, ["app_user_id"], order, lags={"prev_record_timestamp": F.col("record_timestamp")}, max_group=max_group
+    )
     morning = (F.col("survey_id") == 0).cast("double") if "survey_id" in master.columns else F.lit(0.0)
     return lagged.withColumns(
         {

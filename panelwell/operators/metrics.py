@@ -26,14 +26,14 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "average_rank") -> DataFrame:
+def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "average_rank", max_group: int | None = None) -> DataFrame:
     """1-based rank of ``value`` in its group, equal values sharing the mean of their ranks.
 
     Ranks are worked out on distinct values and joined back, so neither a hot group nor a hot
     value is ordered row by row.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = ordered_columns(counts, by, [F.col(value)], sums={"__cum": F.col("__c")})
+    ranked = ordered_columns(counts, by, [F.col(value)], sums={"__cum": F.col("__c")}, max_group=max_group)
     rank = F.col("__cum") - (F.col("__c") - 1) / 2.0
     return df.join(ranked.select(*by, value, rank.alias(name)), [*by, value])
 
@@ -59,8 +59,8 @@ def score_curve(table: DataFrame, by: Sequence[str] = (), max_group: int | None
     )
 
 
-def curve_cumsums(predictions: DataFrame, by: Sequence[str] = (), **columns: str) -> DataFrame:
-    return score_curve(score_table(predictions, by, **columns), by)
+def curve_cumsums(predictions: DataFrame, by: Sequence[str] = (), max_group: int | None = None, **columns: str) -> DataFrame:
+    return score_curve(score_table(predictions, by, **columns), by, max_group)
 
 
 def curve_aggregates(min_specificity: float = MIN_SPECIFICITY) -> dict[str, Column]:
@@ -127,17 +127,17 @@ def melt_metrics(wide: DataFrame, by: Sequence[str], metrics: Sequence[str]) ->
     return wide.select(*by, F.explode(pairs).alias("__m")).select(*by, "__m.*")
 
 
-def pooled_metrics(predictions: DataFrame, min_specificity: float = MIN_SPECIFICITY) -> DataFrame:
+def pooled_metrics(predictions: DataFrame, min_specificity: float = MIN_SPECIFICITY, max_group: int | None = None) -> DataFrame:
     """Long ``(metric, value)`` over all folds pooled; no rows if a class is missing or input is empty."""
     users = predictions.select("app_user_id").distinct().agg(F.count(F.lit(1)).alias("n_users"))
-    wide = binary_metrics(score_table(predictions), (), min_specificity).withColumn("n_users", users.scalar())
+    wide = binary_metrics(score_table(predictions), (), min_specificity, max_group).withColumn("n_users", users.scalar())
     both = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n_predictions"))
     return melt_metrics(wide.filter(both), (), [*BINARY_METRICS, "n_predictions", "n_users", "n_positive"])
 
 
-def fold_breakdown(predictions: DataFrame, by: Sequence[str] = ("fold_index",)) -> DataFrame:
+def fold_breakdown(predictions: DataFrame, by: Sequence[str] = ("fold_index",), max_group: int | None = None) -> DataFrame:
     """Rows, users, positives and AUROC per fold (null with one class)."""
-    curve = score_curve(score_table(predictions, by), by)
+    curve = score_curve(score_table(predictions, by), by, max_group)
     auroc = curve.groupBy(*by).agg(
         curve_aggregates()["auroc"].alias("auroc"),
         F.sum("pos").alias("n_positive"), F.sum(F.col("pos") + F.col("neg")).alias("n_predictions"),
@@ -146,9 +146,9 @@ def fold_breakdown(predictions: DataFrame, by: Sequence[str] = ("fold_index",))
     return auroc.join(users, list(by)).select(*by, "n_predictions", "n_users", "n_positive", "auroc")
 
 
-def fold_metrics(predictions: DataFrame, by: Sequence[str] = ("fold_index",)) -> DataFrame:
+def fold_metrics(predictions: DataFrame, by: Sequence[str] = ("fold_index",), max_group: int | None = None) -> DataFrame:
     """Long metrics per fold."""
-    return melt_metrics(binary_metrics(score_table(predictions, by), by), by, BINARY_METRICS)
+    return melt_metrics(binary_metrics(score_table(predictions, by), by, max_group=max_group), by, BINARY_METRICS)
 
 
 def fold_mean_metrics(long_metrics: DataFrame) -> DataFrame:
@@ -158,9 +158,9 @@ def fold_mean_metrics(long_metrics: DataFrame) -> DataFrame:
     )
 
 
-def within_person_auroc(predictions: DataFrame, min_samples: int = 4) -> DataFrame:
+def within_person_auroc(predictions: DataFrame, min_samples: int = 4, max_group: int | None = None) -> DataFrame:
     """Mean AUROC within participants that have enough rows and both classes, and their number."""
-    per_user = score_curve(score_table(predictions, ["app_user_id"]), ["app_user_id"]).groupBy("app_user_id").agg(
+    per_user = score_curve(score_table(predictions, ["app_user_id"]), ["app_user_id"], max_group).groupBy("app_user_id").agg(
         curve_aggregates()["auroc"].alias("auroc"), F.sum(F.col("pos") + F.col("neg")).alias("n")
     )
     eligible = per_user.filter((F.col("n") >= min_samples) & F.col("auroc").isNotNull())
@@ -209,7 +209,8 @@ def with_predicted_class(predictions: DataFrame, n_classes: int = 2) -> DataFram
 
 
 def multiclass_metrics(
-    predictions: DataFrame, n_classes: int, min_specificity: float = MIN_SPECIFICITY, label: str = "y_true"
+    predictions: DataFrame, n_classes: int, min_specificity: float = MIN_SPECIFICITY, label: str = "y_true",
+    max_group: int | None = None,
 ) -> DataFrame:
     """Macro one-vs-rest metrics: every row is exploded to one row per class, then all classes go
     through the same curve. A class that is neither present nor predicted stays out of F1,
@@ -229,7 +230,7 @@ def multiclass_metrics(
         F.sum(F.when(F.col("hit"), F.col("y")).otherwise(0)).alias("hit_pos"),
         F.sum(F.when(F.col("hit"), 1 - F.col("y")).otherwise(0)).alias("hit_neg"),
     )
-    curve = score_curve(table, ["class"])
+    curve = score_curve(table, ["class"], max_group)
     stats = curve.groupBy("class").agg(
         *[c.alias(k) for k, c in curve_aggregates(min_specificity).items()],
         F.sum("hit_pos").alias("__tp"), F.sum("hit_neg").alias("__fp"),
@@ -249,7 +250,7 @@ def multiclass_metrics(
     )
 
 
-def tune_threshold(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def tune_threshold(predictions: DataFrame, by: Sequence[str] = (), max_group: int | None = None) -> DataFrame:
     """Threshold with the best balanced accuracy among 0, the midpoints of neighbouring scores
     and 1 (positive iff p ≥ threshold); the smallest of equals. Null with a single class.
 
@@ -258,8 +259,8 @@ def tune_threshold(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     score 1 only. A single distinct score has the one candidate 0.5.
     """
     table = score_table(predictions, by)
-    rising = ordered_columns(table, by, [F.col("score")], lags={"__below": F.col("score")}, position="__pos", group_size="__n")
-    curve = score_curve(rising, by)
+    rising = ordered_columns(table, by, [F.col("score")], lags={"__below": F.col("score")}, position="__pos", group_size="__n", max_group=max_group)
+    curve = score_curve(rising, by, max_group)
     single = F.col("__n") == 1
     below = F.when(F.col("__below").isNull(), F.lit(0.0)).otherwise((F.col("__below") + F.col("score")) / 2.0)
 
@@ -303,7 +304,9 @@ def degenerate_guard(metrics: DataFrame, metric_columns: Sequence[str], n_classe
     return metrics.withColumns({m: F.when(F.col(n_classes) >= 2, F.col(m)) for m in metric_columns})
 
 
-def best_so_far(metrics: DataFrame, by: Sequence[str], step: str = "step", value: str = "value") -> DataFrame:
+def best_so_far(
+    metrics: DataFrame, by: Sequence[str], step: str = "step", value: str = "value", max_group: int | None = None
+) -> DataFrame:
     """Running maximum over steps; null and NaN values do not count."""
     clean = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    return ordered_columns(metrics, by, [F.col(step)], maxima={"best": clean})
+    return ordered_columns(metrics, by, [F.col(step)], maxima={"best": clean}, max_group=max_group)

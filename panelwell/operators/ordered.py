@@ -55,18 +55,17 @@ def ordered_columns(
     including the current row, ``totals`` sums over the whole group, ``lags`` the previous
     row's value, ``maxima`` running maxima including the current row. ``order`` must end in a
     unique column (except for running sums over rows that are unique by ``order`` already).
-    ``max_group`` states a proven bound on the group size and saves the count.
+    ``max_group`` states a proven bound on the group size, for example the rows per user of a
+    base table; if it fits a task, nothing is counted.
     """
     sums, totals, lags, maxima = dict(sums or {}), dict(totals or {}), dict(lags or {}), dict(maxima or {})
     spark = df.sparkSession
     limit = group_rows(spark)
-    total = 0
-    if max_group is None:
-        max_group, total = largest_group(df, group)
-    if max_group <= limit:
+    if max_group is not None and max_group <= limit:
+        return _plain(df, group, order, position, group_size, sums, totals, lags, maxima)
+    largest, total = largest_group(df, group)
+    if largest <= limit:
         return _plain(df, group, order, position, group_size, sums, totals, lags, maxima)
-    if not total:
-        total = largest_group(df, group)[1]
     segments = max(2, math.ceil(2 * total / max(limit, 1)))
     return _segmented(df, group, order, position, group_size, sums, totals, lags, maxima, segments)
 

@@ -30,25 +30,25 @@ def eav_pivot(demographic: DataFrame, keywords: Sequence[str] = KEYWORDS) -> Dat
     return wide
 
 
-def user_index_lookup(df: DataFrame, train: DataFrame) -> DataFrame:
+def user_index_lookup(df: DataFrame, train: DataFrame, max_group: int | None = None) -> DataFrame:
     """Adds ``user_index``: train users 1..n in order of appearance, everyone else 0.
 
     The master table is in (user, time) order, so appearance order is the order of user ids.
     """
     users = train.select("app_user_id").distinct()
-    numbered = ordered_columns(users, [], [F.col("app_user_id")], position="__pos")
+    numbered = ordered_columns(users, [], [F.col("app_user_id")], position="__pos", max_group=max_group)
     index = numbered.select("app_user_id", (F.col("__pos") + 1).alias("user_index"))
     return df.join(index, "app_user_id", "left").withColumn("user_index", F.coalesce("user_index", F.lit(0).cast("bigint")))
 
 
-def age_stats(demographics: DataFrame, train_users: DataFrame) -> DataFrame:
+def age_stats(demographics: DataFrame, train_users: DataFrame, max_group: int | None = None) -> DataFrame:
     """One row: train median, mean and sample deviation of age, defaults where undefined."""
     ages = (
         demographics.join(train_users.select("app_user_id").distinct(), "app_user_id", "left_semi")
         .select(F.col("age").try_cast("double").alias("age"))
         .filter("age is not null")
     )
-    median = exact_quantile(ages.withColumn("__all", F.lit(1)), ["__all"], "age", 0.5, "age_median")
+    median = exact_quantile(ages.withColumn("__all", F.lit(1)), ["__all"], "age", 0.5, "age_median", max_group)
     moments = ages.agg(F.avg("age").alias("__m"), F.stddev_samp("age").alias("__s")).withColumn("__all", F.lit(1))
     d_median, d_mean, d_std = AGE_DEFAULTS
     return moments.join(median, "__all", "left").select(
@@ -84,12 +84,13 @@ def fit_demographics(
     train_users: DataFrame,
     genders: Sequence[str] | None = None,
     lgbt: Sequence[str] | None = None,
+    max_group: int | None = None,
 ) -> DataFrame:
     """Per user scaled age and one-hot gender and lgbt, all fitted on train users only.
 
     Category lists fix the columns; left out, they are read from the train users.
     """
-    stats = age_stats(demographics, train_users)
+    stats = age_stats(demographics, train_users, max_group)
     genders = train_categories(demographics, train_users, "gender", GENDERS[:2]) if genders is None else genders
     lgbt = train_categories(demographics, train_users, "lgbt", LGBT) if lgbt is None else lgbt
     # the statistics are a single row, taken in as scalar subqueries

@@ -217,6 +217,16 @@ def packed_history(
     )
 
 
+def _rolled(part: Column, ratio: int, n_bins: int) -> Column:
+    """Sums of ``ratio`` neighbouring base bins."""
+    if ratio == 1:
+        return part
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n_bins - 1)),
+        lambda b: F.aggregate(F.slice(part, b * ratio + 1, ratio), F.lit(0.0), lambda a, v: a + v),
+    )
+
+
 def _setting_windows(
     history: DataFrame, sampler: Sampler, modalities: Sequence[str], base: int, ts: str, keep: Sequence[str]
 ) -> DataFrame:
@@ -226,13 +236,7 @@ def _setting_windows(
     start = F.call_function("div", end, F.lit(base).cast("bigint")) - F.lit(span) - F.col("__first")
 
     def bins(name: str) -> Column:
-        part = F.slice(F.col(name), (start + 1).cast("int"), span)
-        if ratio == 1:
-            return part
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(sampler.n_bins - 1)),
-            lambda b: F.aggregate(F.slice(part, b * ratio + 1, ratio), F.lit(0.0), lambda a, v: a + v),
-        )
+        return _rolled(F.slice(F.col(name), (start + 1).cast("int"), span), ratio, sampler.n_bins)
 
     return history.select(
         *keep, from_micros(end).alias("window_end"), *[bins(f"__h_{m}").alias(m) for m in modalities]
@@ -265,28 +269,28 @@ def packed_grid(
     modalities = sorted(modalities)
     base = base_micros(samplers)
     history = packed_history(surveys, sensors, samplers, modalities, key, ts)
-    first = F.col("__first")
-
-    def setting(s: RollingSampler) -> Column:
+    # settings of one bin width end at the same bin, so they are slices of its longest window
+    longest = {s.freq_hours: s for s in sorted(samplers, key=lambda s: s.n_bins)}
+    rolled: dict[str, Column] = {}
+    for i, s in enumerate(longest.values()):
         ratio, span = hours_to_micros(s.freq_hours) // base, hours_to_micros(s.window_hours) // base
-        end = s.end_micros(F.col(ts))
-        start = F.call_function("div", end, F.lit(base).cast("bigint")) - F.lit(span) - first
-        arrays = []
+        start = F.call_function("div", s.end_micros(F.col(ts)), F.lit(base).cast("bigint")) - F.lit(span) - F.col("__first")
         for m in modalities:
             part = F.slice(F.col(f"__h_{m}"), (start + 1).cast("int"), span)
-            rolled = part if ratio == 1 else F.transform(
-                F.sequence(F.lit(0), F.lit(s.n_bins - 1)),
-                lambda b, part=part, ratio=ratio: F.aggregate(
-                    F.slice(part, b * ratio + 1, ratio), F.lit(0.0), lambda a, v: a + v
-                ),
-            )
-            arrays.append(rolled.alias(m))
-        return F.struct(
+            rolled[f"__r{i}_{m}"] = _rolled(part, ratio, s.n_bins)
+    number = {freq: i for i, freq in enumerate(longest)}
+    settings = F.array(*[
+        F.struct(
             F.lit(s.lookback_hours).alias("lookback_hours"), F.lit(s.freq_hours).alias("bin_hours"),
-            from_micros(end).alias("window_end"), *arrays,
+            from_micros(s.end_micros(F.col(ts))).alias("window_end"),
+            *[
+                F.slice(f"__r{number[s.freq_hours]}_{m}", longest[s.freq_hours].n_bins - s.n_bins + 1, s.n_bins).alias(m)
+                for m in modalities
+            ],
         )
-
-    exploded = history.select(*surveys.columns, F.explode(F.array(*[setting(s) for s in samplers])).alias("__s"))
+        for s in samplers
+    ])
+    exploded = history.withColumns(rolled).select(*surveys.columns, F.explode(settings).alias("__s"))
     return exploded.select(*surveys.columns, "__s.*")
 
 

@@ -36,6 +36,7 @@ from panelwell.operators.labels import (
     sleep_hours,
     sleep_left_join,
 )
+from panelwell.operators.ordered import largest_group
 from panelwell.operators.people import eav_pivot
 from panelwell.operators.windows import Sampler, coverage_gate
 from panelwell.session import require_utc
@@ -77,15 +78,15 @@ class Cohort:
     demographics: DataFrame | None
 
 
-def clean_sensors(tables: StudyTables, settings: CohortSettings) -> DataFrame:
+def clean_sensors(tables: StudyTables, settings: CohortSettings, max_sensors: int | None = None) -> DataFrame:
     """Preprocess, exclude, restrict to enrolment windows (from all responses), clip."""
     sensors = coerce_timestamps(preprocess(tables.sensors, settings.preprocessors, settings.study_start), ())
     sensors = exclude_users(sensors, settings.exclude)
     windows = enrollment_windows(tables.responses, settings.daily, settings.lead_days, settings.trail_days)
-    return clip_upper_quantile(enrollment_join(sensors, windows), settings.clip)
+    return clip_upper_quantile(enrollment_join(sensors, windows), settings.clip, max_group=max_sensors)
 
 
-def build_master(tables: StudyTables, settings: CohortSettings) -> DataFrame:
+def build_master(tables: StudyTables, settings: CohortSettings, max_responses: int | None = None) -> DataFrame:
     """Labels: exclude, daily, dedup, collapse, questions, rules, times, referents, sleep.
 
     The order matters: a dropped repeat must not count as the previous response.
@@ -94,21 +95,24 @@ def build_master(tables: StudyTables, settings: CohortSettings) -> DataFrame:
     sleep_questions = {54, 55} if settings.use_sleep else set()
     responses = daily_surveys(exclude_users(tables.responses, settings.exclude), settings.daily)
     answers = answers_semi_responses(tables.answers, responses)
-    responses, answers = dedup_responses(responses, answers, settings.dedup_minutes)
+    responses, answers = dedup_responses(responses, answers, settings.dedup_minutes, max_responses)
     responses, answers = collapse_daily(
         responses, answers, settings.collapse, tables.questions, text_questions | sleep_questions
     )
     wanted = question_filter(answers, question_ids(settings.rules))
     labels = combine_rules(coerced_answers(wanted, text_questions), settings.rules, settings.logic)
-    master = referent_window(labels_join_responses(labels, responses))
+    master = referent_window(labels_join_responses(labels, responses), max_responses)
     return sleep_left_join(master, sleep_hours(answers)) if settings.use_sleep else master
 
 
 def build_cohort(tables: StudyTables, settings: CohortSettings = CohortSettings()) -> Cohort:
     """Cleaned sensors, labelled surveys that pass the OS filter and coverage gate, demographics."""
     require_utc(tables.responses.sparkSession)
-    sensors = clean_sensors(tables, settings)
-    master = os_filter(build_master(tables, settings), sensors, settings.os)
+    # two counts over the base tables bound every group the build has to order
+    max_responses, _ = largest_group(tables.responses, ["app_user_id"])
+    max_sensors, _ = largest_group(tables.sensors, ["modality"])
+    sensors = clean_sensors(tables, settings, max_sensors)
+    master = os_filter(build_master(tables, settings, max_responses), sensors, settings.os)
     master = coverage_gate(master, sensors, settings.sampler)
     people = eav_pivot(exclude_users(tables.demographic, settings.exclude)) if tables.demographic is not None else None
     return Cohort(sensors, master, people)

@@ -17,6 +17,7 @@ from panelwell.operators.windows import RollingSampler, covered_by_setting, look
 def fold_features(
     master: DataFrame, sensors: DataFrame, sampler: RollingSampler, modalities: Sequence[str],
     train_width: float = 0.8, step: float = 0.2, purge_hours: float | None = None,
+    max_group: int | None = None,
 ) -> DataFrame:
     """Samples of all folds with summary-statistic features; the purge defaults to the lookback."""
     purge = lookback_hours(sampler) if purge_hours is None else purge_hours
@@ -24,7 +25,7 @@ def fold_features(
     stats = summary_stats(packed_windows(master.select(*columns), sensors, sampler, modalities), sorted(modalities), keep=columns)
     names = [c for c in stats.columns if c not in columns]
     featured = assemble_features(stats, names, keep=columns)
-    return walk_forward_cyclic(featured, train_width, step, purge)
+    return walk_forward_cyclic(featured, train_width, step, purge, max_group=max_group)
 
 
 def walk_forward(features: DataFrame, model: Callable[[], Pipeline], train_width: float = 0.8, step: float = 0.2) -> DataFrame:
@@ -36,8 +37,9 @@ def walk_forward(features: DataFrame, model: Callable[[], Pipeline], train_width
 def tested_by_setting(
     master: DataFrame, sensors: DataFrame, samplers: Sequence[RollingSampler],
     train_width: float = 0.8, step: float = 0.2, purge_hours: float = 120.0,
+    max_group: int | None = None,
 ) -> DataFrame:
     """Surveys that enter the pooled test predictions of each setting, for the whole grid at once."""
     covered = covered_by_setting(master, sensors, samplers)
     by = ["lookback_hours", "bin_hours", "app_user_id"]
-    return walk_forward_cyclic(covered, train_width, step, purge_hours, by=by).filter(F.col("role") == "test")
+    return walk_forward_cyclic(covered, train_width, step, purge_hours, by=by, max_group=max_group).filter(F.col("role") == "test")

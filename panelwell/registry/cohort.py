@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwell.functions.answers import coerce_timestamp
 from panelwell.functions.timegrid import clock_to_hours, floor_time
 from panelwell.operators import cleaning, labels, people
 from panelwell.operators.dedup import dedup_responses
@@ -417,7 +416,7 @@ def _register_dedup(name: str, minutes: float, scale_only: bool) -> None:
         given = study.answer(spark, sf)
         if scale_only:
             given = labels.question_filter(given, (2, 3, 5, 7))
-        responses, _ = dedup_responses(frames.daily(spark, sf), given, minutes)
+        responses, _ = dedup_responses(frames.daily(spark, sf), given, minutes, frames.per_user(spark, sf))
         return responses.select("id", "app_user_id", "survey_id")
 
 
@@ -448,7 +447,7 @@ def _(spark, sf):
     from panelwell.operators.ordered import ordered_columns
 
     order = [F.col("record_timestamp"), F.col("survey_response_id")]
-    placed = ordered_columns(frames.master(spark, sf), ["app_user_id"], order, position="p")
+    placed = ordered_columns(frames.master(spark, sf), ["app_user_id"], order, position="p", max_group=frames.per_user(spark, sf))
     return placed.select("survey_response_id", (F.col("p") + 1).alias("n"))
 
 

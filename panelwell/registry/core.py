@@ -64,14 +64,19 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()) -> Cal
     return add
 
 
+#: Added before rounding: means of two-decimal values hit exact halves of the sixth decimal, and
+#: which way those round would depend on the order of summation. It also avoids negative zero.
+NUDGE = 2.3e-8
+
+
 def r6(column: Column | str) -> Column:
-    """Six decimals, without negative zero."""
+    """Six decimals, the same in both engines."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column.cast("double"), 6) + F.lit(0.0)
+    return F.round(column.cast("double") + F.lit(NUDGE), 6)
 
 
 def q6(expression: str) -> str:
-    return f"(round(CAST({expression} AS DOUBLE), 6) + CAST(0 AS DOUBLE))"
+    return f"round(CAST({expression} AS DOUBLE) + {NUDGE!r}::DOUBLE, 6)"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -24,7 +24,7 @@ long AS (SELECT w.survey_response_id, w.app_user_id, w.bin_idx, w.modality AS ch
 
 def user_windows(spark, sf):
     long = window_bin_join(frames.windows(spark, sf), SAMPLER, MODALITIES)
-    roles = split_by_user(frames.master(spark, sf)).select("survey_response_id", "app_user_id", "role")
+    roles = split_by_user(frames.master(spark, sf), max_group=frames.in_all(spark, sf)).select("survey_response_id", "app_user_id", "role")
     return roles.join(long, "survey_response_id").select(
         "survey_response_id", "app_user_id", "bin_idx", F.col("modality").alias("channel"), "value", "role"
     )
@@ -153,7 +153,7 @@ FROM v_people, (SELECT quantile_cont(CAST(age AS DOUBLE), 0.5) AS med, avg(CAST(
 
 def fold_people(spark, sf):
     train = frames.cyclic(spark, sf).filter("fold_index = 0 and role = 'train'")
-    rows = people.fit_demographics(people.eav_pivot(study.demographic(spark, sf)), train, people.GENDERS, people.LGBT)
+    rows = people.fit_demographics(people.eav_pivot(study.demographic(spark, sf)), train, people.GENDERS, people.LGBT, frames.in_all(spark, sf))
     return rows.withColumn("age_scaled", r6("age_scaled"))
 
 
@@ -190,12 +190,12 @@ def _(spark, sf):
 def _(spark, sf):
     master = frames.master(spark, sf)
     train = master.filter(F.col("app_user_id") % 4 != 0)
-    return people.user_index_lookup(master, train).select("survey_response_id", "app_user_id", "user_index")
+    return people.user_index_lookup(master, train, frames.in_all(spark, sf)).select("survey_response_id", "app_user_id", "user_index")
 
 
 @query(
     "class_weights",
-    f"""SELECT fold_index, label, n, {q6('total / (2.0 * n)')} AS weight FROM (
+    f"""SELECT fold_index, label, CAST(n AS BIGINT) AS n, {q6('total / (2.0 * n)')} AS weight FROM (
   SELECT fold_index, label, greatest(count_if(answer = label), 1) AS n, sum(greatest(count_if(answer = label), 1)) OVER (PARTITION BY fold_index) AS total
   FROM v_cyclic, (VALUES (0), (1)) l(label) WHERE role = 'train' GROUP BY fold_index, label)""",
     ("v_cyclic",),

@@ -16,14 +16,39 @@ from panelwell.operators.labels import (
     referent_window,
     RISK_RULES,
 )
+from panelwell.operators.ordered import largest_group
 from panelwell.operators.splits import walk_forward_cyclic
 from panelwell.operators.windows import RollingSampler, packed_windows, window_bin_join
+from panelwell.session import cut_lineage
 from panelwell.sources import study
 
 MODALITIES = ("distance", "step")
 SAMPLER = RollingSampler(72.0, 6.0)
 
 
+_BOUNDS: dict[tuple[str, str, str], tuple[int, int]] = {}
+
+
+def bounds(spark: SparkSession, sf_dir: str, table: str = "events") -> tuple[int, int]:
+    """(rows of the largest user, rows in all) of a base table, counted once per session.
+
+    Every derived response, label, fold row or score group is bounded by one of the two.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, table)
+    if key not in _BOUNDS:
+        base = study.survey_response if table == "events" else study.history
+        _BOUNDS[key] = largest_group(base(spark, sf_dir), ["app_user_id"])
+    return _BOUNDS[key]
+
+
+def per_user(spark: SparkSession, sf_dir: str, table: str = "events") -> int:
+    return bounds(spark, sf_dir, table)[0]
+
+
+def in_all(spark: SparkSession, sf_dir: str) -> int:
+    return bounds(spark, sf_dir)[1]
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_surveys(study.survey_response(spark, sf_dir))
 
@@ -42,7 +67,7 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def referents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return referent_window(master(spark, sf_dir))
+    return referent_window(master(spark, sf_dir), per_user(spark, sf_dir))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +75,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk_forward_cyclic(referents(spark, sf_dir), 0.8, 0.2, 24.0)
+    return walk_forward_cyclic(referents(spark, sf_dir), 0.8, 0.2, 24.0, max_group=per_user(spark, sf_dir))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +90,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions written once, for operators that pass over them several times."""
+    return cut_lineage(predictions(spark, sf_dir))
+
+
 def fold_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long windows of every fold's rows: (fold_index, role, survey, user, bin_idx, channel, value)."""
     long = window_bin_join(windows(spark, sf_dir), SAMPLER, MODALITIES)

@@ -17,7 +17,7 @@ from panelwell.sources.manifest import (
     table_digest,
     write_manifest,
 )
-from panelwell.sources.tables import fold_metrics_wide, modality_union, scan_table, sink_predictions, write_shared
+from panelwell.sources.tables import CSV_OPTIONS, fold_metrics_wide, modality_union, scan_table, sink_predictions, write_shared
 
 PINNED = [(100, 2_999), (4_000, 4_499), (6_000, 4_000_000_000)]
 
@@ -164,7 +164,7 @@ def _(spark, sf):
     table = frames.predictions(spark, sf).withColumns({c: r6(c) for c in ("prob_class_0", "prob_class_1")})
     path = scratch_path(spark, "predictions")
     sink_predictions(table, path)
-    return spark.read.schema(table.schema).option("header", True).csv(path)
+    return spark.read.schema(table.schema).options(**CSV_OPTIONS).csv(path)
 
 
 FOLD_COUNTS = """
@@ -181,7 +181,9 @@ FROM v_predictions GROUP BY fold_index"""
 )
 def _(spark, sf):
     metrics = ["precision", "recall", "specificity"]
-    wide = binary_metrics(score_table(frames.predictions(spark, sf), ["fold_index"]), ["fold_index"])
+    wide = binary_metrics(
+        score_table(frames.predictions(spark, sf), ["fold_index"]), ["fold_index"], max_group=frames.in_all(spark, sf)
+    )
     long = melt_metrics(wide, ["fold_index"], metrics)
     rows = fold_metrics_wide(long, ["fold_index"], metrics)
     return rows.select("fold_index", *[r6(m).alias(m) for m in metrics])

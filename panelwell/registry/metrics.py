@@ -36,9 +36,10 @@ RAW = {
 }
 
 
-def metrics_sql(table: str, by: str) -> str:
-    """Every metric per group, null with one class."""
-    made = ", ".join(f"CASE WHEN p > 0 AND n > 0 THEN {q6(RAW[m])} END AS {m}" for m in BINARY_METRICS)
+def metrics_sql(table: str, by: str, exact: bool = False) -> str:
+    """Every metric per group, null with one class; ``exact`` leaves them unrounded."""
+    shown = {m: f"CAST({RAW[m]} AS DOUBLE)" if exact else q6(RAW[m]) for m in BINARY_METRICS}
+    made = ", ".join(f"CASE WHEN p > 0 AND n > 0 THEN {shown[m]} END AS {m}" for m in BINARY_METRICS)
     return f"""
 SELECT {by}, {made}, CAST(p AS BIGINT) AS n_positive, CAST(p + n AS BIGINT) AS n_predictions FROM (
   SELECT {by}, CAST(max(n_pos) AS DOUBLE) AS p, CAST(max(n_neg) AS DOUBLE) AS n,
@@ -59,7 +60,7 @@ def rounded(df, *keep):
     ("v_predictions",),
 )
 def _(spark, sf):
-    return metrics.average_rank(frames.predictions(spark, sf), "prob_class_1").select("survey_response_id", "average_rank")
+    return metrics.average_rank(frames.predictions(spark, sf), "prob_class_1", max_group=frames.in_all(spark, sf)).select("survey_response_id", "average_rank")
 
 
 @query(
@@ -68,7 +69,7 @@ def _(spark, sf):
     ("v_predictions",),
 )
 def _(spark, sf):
-    ranked = metrics.average_rank(frames.predictions(spark, sf), "prob_class_1", ["app_user_id"])
+    ranked = metrics.average_rank(frames.predictions(spark, sf), "prob_class_1", ["app_user_id"], max_group=frames.per_user(spark, sf))
     return ranked.select("survey_response_id", "average_rank")
 
 
@@ -78,13 +79,13 @@ def _(spark, sf):
     ("v_predictions",),
 )
 def _(spark, sf):
-    curve = metrics.curve_cumsums(frames.predictions(spark, sf), ["fold_index"])
+    curve = metrics.curve_cumsums(frames.predictions(spark, sf), ["fold_index"], frames.in_all(spark, sf))
     return curve.select("fold_index", r6("score").alias("score"), *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "n_pos", "n_neg")])
 
 
 @query(
     "confusion_matrix",
-    "SELECT a.a AS actual, b.b AS predicted, count_if(y_true = a.a AND CAST(prob_class_1 > prob_class_0 AS INTEGER) = b.b) AS n FROM v_predictions, (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b) GROUP BY a.a, b.b",
+    "SELECT a.a AS actual, b.b AS predicted, CAST(count_if(y_true = a.a AND CAST(prob_class_1 > prob_class_0 AS INTEGER) = b.b) AS BIGINT) AS n FROM v_predictions, (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b) GROUP BY a.a, b.b",
     ("v_predictions",),
 )
 def _(spark, sf):
@@ -95,7 +96,7 @@ def _(spark, sf):
     "classification_report",
     f"""SELECT class, {q6('CASE WHEN called = 0 THEN 0 ELSE tp / called END')} AS precision, {q6('CASE WHEN support = 0 THEN 0 ELSE tp / support END')} AS recall,
   {q6('CASE WHEN support + called = 0 THEN 0 ELSE 2 * tp / (support + called) END')} AS f1, support FROM (
-  SELECT k AS class, count_if(y_true = k AND y_pred = k)::DOUBLE AS tp, count_if(y_true = k) AS support, count_if(y_pred = k) AS called
+  SELECT k AS class, count_if(y_true = k AND y_pred = k)::DOUBLE AS tp, CAST(count_if(y_true = k) AS BIGINT) AS support, count_if(y_pred = k) AS called
   FROM (SELECT y_true, CAST(prob_class_1 > prob_class_0 AS INTEGER) AS y_pred FROM v_predictions), (VALUES (0), (1)) c(k) GROUP BY k)""",
     ("v_predictions",),
 )
@@ -110,7 +111,8 @@ def _register_metric(name: str, columns: list[str]) -> None:
 
     @query(name, f"SELECT fold_index, {listed} FROM ({metrics_sql(table_sql('v_predictions', 'fold_index'), 'fold_index')})", ("v_predictions",))
     def _(spark, sf):
-        wide = metrics.binary_metrics(metrics.score_table(frames.predictions(spark, sf), ["fold_index"]), ["fold_index"])
+        table = metrics.score_table(frames.predictions(spark, sf), ["fold_index"])
+        wide = metrics.binary_metrics(table, ["fold_index"], max_group=frames.in_all(spark, sf))
         return wide.select("fold_index", *[r6(c).alias(c) for c in columns])
 
 
@@ -131,7 +133,7 @@ UNION ALL SELECT 'n_users', CAST(count(DISTINCT app_user_id) AS DOUBLE) FROM v_p
     ("v_predictions",),
 )
 def _(spark, sf):
-    return metrics.pooled_metrics(frames.predictions(spark, sf)).withColumn("value", r6("value"))
+    return metrics.pooled_metrics(frames.predictions(spark, sf), max_group=frames.in_all(spark, sf)).withColumn("value", r6("value"))
 
 
 @query(
@@ -141,18 +143,18 @@ def _(spark, sf):
     ("v_predictions",),
 )
 def _(spark, sf):
-    rows = metrics.fold_breakdown(frames.predictions(spark, sf))
+    rows = metrics.fold_breakdown(frames.predictions(spark, sf), max_group=frames.in_all(spark, sf))
     return rows.select("fold_index", F.col("n_predictions").cast("bigint"), "n_users", F.col("n_positive").cast("bigint"), r6("auroc").alias("auroc"))
 
 
 @query(
     "fold_mean_metrics",
-    f"WITH m AS ({metrics_sql(table_sql('v_predictions', 'fold_index'), 'fold_index').replace('round(', '(').replace(', 6)', ')')}) "
+    f"WITH m AS ({metrics_sql(table_sql('v_predictions', 'fold_index'), 'fold_index', True)}) "
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, {q6(f'avg({m})')} AS mean, {q6(f'stddev_samp({m})')} AS std, count({m}) AS n_folds FROM m" for m in BINARY_METRICS),
     ("v_predictions",),
 )
 def _(spark, sf):
-    return metrics.fold_mean_metrics(metrics.fold_metrics(frames.predictions(spark, sf))).withColumns({"mean": r6("mean"), "std": r6("std")})
+    return metrics.fold_mean_metrics(metrics.fold_metrics(frames.predictions(spark, sf), max_group=frames.in_all(spark, sf))).withColumns({"mean": r6("mean"), "std": r6("std")})
 
 
 @query(
@@ -163,7 +165,7 @@ def _(spark, sf):
     ("v_predictions",),
 )
 def _(spark, sf):
-    return metrics.within_person_auroc(frames.predictions(spark, sf)).withColumn("within_person_auroc", r6("within_person_auroc"))
+    return metrics.within_person_auroc(frames.predictions(spark, sf), max_group=frames.per_user(spark, sf)).withColumn("within_person_auroc", r6("within_person_auroc"))
 
 
 TUNE = """WITH v AS (SELECT fold_index, prob_class_1 AS s, y_true AS y FROM v_predictions),
@@ -176,7 +178,7 @@ tuned AS (SELECT fold_index, min(t) AS threshold, max(ba) AS balanced_accuracy F
 
 @query("tune_threshold", f"{TUNE} SELECT fold_index, {q6('threshold')} AS threshold, {q6('balanced_accuracy')} AS balanced_accuracy FROM tuned", ("v_predictions",))
 def _(spark, sf):
-    tuned = metrics.tune_threshold(frames.predictions(spark, sf), ["fold_index"])
+    tuned = metrics.tune_threshold(frames.predictions(spark, sf), ["fold_index"], frames.in_all(spark, sf))
     return tuned.select("fold_index", r6("threshold").alias("threshold"), r6("balanced_accuracy").alias("balanced_accuracy"))
 
 
@@ -187,7 +189,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = frames.predictions(spark, sf)
-    tuned = metrics.tune_threshold(rows.filter("fold_index = 0"))
+    tuned = metrics.tune_threshold(rows.filter("fold_index = 0"), (), frames.in_all(spark, sf))
     return metrics.apply_threshold(rows, tuned).select("survey_response_id", "y_pred")
 
 
@@ -199,7 +201,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = frames.predictions(spark, sf)
     classes = rows.groupBy("app_user_id").agg(F.countDistinct("y_true").alias("n_classes"))
-    raw = metrics.fold_breakdown(rows, ["app_user_id"]).join(classes, "app_user_id")
+    raw = metrics.fold_breakdown(rows, ["app_user_id"], frames.per_user(spark, sf)).join(classes, "app_user_id")
     # a finite stand-in for the undefined value, which the guard has to remove
     filled = raw.withColumn("auroc", F.coalesce("auroc", F.lit(0.25)))
     return metrics.degenerate_guard(filled, ["auroc"]).select("app_user_id", r6("auroc").alias("auroc"), "n_classes")
@@ -212,7 +214,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     steps = frames.predictions(spark, sf).groupBy("app_user_id", "fold_index").agg(F.max("prob_class_1").alias("value"))
-    return metrics.best_so_far(steps, ["app_user_id"], "fold_index").select("app_user_id", "fold_index", r6("best").alias("best"))
+    return metrics.best_so_far(steps, ["app_user_id"], "fold_index", max_group=5).select("app_user_id", "fold_index", r6("best").alias("best"))
 
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -236,7 +238,7 @@ p AS (SELECT event_id, y_true, s0 / (s0 + s1 + s2) AS p0, s1 / (s0 + s1 + s2) AS
 c AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS y_pred FROM p),
 r AS ({' UNION ALL '.join(f'SELECT {k} AS class, p{k} AS prob_class_1, CAST(y_true = {k} AS INTEGER) AS y_true, y_pred = {k} AS hit FROM c' for k in range(3))}),
 f AS (SELECT class, count_if(hit AND y_true = 1)::DOUBLE AS tp, count_if(hit AND y_true = 0)::DOUBLE AS fp, count_if(NOT hit AND y_true = 1)::DOUBLE AS fn, count_if(NOT hit AND y_true = 0)::DOUBLE AS tn FROM r GROUP BY class),
-m AS ({metrics_sql(table_sql('r', 'class'), 'class').replace('round(', '(').replace(', 6)', ')')})
+m AS ({metrics_sql(table_sql('r', 'class'), 'class', True)})
 SELECT {q6('avg(2 * tp / (2 * tp + fp + fn))')} AS f1, {q6('avg(auroc)')} AS auroc, {q6('avg(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END)')} AS precision,
   {q6('avg(tp / (tp + fn))')} AS recall, {q6('avg(tn / (tn + fp))')} AS specificity, {q6('avg(sensitivity_at_specificity)')} AS sensitivity_at_specificity,
   {q6('avg(tp / (tp + fn))')} AS balanced_accuracy FROM f JOIN (SELECT class, auroc, sensitivity_at_specificity FROM m) USING (class)"""
@@ -281,7 +283,7 @@ weights AS (SELECT d.replicate, u.app_user_id, count(*) AS weight FROM d JOIN u
 
 @query("bootstrap_weights", f"WITH {DRAWS} SELECT * FROM weights", ("v_predictions",))
 def _(spark, sf):
-    return bootstrap.bootstrap_weights(frames.predictions(spark, sf), N_BOOTSTRAPS)
+    return bootstrap.bootstrap_weights(frames.stored_predictions(spark, sf), N_BOOTSTRAPS)
 
 
 WEIGHTED = "(SELECT p.*, w.replicate, w.weight FROM v_predictions p JOIN weights w USING (app_user_id))"
@@ -293,14 +295,14 @@ WEIGHTED = "(SELECT p.*, w.replicate, w.weight FROM v_predictions p JOIN weights
     ("v_predictions",),
 )
 def _(spark, sf):
-    rows = frames.predictions(spark, sf)
+    rows = frames.stored_predictions(spark, sf)
     table = bootstrap.rows_by_user_resample(rows, bootstrap.bootstrap_weights(rows, N_BOOTSTRAPS))
     return table.select("replicate", r6("score").alias("score"), F.col("pos").cast("bigint"), F.col("neg").cast("bigint"))
 
 
 @query("cluster_bootstrap", f"WITH {DRAWS} SELECT * FROM ({metrics_sql(table_sql(WEIGHTED, 'replicate', 'weight'), 'replicate')})", ("v_predictions",))
 def _(spark, sf):
-    return rounded(bootstrap.cluster_bootstrap(frames.predictions(spark, sf), N_BOOTSTRAPS), "replicate")
+    return rounded(bootstrap.cluster_bootstrap(frames.stored_predictions(spark, sf), N_BOOTSTRAPS), "replicate")
 
 
 LEFT_OUT = "(SELECT p.*, u.r AS left_out FROM v_predictions p JOIN u ON u.app_user_id <> p.app_user_id)"
@@ -308,17 +310,17 @@ LEFT_OUT = "(SELECT p.*, u.r AS left_out FROM v_predictions p JOIN u ON u.app_us
 
 @query("jackknife", f"WITH {DRAWS} SELECT * FROM ({metrics_sql(table_sql(LEFT_OUT, 'left_out'), 'left_out')})", ("v_predictions",))
 def _(spark, sf):
-    return rounded(bootstrap.jackknife(frames.predictions(spark, sf)), "left_out")
+    return rounded(bootstrap.jackknife(frames.stored_predictions(spark, sf)), "left_out")
 
 
 @query("bca_interval")
 def _(spark, sf):
-    return bootstrap.pooled_metrics_with_intervals(frames.predictions(spark, sf), N_BOOTSTRAPS)
+    return bootstrap.pooled_metrics_with_intervals(frames.stored_predictions(spark, sf), N_BOOTSTRAPS)
 
 
 @query("row_bootstrap")
 def _(spark, sf):
-    return bootstrap.row_bootstrap(frames.predictions(spark, sf), 200)
+    return bootstrap.row_bootstrap(frames.stored_predictions(spark, sf), 200)
 
 
 def hash_sql(by: str, source: str, name: str = "user_hash") -> str:

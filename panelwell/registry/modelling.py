@@ -17,7 +17,7 @@ MODALITIES, SAMPLER = frames.MODALITIES, frames.SAMPLER
 
 def features(spark, sf):
     """Fold rows with summary-statistic features; the model passes over them many times."""
-    return fold_features(frames.master(spark, sf), study.sensor(spark, sf), SAMPLER, MODALITIES, purge_hours=24.0).persist()
+    return fold_features(frames.master(spark, sf), study.sensor(spark, sf), SAMPLER, MODALITIES, purge_hours=24.0, max_group=frames.per_user(spark, sf)).persist()
 
 
 def _register_model(name: str, kind: str) -> None:
@@ -66,7 +66,7 @@ def grid_results(spark, sf):
     rows = grid.select("lookback_hours", "bin_hours", "app_user_id", F.col("answer").alias("y_true"), F.explode(ranked).alias("__r"))
     by = ["pipeline", "lookback_hours", "bin_hours"]
     table = metrics.score_table(rows.select("*", "__r.*"), by)
-    return metrics.binary_metrics(table, by).select(*by, F.col("auroc").alias("value"))
+    return metrics.binary_metrics(table, by, max_group=frames.in_all(spark, sf)).select(*by, F.col("auroc").alias("value"))
 
 
 GRID_VALUES = f"""b AS (SELECT app_user_id, modality, bin, epoch_us(start_timestamp) // (bin * {H}) AS w, sum(value) AS value

@@ -15,12 +15,17 @@ def history(spark, sf):
     return study.history(spark, sf)
 
 
-HISTORY = dict(ts="record_timestamp", tie="id")
+def study_bound(spark, sf):
+    return dict(max_group=frames.per_user(spark, sf))
+
+
+def history_bound(spark, sf):
+    return dict(tie="id", max_group=frames.per_user(spark, sf, "orders"))
 
 
 @query("position_in_history", f"SELECT id, app_user_id, position, n_history FROM ({numbered('v_history', tie='id')})", ("v_history",))
 def _(spark, sf):
-    return splits.position_in_history(history(spark, sf), tie="id").select("id", "app_user_id", "position", "n_history")
+    return splits.position_in_history(history(spark, sf), **history_bound(spark, sf)).select("id", "app_user_id", "position", "n_history")
 
 
 USER_SIZES = "ceil(n * (1 - 0.7::DOUBLE)) AS held"
@@ -35,7 +40,7 @@ FROM v_master JOIN (SELECT app_user_id, p, n, ceil(n * (1.0::DOUBLE - 0.7::DOUBL
     ("v_master",),
 )
 def _(spark, sf):
-    return splits.split_by_user(frames.master(spark, sf)).select("survey_response_id", "app_user_id", "role")
+    return splits.split_by_user(frames.master(spark, sf), max_group=frames.in_all(spark, sf)).select("survey_response_id", "app_user_id", "role")
 
 
 def longitudinal_sql(source: str, tie: str, r: tuple[float, float, float], purge_hours: float, keep: str) -> str:
@@ -59,7 +64,7 @@ RATIOS = (0.6, 0.2, 0.2)
     ("v_master",),
 )
 def _(spark, sf):
-    return splits.split_longitudinal(frames.master(spark, sf), RATIOS, 24.0).select("survey_response_id", "app_user_id", "position", "role")
+    return splits.split_longitudinal(frames.master(spark, sf), RATIOS, 24.0, **study_bound(spark, sf)).select("survey_response_id", "app_user_id", "position", "role")
 
 
 @query(
@@ -68,7 +73,7 @@ def _(spark, sf):
     ("v_history",),
 )
 def _(spark, sf):
-    return splits.split_longitudinal(history(spark, sf), RATIOS, 720.0, **HISTORY).select("id", "app_user_id", "position", "role")
+    return splits.split_longitudinal(history(spark, sf), RATIOS, 720.0, **history_bound(spark, sf)).select("id", "app_user_id", "position", "role")
 
 
 @query(
@@ -78,7 +83,7 @@ def _(spark, sf):
     ("v_master",),
 )
 def _(spark, sf):
-    return splits.split_longitudinal(frames.master(spark, sf), RATIOS, 24.0, swap_val_test=True).select("survey_response_id", "app_user_id", "role")
+    return splits.split_longitudinal(frames.master(spark, sf), RATIOS, 24.0, swap_val_test=True, **study_bound(spark, sf)).select("survey_response_id", "app_user_id", "role")
 
 
 @query(
@@ -87,7 +92,7 @@ def _(spark, sf):
     ("v_master",),
 )
 def _(spark, sf):
-    return splits.split_longitudinal(frames.master(spark, sf), RATIOS, 24.0, symmetric_purge=True).select("survey_response_id", "app_user_id", "role")
+    return splits.split_longitudinal(frames.master(spark, sf), RATIOS, 24.0, symmetric_purge=True, **study_bound(spark, sf)).select("survey_response_id", "app_user_id", "role")
 
 
 @query(
@@ -97,7 +102,7 @@ def _(spark, sf):
     ("v_master",),
 )
 def _(spark, sf):
-    return splits.slice_edges(splits.split_longitudinal(frames.master(spark, sf), RATIOS), ["app_user_id"])
+    return splits.slice_edges(splits.split_longitudinal(frames.master(spark, sf), RATIOS, **study_bound(spark, sf)), ["app_user_id"])
 
 
 def expanding_sql(source: str, tie: str, burn_in: float, step: float, val: float, purge_hours: float) -> str:
@@ -123,7 +128,7 @@ WHERE role = 'test' OR (role = 'train' AND ({edge} IS NULL OR t < {edge} - {purg
     ("v_master",),
 )
 def _(spark, sf):
-    return splits.walk_forward_pct(frames.master(spark, sf), 0.5, 0.15, purge_hours=24.0).select("survey_response_id", "app_user_id", "fold_index", "role")
+    return splits.walk_forward_pct(frames.master(spark, sf), 0.5, 0.15, purge_hours=24.0, **study_bound(spark, sf)).select("survey_response_id", "app_user_id", "fold_index", "role")
 
 
 @query(
@@ -132,7 +137,7 @@ def _(spark, sf):
     ("v_history",),
 )
 def _(spark, sf):
-    return splits.walk_forward_pct(history(spark, sf), 0.3, 0.1, 0.1, 2400.0, **HISTORY).select("id", "app_user_id", "fold_index", "role")
+    return splits.walk_forward_pct(history(spark, sf), 0.3, 0.1, 0.1, 2400.0, **history_bound(spark, sf)).select("id", "app_user_id", "fold_index", "role")
 
 
 def _register_cyclic(name: str, source: str, tie: str, width: float, step: float, purge: float) -> None:
@@ -141,7 +146,8 @@ def _register_cyclic(name: str, source: str, tie: str, width: float, step: float
     @query(name, f"SELECT {tie}, app_user_id, fold_index, role FROM ({cyclic(source, cuts, width, purge, tie=tie)})", (source,))
     def _(spark, sf):
         rows = frames.master(spark, sf) if source == "v_master" else history(spark, sf)
-        return splits.walk_forward_cyclic(rows, width, step, purge, tie=tie).select(tie, "app_user_id", "fold_index", "role")
+        bound = study_bound(spark, sf) if source == "v_master" else history_bound(spark, sf)
+        return splits.walk_forward_cyclic(rows, width, step, purge, **{"tie": tie, **bound}).select(tie, "app_user_id", "fold_index", "role")
 
 
 _register_cyclic("walk_forward_cyclic", "v_master", "survey_response_id", 0.8, 0.2, 24)
@@ -152,7 +158,7 @@ _register_cyclic("walk_forward_cyclic_ties", "v_history", "id", 0.4, 0.15, 2400)
 
 @query("union_folds", f"SELECT survey_response_id, fold_index, role FROM ({cyclic('v_master', CUTS_80_20, 0.8, 24)})", ("v_master",))
 def _(spark, sf):
-    rows = splits.walk_forward_cyclic(frames.master(spark, sf), 0.8, 0.2, 24.0)
+    rows = splits.walk_forward_cyclic(frames.master(spark, sf), 0.8, 0.2, 24.0, **study_bound(spark, sf))
     parts = [splits.select_fold(rows, f, 5) for f in range(5)]
     return splits.union_folds(parts).select("survey_response_id", "fold_index", "role")
 
@@ -162,5 +168,5 @@ def _(spark, sf):
     "SELECT 'user' AS split_mode, CAST(0 AS BIGINT) AS users_in_two_roles",
 )
 def _(spark, sf):
-    rows = splits.split(frames.master(spark, sf), "user").groupBy("app_user_id").agg(F.countDistinct("role").alias("n"))
+    rows = splits.split(frames.master(spark, sf), "user", max_group=frames.in_all(spark, sf)).groupBy("app_user_id").agg(F.countDistinct("role").alias("n"))
     return rows.agg(F.count_if(F.col("n") > 1).alias("users_in_two_roles")).select(F.lit("user").alias("split_mode"), "users_in_two_roles")

@@ -240,7 +240,7 @@ tested AS ({cyclic('covered', CUTS_80_20, 0.8, 120, by='lookback_hours, bin_hour
     ("v_master", "v_sensor"),
 )
 def _(spark, sf):
-    return cohort_members(tested_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid()))
+    return cohort_members(tested_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid(), max_group=frames.per_user(spark, sf)))
 
 
 @query(
@@ -249,5 +249,5 @@ def _(spark, sf):
     ("v_master", "v_sensor"),
 )
 def _(spark, sf):
-    tested = tested_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid())
+    tested = tested_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid(), max_group=frames.per_user(spark, sf))
     return cohort_by_setting(cohort_members(tested))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwell.sources.tables import scan_table
 
@@ -14,8 +15,27 @@ SLEEP_QUESTIONS = (54, 55)
 ALL_QUESTIONS = (2, 3, 5, 7, 8, 12, 13, 54, 55)
 
 
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, data_type) for name, data_type in columns.items()])
+
+
+# Explicit schemas: no job reads file footers before the query runs.
+EVENTS = _schema(
+    event_id=T.LongType(), ts=T.TimestampNTZType(), user_id=T.LongType(), event_type=T.StringType(),
+    value=T.DoubleType(), props=T.StringType(),
+)
+ORDERS = _schema(
+    o_orderkey=T.LongType(), o_custkey=T.LongType(), o_orderstatus=T.StringType(), o_totalprice=T.DoubleType(),
+    o_orderdate=T.TimestampNTZType(), o_orderpriority=T.StringType(),
+)
+CUSTOMER = _schema(
+    c_custkey=T.LongType(), c_name=T.StringType(), c_nationkey=T.IntegerType(), c_acctbal=T.DoubleType(),
+    c_mktsegment=T.StringType(),
+)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_table(spark, f"{sf_dir}/events.parquet")
+    return scan_table(spark, f"{sf_dir}/events.parquet", EVENTS)
 
 
 def _k() -> F.Column:
@@ -104,7 +124,7 @@ def demographic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("lgbt").alias("keyword"), lgbt.alias("value")),
     )
     return (
-        scan_table(spark, f"{sf_dir}/customer.parquet")
+        scan_table(spark, f"{sf_dir}/customer.parquet", CUSTOMER)
         .select(key.alias("app_user_id"), F.explode(pairs).alias("kv"))
         .select("app_user_id", "kv.keyword", "kv.value")
         .filter("value is not null")
@@ -113,7 +133,7 @@ def demographic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A larger response history out of orders; its timestamps have ties within a user."""
-    return scan_table(spark, f"{sf_dir}/orders.parquet").select(
+    return scan_table(spark, f"{sf_dir}/orders.parquet", ORDERS).select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("app_user_id"),
         F.col("o_orderdate").alias("record_timestamp"),

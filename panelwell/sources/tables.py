@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Naive timestamps keep their microseconds in text.
+CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Spark orders NaN above all numbers; missing measures are nulls here."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
@@ -79,7 +83,7 @@ def sink_predictions(df: DataFrame, path: str | None, file_format: str = "csv")
         return False
     writer = df.write.mode("overwrite")
     if file_format == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV_OPTIONS).csv(path)
     else:
         writer.parquet(path)
     return True

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwell.operators.features import array_mean, array_std
+from panelwell.operators.features import array_mean, array_std, let
 
 # The published feature names, in their published order.
 NAMES = (
@@ -68,25 +68,37 @@ def _lags(n: Column) -> Column:
     return F.sequence(F.lit(0), n - 1)
 
 
-def autocorrelation(a: Column) -> Column:
-    """Sum of lagged products over the sum of squares, mean removed, for lags 0..n-1."""
-    mean = array_mean(a)
-    centred = F.transform(a, lambda v: v - mean)
-    power = _sum(F.transform(centred, lambda v: v * v))
-    return F.transform(
-        _lags(F.size(a)),
-        lambda lag: F.try_divide(_sum(F.zip_with(_tail(centred, lag), _head(centred, lag), lambda x, y: x * y)), power),
-    )
+def autocorrelation(centred: Column) -> Column:
+    """Sum of lagged products over the sum of squares of a centred series, for lags 0..n-1."""
+
+    def over(power: Column) -> Column:
+        return F.transform(
+            _lags(F.size(centred)),
+            lambda lag: F.try_divide(_sum(F.zip_with(_tail(centred, lag), _head(centred, lag), lambda x, y: x * y)), power),
+        )
+
+    return let(_sum(F.transform(centred, lambda v: v * v)), over)
 
 
 def histogram_mode(z: Column, bins: int) -> Column:
     """Centre of the fullest of equal-width bins; the mean of the centres on a tie."""
-    low, high = F.array_min(z), F.array_max(z)
-    width = (high - low) / bins
-    placed = F.transform(z, lambda v: F.least(F.floor(F.try_divide(v - low, width)), F.lit(bins - 1)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(placed, lambda p: p == b)))
-    centres = F.transform(counts, lambda c, i: F.when(c == F.array_max(counts), low + width * (i + 0.5)))
-    return array_mean(F.filter(centres, lambda c: c.isNotNull()))
+
+    def from_range(edge: Column) -> Column:
+        low, width = edge["low"], edge["width"]
+        placed = F.transform(z, lambda v: F.least(F.floor(F.try_divide(v - low, width)), F.lit(bins - 1)))
+        return let(placed, lambda p: from_bins(p, low, width))
+
+    def from_bins(placed: Column, low: Column, width: Column) -> Column:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(placed, lambda p: p == b)))
+        return let(
+            counts,
+            lambda c: array_mean(F.filter(
+                F.transform(c, lambda k, i: F.when(k == F.array_max(c), low + width * (i + 0.5))), lambda v: v.isNotNull()
+            )),
+        )
+
+    span = F.struct(F.array_min(z).alias("low"), ((F.array_max(z) - F.array_min(z)) / bins).alias("width"))
+    return let(span, from_range)
 
 
 def first_one_over_e(ac: Column) -> Column:
@@ -125,52 +137,79 @@ def longest_run(flags: Column) -> Column:
 
 def histogram_ami(z: Column, lag: int = 2, bins: int = 5) -> Column:
     """Mutual information of the series and its lagged self over equal-width bins."""
-    low = F.array_min(z) - 0.1
-    width = (F.array_max(z) - F.array_min(z) + 0.2) / bins
-    labels = F.transform(z, lambda v: F.least(F.floor((v - low) / width), F.lit(bins - 1)))
-    pairs = F.zip_with(_head(labels, lag), _tail(labels, lag), lambda a, b: a * bins + b)
-    n = F.size(pairs)
 
-    def term(cell: Column) -> Column:
-        a, b = F.floor(cell / bins), cell % bins
-        joint = F.size(F.filter(pairs, lambda p: p == cell)) / n
-        left = F.size(F.filter(pairs, lambda p: F.floor(p / bins) == a)) / n
-        right = F.size(F.filter(pairs, lambda p: p % bins == b)) / n
-        return F.when(joint > 0, joint * F.log(joint / (left * right))).otherwise(F.lit(0.0))
+    def label(edge: Column) -> Column:
+        return F.transform(z, lambda v: F.least(F.floor((v - edge["low"]) / edge["width"]), F.lit(bins - 1)))
+
+    def information(pairs: Column) -> Column:
+        def term(cell: Column) -> Column:
+            joint = F.size(F.filter(pairs, lambda p: p == cell))
+            left = F.size(F.filter(pairs, lambda p: F.floor(p / bins) == F.floor(cell / bins)))
+            right = F.size(F.filter(pairs, lambda p: p % bins == cell % bins))
+            n = F.size(pairs)
+            return F.when(joint > 0, joint / n * F.log(joint * n / (left * right))).otherwise(F.lit(0.0))
+
+        return _sum(F.transform(F.array_distinct(pairs), term))
+
+    span = F.struct(
+        (F.array_min(z) - 0.1).alias("low"), ((F.array_max(z) - F.array_min(z) + 0.2) / bins).alias("width")
+    )
+    labels = let(span, label)
+    return let(labels, lambda x: let(F.zip_with(_head(x, lag), _tail(x, lag), lambda a, b: a * bins + b), information))
+
+
+def _lag_correlation(z: Column, lag: Column) -> Column:
+    """Correlation of a z-scored series with its lagged self, from sums of one pass."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("x", "y", "xx", "yy", "xy")])
+    pairs = F.zip_with(_head(z, lag), _tail(z, lag), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def add(s: Column, p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        return F.struct(
+            (s["x"] + a).alias("x"), (s["y"] + b).alias("y"), (s["xx"] + a * a).alias("xx"),
+            (s["yy"] + b * b).alias("yy"), (s["xy"] + a * b).alias("xy"),
+        )
 
-    return _sum(F.transform(F.sequence(F.lit(0), F.lit(bins * bins - 1)), term))
+    n = F.size(z) - lag
 
+    def finish(s: Column) -> Column:
+        spread = (n * s["xx"] - s["x"] * s["x"]) * (n * s["yy"] - s["y"] * s["y"])
+        return F.try_divide(n * s["xy"] - s["x"] * s["y"], F.when(spread > 0, F.sqrt(spread)))
 
-def _lag_correlation(a: Column, lag: Column) -> Column:
-    x, y = _head(a, lag), _tail(a, lag)
-    mx, my = array_mean(x), array_mean(y)
-    cov = _sum(F.zip_with(x, y, lambda p, q: (p - mx) * (q - my)))
-    vx, vy = _sum(F.transform(x, lambda p: (p - mx) * (p - mx))), _sum(F.transform(y, lambda q: (q - my) * (q - my)))
-    return F.try_divide(cov, F.when(vx * vy > 0, F.sqrt(vx * vy)))
+    return F.aggregate(pairs, zero, add, finish)
 
 
 def gaussian_ami_minimum(z: Column, most: int = 40) -> Column:
     top = F.least(F.lit(most), F.ceil(F.size(z) / 2).cast("int"))
-    info = F.transform(F.sequence(F.lit(1), top), lambda lag: -0.5 * F.log(1 - _lag_correlation(z, lag) * _lag_correlation(z, lag)))
-    return first_minimum(info, top)
+    info = F.transform(
+        F.transform(F.sequence(F.lit(1), top), lambda lag: _lag_correlation(z, lag)), lambda r: -0.5 * F.log(1 - r * r)
+    )
+    return let(info, lambda values: first_minimum(values, top))
 
 
 def motif_entropy(z: Column) -> Column:
     """Entropy of two-letter words over a three-letter quantile alphabet."""
-    ordered, n = F.array_sort(z), F.size(z)
+    n = F.size(z)
 
-    def cut(q: float) -> Column:
+    def cut(ordered: Column, q: float) -> Column:
         # piecewise-linear quantile through the points ((i + 1/2) / n, i-th value)
         spot = F.greatest(F.lit(0.0), F.least(n * F.lit(q) - 0.5, (n - 1).cast("double")))
         i = F.floor(spot).cast("int")
         low, high = F.get(ordered, i), F.coalesce(F.get(ordered, i + 1), F.get(ordered, i))
         return low + (spot - i) * (high - low)
 
-    first, second = cut(1 / 3), cut(2 / 3)
-    letters = F.transform(z, lambda v: F.when(v <= first, 0).when(v <= second, 1).otherwise(2))
-    words = F.zip_with(_head(letters, 1), _tail(letters, 1), lambda a, b: a * 3 + b)
-    share = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda w: F.size(F.filter(words, lambda x: x == w)) / F.size(words))
-    return -_sum(F.transform(share, lambda p: F.when(p > 0, p * F.log(p)).otherwise(F.lit(0.0))))
+    def words(cuts: Column) -> Column:
+        letters = F.transform(z, lambda v: F.when(v <= cuts["a"], 0).when(v <= cuts["b"], 1).otherwise(2))
+        return let(letters, lambda x: F.zip_with(_head(x, 1), _tail(x, 1), lambda a, b: a * 3 + b))
+
+    def entropy(found: Column) -> Column:
+        share = F.transform(
+            F.array_distinct(found), lambda w: F.try_divide(F.size(F.filter(found, lambda x: x == w)), F.size(found))
+        )
+        return -_sum(F.transform(share, lambda p: p * F.log(p)))
+
+    cuts = let(F.array_sort(z), lambda o: F.struct(cut(o, 1 / 3).alias("a"), cut(o, 2 / 3).alias("b")))
+    return let(let(cuts, words), entropy)
 
 
 def expression_features(z: Column, ac: Column, ac_diff: Column) -> dict[str, Column]:
@@ -194,7 +233,7 @@ def expression_features(z: Column, ac: Column, ac_diff: Column) -> dict[str, Col
         "FC_LocalSimple_mean1_tauresrat": F.try_divide(first_zero(ac_diff), first_zero(ac)),
         "SB_BinaryStats_diff_longstretch0": longest_run(F.transform(step, lambda d: d < 0)),
         "SB_MotifThree_quantile_hh": motif_entropy(z),
-        "FC_LocalSimple_mean3_stderr": F.when(F.size(forecast) > 1, array_std(forecast, 1)),
+        "FC_LocalSimple_mean3_stderr": let(forecast, lambda r: F.when(F.size(r) > 1, array_std(r, 1))),
     }
 
 
@@ -364,15 +403,18 @@ def catch22_features(
         out = out.withColumn(f"__z_{c}", _standardised(c))
     for c in channels:
         z = F.col(f"__z_{c}")
+        step = let(_diff(z), lambda d: let(array_mean(d), lambda m: F.transform(d, lambda v: v - m)))
+        out = out.withColumns({f"__d_{c}": step, f"__np_{c}": numeric_features(z)})
+    for c in channels:
         out = out.withColumns(
-            {f"__ac_{c}": autocorrelation(z), f"__ad_{c}": autocorrelation(_diff(z)), f"__np_{c}": numeric_features(z)}
+            {f"__ac_{c}": autocorrelation(F.col(f"__z_{c}")), f"__ad_{c}": autocorrelation(F.col(f"__d_{c}"))}
         )
     columns = []
     for c in channels:
         made = expression_features(F.col(f"__z_{c}"), F.col(f"__ac_{c}"), F.col(f"__ad_{c}"))
         made |= {n: F.col(f"__np_{c}")[n] for n in NUMERIC_NAMES}
         for name in NAMES:
-            value = F.nanvl(made[name].cast("double"), F.lit(None).cast("double"))
+            value = F.nanvl(F.when(F.col(f"__z_{c}").isNotNull(), made[name].cast("double")), F.lit(None).cast("double"))
             finite = F.when(F.abs(value) < float("inf"), value)
             filled = F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.coalesce(finite, F.lit(float(fill_value))))
             columns.append(filled.alias(f"{c}__{name}"))

@@ -5,7 +5,7 @@ All of them are array expressions on the row: no shuffle beyond the one that pac
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +14,23 @@ SUPPORTED_STATS = ("mean", "median", "std", "min", "max")
 INPUT_STATS = ("mean", "std", "min", "max", "last")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, also when a lambda in ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def array_mean(a: Column) -> Column:
     return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), F.size(a))
 
 
 def array_std(a: Column, ddof: int = 0) -> Column:
     """Two passes: the mean first, then squared deviations."""
-    mean = array_mean(a)
-    squares = F.aggregate(F.transform(a, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v)
-    return F.sqrt(F.try_divide(squares, F.size(a) - ddof))
+
+    def spread(mean: Column) -> Column:
+        squares = F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+        return F.sqrt(F.try_divide(squares, F.size(a) - ddof))
+
+    return let(array_mean(a), spread)
 
 
 def array_median(a: Column) -> Column:

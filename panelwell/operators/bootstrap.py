@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelwell.operators.metrics import BINARY_METRICS, MIN_SPECIFICITY, binary_metrics, melt_metrics, score_table
 from panelwell.operators.ordered import largest_group, ordered_columns
-from panelwell.session import broadcast_rows, group_rows
+from panelwell.session import broadcast_rows, group_rows, shuffle_partitions
 
 #: Leave-one-out score tables may have this many rows in all; beyond it, groups must be used.
 JACKKNIFE_ROWS = 2_000_000_000
@@ -53,18 +53,22 @@ def rows_by_user_resample(predictions: DataFrame, weights: DataFrame) -> DataFra
 
     Rows are reduced to (user, score) first. Each user's draws travel as one array (at most one
     entry per replicate), so the join has one row per user on that side. A small user table is
-    broadcast after a count; otherwise the join is salted by the size of the largest user.
+    broadcast after a count; otherwise the join is salted by the size of the largest user. Each
+    row then becomes hundreds of replicate rows, so the rows are spread over all tasks first:
+    adaptive coalescing would judge them by their size before that.
     """
     scores = score_table(predictions, ["app_user_id"])
     draws = weights.groupBy("app_user_id").agg(F.collect_list(F.struct("replicate", "weight")).alias("__draws"))
     spark = predictions.sparkSession
     n_draws = weights.limit(broadcast_rows(spark) + 1).count()
     if n_draws <= broadcast_rows(spark):
-        joined = scores.join(F.broadcast(draws), "app_user_id")
+        joined = scores.repartition(shuffle_partitions(spark)).join(F.broadcast(draws), "app_user_id")
     else:
         top, _ = largest_group(scores, ["app_user_id"])
         salts = max(1, math.ceil(top / group_rows(spark)))
-        salted = scores.withColumn("__salt", F.pmod(F.xxhash64("score"), F.lit(salts)).cast("int"))
+        salted = scores.withColumn("__salt", F.pmod(F.xxhash64("score"), F.lit(salts)).cast("int")).repartition(
+            shuffle_partitions(spark), "app_user_id", "__salt"
+        )
         copies = draws.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = salted.join(copies, ["app_user_id", "__salt"])
     return (

@@ -129,8 +129,11 @@ def melt_metrics(wide: DataFrame, by: Sequence[str], metrics: Sequence[str]) ->
 
 def pooled_metrics(predictions: DataFrame, min_specificity: float = MIN_SPECIFICITY, max_group: int | None = None) -> DataFrame:
     """Long ``(metric, value)`` over all folds pooled; no rows if a class is missing or input is empty."""
-    users = predictions.select("app_user_id").distinct().agg(F.count(F.lit(1)).alias("n_users"))
-    wide = binary_metrics(score_table(predictions), (), min_specificity, max_group).withColumn("n_users", users.scalar())
+    # users and scores are both read off one reduced table
+    per_user = score_table(predictions, ["app_user_id"])
+    users = per_user.select("app_user_id").distinct().agg(F.count(F.lit(1)).alias("n_users"))
+    table = per_user.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    wide = binary_metrics(table, (), min_specificity, max_group).withColumn("n_users", users.scalar())
     both = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n_predictions"))
     return melt_metrics(wide.filter(both), (), [*BINARY_METRICS, "n_predictions", "n_users", "n_positive"])
 
@@ -291,7 +294,7 @@ def tune_threshold(predictions: DataFrame, by: Sequence[str] = (), max_group: in
 def apply_threshold(predictions: DataFrame, tuned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``y_pred`` at the tuned threshold, one per group."""
     if by:
-        joined = predictions.join(F.broadcast(tuned.select(*by, "threshold")), list(by))
+        joined = predictions.join(tuned.select(*by, "threshold"), list(by))
         return joined.withColumn("y_pred", (F.col("prob_class_1") >= F.col("threshold")).cast("int"))
     threshold = tuned.select("threshold").scalar()
     return predictions.withColumn("threshold", threshold).withColumn(

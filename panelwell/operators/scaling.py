@@ -75,21 +75,43 @@ def transform_by_subject(long: DataFrame, by: Sequence[str] = FOLD, value: str =
 def dual_scale(
     long: DataFrame, time_channels: Sequence[str] = (), by: Sequence[str] = FOLD, value: str = "value"
 ) -> DataFrame:
-    """Globally scaled, then subject-scaled, then untouched time channels, told apart by ``block``."""
+    """Globally scaled, then subject-scaled, then untouched time channels, told apart by ``block``.
+
+    The rows are aggregated once, per participant and role; the global statistics are pooled from
+    these moments, and both kinds reach the rows in one join.
+    """
     is_time = F.col("channel").isin(*time_channels) if time_channels else F.lit(False)
-    signal = long.filter(~is_time)
-    both = transform_by_subject(
-        transform_global(signal, fit_global_scaler(signal, by, value), by, value, "__g"), by, value, "__s"
+    keys = [*by, "app_user_id", "channel"]
+
+    def of(role: str) -> Column:
+        return F.when(F.col("role") == role, F.col(value))
+
+    seen = long.filter(~is_time).groupBy(*keys).agg(
+        F.count(of("train")).alias("__n"),
+        *[F.avg(of(r)).alias(f"__m_{r}") for r in ("train", "val", "test")],
+        *[F.var_pop(of(r)).alias(f"__v_{r}") for r in ("train", "val", "test")],
+    )
+    shared = [*by, "channel"]
+    centre = seen.groupBy(*shared).agg((F.sum(F.col("__n") * F.col("__m_train")) / F.sum(F.when(F.col("__n") > 0, F.col("__n")))).alias("__gm"))
+    around = F.col("__m_train") - F.col("__gm")
+    spread = seen.join(F.broadcast(centre), shared).groupBy(*shared).agg(
+        F.first("__gm").alias("__gm"),
+        F.sqrt(F.sum(F.col("__n") * (F.col("__v_train") + around * around)) / F.sum(F.when(F.col("__n") > 0, F.col("__n")))).alias("__gs"),
     )
-    blocks = F.array(
-        F.struct(F.lit("global").alias("block"), F.col("__g").alias("scaled")),
-        F.struct(F.lit("subject").alias("block"), F.col("__s").alias("scaled")),
+    # one row per fold and channel, both short lists
+    stats = seen.join(F.broadcast(spread), shared).select(
+        *keys, "__gm", "__gs",
+        F.coalesce("__m_train", "__m_val", "__m_test").alias("__sm"),
+        F.sqrt(F.coalesce("__v_train", "__v_val", "__v_test")).alias("__ss"),
     )
-    scaled = both.withColumn("__b", F.explode(blocks)).select(*long.columns, "__b.block", "__b.scaled")
-    if not time_channels:
-        return scaled
-    untouched = long.filter(is_time).select(*long.columns, F.lit("time").alias("block"), F.col(value).alias("scaled"))
-    return scaled.unionByName(untouched)
+    blocks = F.when(
+        is_time, F.array(F.struct(F.lit("time").alias("block"), F.col(value).alias("scaled")))
+    ).otherwise(F.array(
+        F.struct(F.lit("global").alias("block"), ((F.col(value) - F.col("__gm")) / _guarded(F.col("__gs"))).alias("scaled")),
+        F.struct(F.lit("subject").alias("block"), ((F.col(value) - F.col("__sm")) / _guarded(F.col("__ss"))).alias("scaled")),
+    ))
+    joined = long.join(stats, keys, "left")
+    return joined.withColumn("__b", F.explode(blocks)).select(*long.columns, "__b.block", "__b.scaled")
 
 
 def _train_scale(df: DataFrame, column: str, defaults: tuple[float, float], by: Sequence[str]) -> DataFrame:

@@ -188,19 +188,25 @@ def packed_history(
     placed = placed.withColumns(
         {"__b0": F.floor(F.col("__lo") / slots), "__b1": F.floor((F.col("__hi") - 1) / slots)}
     )
-    wanted = placed.select(key, "app_user_id", F.explode(F.sequence("__b0", "__b1")).alias("block"))
+    # survey columns travel with the look-up, so the surveys are read once
+    carried = [c for c in placed.columns if c != key]
+    wanted = placed.withColumn("block", F.explode(F.sequence("__b0", "__b1")))
     blocks = pack_blocks(sensors, modalities, base)
-    cells = F.struct("block", *[F.col(f"__{i}") for i in range(len(modalities))])
-    found = (
-        wanted.join(blocks, ["app_user_id", "block"])
+    cells = F.struct(*[F.col(f"__{i}") for i in range(len(modalities))])
+    found = F.when(F.col("__0").isNotNull(), F.struct(F.col("block"), cells.alias("cell")))
+    joined = (
+        wanted.join(blocks, ["app_user_id", "block"], "left")
         .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("block"), cells.alias("cell")))).alias("__cells"))
+        .agg(
+            F.first(F.struct(*carried)).alias("__row"),
+            # a survey reads a handful of blocks, so the map is small; nulls are left out of it
+            F.map_from_entries(F.collect_list(found)).alias("__cells"),
+        )
+        .select(key, "__row.*", "__cells")
     )
-    joined = placed.join(found, key, "left")
     zeros = F.array_repeat(F.lit(0.0), SLOTS)
 
     def series(i: int) -> Column:
-        # a survey reads a handful of blocks, so the map is small
         whole = F.flatten(
             F.transform(
                 F.sequence("__b0", "__b1"),
@@ -341,13 +347,9 @@ def sensor_reach(sensors: DataFrame, base: int) -> DataFrame:
 
 
 def coverage_flags(
-    surveys: DataFrame,
-    sensors: DataFrame,
-    samplers: Sequence[Sampler],
-    key: str = "survey_response_id",
-    ts: str = "record_timestamp",
+    surveys: DataFrame, sensors: DataFrame, samplers: Sequence[Sampler], ts: str = "record_timestamp"
 ) -> DataFrame:
-    """One row per (survey, setting number) with ``covered``: some record overlaps the window.
+    """Surveys × settings with the ``setting`` number and ``covered``: some record overlaps the window.
 
     A record overlaps when it starts before the window end and ends after the window start.
     Window ends lie on the base grid, so "starts before the end" is a matter of whole bins, and
@@ -366,50 +368,41 @@ def coverage_flags(
         )
         for i, s in enumerate(samplers)
     ])
-    asked = surveys.select(key, "app_user_id", F.explode(settings).alias("__s")).select(key, "app_user_id", "__s.*")
+    asked = surveys.withColumn("__s", F.explode(settings)).select(*surveys.columns, "__s.*")
     ends = asked.select("app_user_id", "__b").distinct().select(
         "app_user_id", "__b", F.lit(0).alias("__kind"), F.lit(None).cast("bigint").alias("__reach")
     )
     reach = sensor_reach(sensors, base).select("app_user_id", "__b", F.lit(1).alias("__kind"), "__reach")
-    # the end of a window sorts before the records of the bin that starts there
+    # the end of a window sorts before the records of the bin that starts there; a user has at
+    # most two rows per bin of its history here, which is a proven bound
     steps = ordered_columns(
         ends.unionByName(reach), ["app_user_id"], [F.col("__b"), F.col("__kind")],
         maxima={"__upto": F.col("__reach")}, max_group=0,
     )
     lookup = steps.filter("__kind = 0").select("app_user_id", "__b", "__upto")
     return asked.join(lookup, ["app_user_id", "__b"]).select(
-        key, "setting", F.coalesce(F.col("__upto") > F.col("__start"), F.lit(False)).alias("covered")
+        *surveys.columns, "setting", F.coalesce(F.col("__upto") > F.col("__start"), F.lit(False)).alias("covered")
     )
 
 
 def coverage_gate(
-    surveys: DataFrame,
-    sensors: DataFrame,
-    sampler: Sampler | None,
-    key: str = "survey_response_id",
-    ts: str = "record_timestamp",
+    surveys: DataFrame, sensors: DataFrame, sampler: Sampler | None, ts: str = "record_timestamp"
 ) -> DataFrame:
     """Surveys with at least one record in their window; without a sampler all stay."""
     if sampler is None:
         return surveys
-    covered = coverage_flags(surveys, sensors, [sampler], key, ts).filter("covered").select(key)
-    return surveys.join(covered, key, "left_semi")
+    return coverage_flags(surveys, sensors, [sampler], ts).filter("covered").select(*surveys.columns)
 
 
 def covered_by_setting(
-    surveys: DataFrame,
-    sensors: DataFrame,
-    samplers: Sequence[RollingSampler],
-    key: str = "survey_response_id",
-    ts: str = "record_timestamp",
+    surveys: DataFrame, sensors: DataFrame, samplers: Sequence[RollingSampler], ts: str = "record_timestamp"
 ) -> DataFrame:
     """Covered surveys of every setting, one row per (survey, setting), from one pass."""
     settings = F.array(*[
         F.struct(F.lit(s.lookback_hours).alias("lookback_hours"), F.lit(s.freq_hours).alias("bin_hours")) for s in samplers
     ])
-    flags = coverage_flags(surveys, sensors, samplers, key, ts).filter("covered")
-    named = flags.withColumn("__s", F.element_at(settings, F.col("setting") + 1)).select(key, "__s.*")
-    return named.join(surveys, key)
+    covered = coverage_flags(surveys, sensors, samplers, ts).filter("covered")
+    return covered.withColumn("__s", F.element_at(settings, F.col("setting") + 1)).select(*surveys.columns, "__s.*")
 
 
 def cohort_members(rows: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from panelwell.operators.labels import (
 from panelwell.operators.ordered import largest_group
 from panelwell.operators.people import eav_pivot
 from panelwell.operators.windows import Sampler, coverage_gate
-from panelwell.session import require_utc
+from panelwell.session import require_utc, store
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,9 @@ def clean_sensors(tables: StudyTables, settings: CohortSettings, max_sensors: in
     sensors = coerce_timestamps(preprocess(tables.sensors, settings.preprocessors, settings.study_start), ())
     sensors = exclude_users(sensors, settings.exclude)
     windows = enrollment_windows(tables.responses, settings.daily, settings.lead_days, settings.trail_days)
-    return clip_upper_quantile(enrollment_join(sensors, windows), settings.clip, max_group=max_sensors)
+    # written once: the quantile, the OS filter, the coverage gate and all windows read it
+    enrolled = store(enrollment_join(sensors, windows), "sensors", ["modality"])
+    return clip_upper_quantile(enrolled, settings.clip, max_group=max_sensors)
 
 
 def build_master(tables: StudyTables, settings: CohortSettings, max_responses: int | None = None) -> DataFrame:
@@ -112,7 +114,7 @@ def build_cohort(tables: StudyTables, settings: CohortSettings = CohortSettings(
     max_responses, _ = largest_group(tables.responses, ["app_user_id"])
     max_sensors, _ = largest_group(tables.sensors, ["modality"])
     sensors = clean_sensors(tables, settings, max_sensors)
-    master = os_filter(build_master(tables, settings, max_responses), sensors, settings.os)
-    master = coverage_gate(master, sensors, settings.sampler)
+    master = store(build_master(tables, settings, max_responses), "master")
+    master = coverage_gate(os_filter(master, sensors, settings.os), sensors, settings.sampler)
     people = eav_pivot(exclude_users(tables.demographic, settings.exclude)) if tables.demographic is not None else None
     return Cohort(sensors, master, people)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from panelwell.operators.cleaning import clip_upper_quantile
 from panelwell.operators.metrics import binary_metrics, melt_metrics, score_table
 from panelwell.registry import frames
-from panelwell.registry.core import q6, query, r6, scratch_path
+from panelwell.registry.core import q6, query, r6
+from panelwell.session import shared_path
 from panelwell.sources import study
 from panelwell.sources.manifest import (
     canonical_row,
@@ -131,7 +132,7 @@ def _(spark, sf):
 
 @query("write_manifest", "SELECT 'sensor' AS \"table\", * FROM (" + digest_sql("v_sensor", SENSOR_TEXT, SENSOR_COLUMNS) + ")", ("v_sensor",))
 def _(spark, sf):
-    return write_manifest(study.sensor(spark, sf), scratch_path(spark, "manifest"), "sensor")
+    return write_manifest(study.sensor(spark, sf), shared_path(spark, "manifest"), "sensor")
 
 
 @query("modality_union", "SELECT * FROM v_sensor", ("v_sensor",))
@@ -148,7 +149,7 @@ def _(spark, sf):
     ("v_sensor",),
 )
 def _(spark, sf):
-    shared = write_shared(study.sensor(spark, sf), scratch_path(spark, "cohort"), ["modality"])
+    shared = write_shared(study.sensor(spark, sf), shared_path(spark, "cohort"), ["modality"])
     return shared.groupBy("modality").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("app_user_id").alias("n_users"), r6(F.sum("value")).alias("total")
     )
@@ -162,7 +163,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     table = frames.predictions(spark, sf).withColumns({c: r6(c) for c in ("prob_class_0", "prob_class_1")})
-    path = scratch_path(spark, "predictions")
+    path = shared_path(spark, "predictions")
     sink_predictions(table, path)
     return spark.read.schema(table.schema).options(**CSV_OPTIONS).csv(path)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # rows are few but costly here: small shuffles should still use all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -71,6 +75,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, limit: int) -> bool:
-    """Whether ``df`` has at most ``limit`` rows, counting no more than ``limit + 1`` of them."""
-    return df.limit(limit + 1).count() <= limit
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the session's checkpoints, which all executors can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/panelwell/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder and reads it from there.
+
+    Unlike a checkpoint, later readers see only the columns and partitions they ask for.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

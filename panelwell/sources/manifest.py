@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from panelwell.functions.text import row_text
 from panelwell.operators.ordered import ordered_columns
-from panelwell.session import broadcast_rows
+from panelwell.session import broadcast_rows, cut_lineage
 
 #: Up to this many ranges become one pushed-down predicate; more are joined by id block.
 PREDICATE_RANGES = 50
@@ -72,7 +72,7 @@ def _pinned_by_block(df: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:
     """Overlapping or touching ranges become one."""
-    distinct = ranges.distinct()
+    distinct = cut_lineage(ranges.distinct())
     reach = ordered_columns(
         distinct, [], [F.col("first_id"), F.col("last_id")], maxima={"__reach": F.col("last_id")}
     )
@@ -104,6 +104,8 @@ def id_ranges(df: DataFrame, block_rows: int = ID_BLOCK) -> DataFrame:
         .agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
         .select("first_id", "last_id")
     )
+    # the two passes below count the runs before they order them; the runs are written once
+    runs = cut_lineage(runs)
     linked = ordered_columns(runs, [], [F.col("first_id")], lags={"__prev": F.col("last_id")})
     starts = F.when(F.col("__prev") + 1 == F.col("first_id"), 0).otherwise(1)
     grouped = ordered_columns(linked, [], [F.col("first_id")], sums={"__run": starts})

@@ -48,20 +48,21 @@ def bootstrap_weights(predictions: DataFrame, n_bootstraps: int = 1000, seed: in
     return counts.join(users.select("user_rank", "app_user_id"), "user_rank").select("replicate", "app_user_id", "weight")
 
 
-def rows_by_user_resample(predictions: DataFrame, weights: DataFrame) -> DataFrame:
+def rows_by_user_resample(predictions: DataFrame, weights: DataFrame, max_weights: int | None = None) -> DataFrame:
     """Weighted score table per replicate: ``(replicate, score, pos, neg)``.
 
     Rows are reduced to (user, score) first. Each user's draws travel as one array (at most one
     entry per replicate), so the join has one row per user on that side. A small user table is
-    broadcast after a count; otherwise the join is salted by the size of the largest user. Each
+    broadcast after a count (or by the given bound on its rows); otherwise the join is salted by the size of the largest user. Each
     row then becomes hundreds of replicate rows, so the rows are spread over all tasks first:
     adaptive coalescing would judge them by their size before that.
     """
     scores = score_table(predictions, ["app_user_id"])
     draws = weights.groupBy("app_user_id").agg(F.collect_list(F.struct("replicate", "weight")).alias("__draws"))
     spark = predictions.sparkSession
-    n_draws = weights.limit(broadcast_rows(spark) + 1).count()
-    if n_draws <= broadcast_rows(spark):
+    if max_weights is None:
+        max_weights = weights.limit(broadcast_rows(spark) + 1).count()
+    if max_weights <= broadcast_rows(spark):
         joined = scores.repartition(shuffle_partitions(spark)).join(F.broadcast(draws), "app_user_id")
     else:
         top, _ = largest_group(scores, ["app_user_id"])
@@ -86,7 +87,10 @@ def cluster_bootstrap(
     predictions: DataFrame, n_bootstraps: int = 1000, seed: int = 0, min_specificity: float = MIN_SPECIFICITY
 ) -> DataFrame:
     """Every metric of every replicate, one row per replicate; null where a draw has one class."""
-    table = rows_by_user_resample(predictions, bootstrap_weights(predictions, n_bootstraps, seed))
+    n_users = predictions.select("app_user_id").distinct().count()
+    table = rows_by_user_resample(
+        predictions, bootstrap_weights(predictions, n_bootstraps, seed), n_users * n_bootstraps
+    )
     # a replicate has no more distinct scores than the predictions have
     return binary_metrics(table, ["replicate"], min_specificity, max_group=_n_scores(predictions))
 

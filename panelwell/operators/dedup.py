@@ -133,7 +133,8 @@ def dedup_responses(
     responses: DataFrame, answers: DataFrame, gap_minutes: float = 10.0, max_group: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Responses and answers without repeated submissions."""
-    kept = kept_responses(responses, answers, gap_minutes, max_group)
+    # both tables, and whatever is built on them, read the list of kept ids
+    kept = cut_lineage(kept_responses(responses, answers, gap_minutes, max_group))
     return (
         responses.join(kept, "id", "left_semi"),
         answers.join(kept.withColumnRenamed("id", "survey_response_id"), "survey_response_id", "left_semi"),

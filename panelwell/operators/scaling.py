@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwell.session import cut_lineage
+
 FOLD = ("fold_index",)
 SLEEP_DEFAULTS = (7.0, 2.0)
 REFERENT_DEFAULTS = (12.0, 6.0)
@@ -91,6 +93,8 @@ def dual_scale(
         *[F.avg(of(r)).alias(f"__m_{r}") for r in ("train", "val", "test")],
         *[F.var_pop(of(r)).alias(f"__v_{r}") for r in ("train", "val", "test")],
     )
+    # three readers of a table with one row per participant and channel
+    seen = cut_lineage(seen)
     shared = [*by, "channel"]
     centre = seen.groupBy(*shared).agg((F.sum(F.col("__n") * F.col("__m_train")) / F.sum(F.when(F.col("__n") > 0, F.col("__n")))).alias("__gm"))
     around = F.col("__m_train") - F.col("__gm")

@@ -20,6 +20,7 @@ from panelwell.functions.timegrid import (
     MICROS_PER_HOUR,
     cyclic_hour,
     cyclic_weekday,
+    floor_div,
     from_micros,
     grid_index,
     hours_to_micros,
@@ -152,11 +153,9 @@ def pack_blocks(sensors: DataFrame, modalities: Sequence[str], base: int) -> Dat
     index = grid_index(F.col("start_timestamp"), base)
     placed = sensors.filter(F.col("modality").isin(*modalities)).select(
         "app_user_id", "modality", "value",
-        F.call_function("div", index - F.pmod(index, F.lit(SLOTS)), F.lit(SLOTS).cast("bigint")).alias("block"),
+        floor_div(index, SLOTS).alias("block"),
         F.pmod(index, F.lit(SLOTS)).cast("int").alias("slot"),
     )
-    # bins first: a hot user is reduced to its bins in the map-side combine
-    binned = placed.groupBy("app_user_id", "block", "slot", "modality").agg(F.sum("value").alias("value"))
     arrays = [
         F.array(*[
             F.coalesce(F.sum(F.when((F.col("modality") == m) & (F.col("slot") == s), F.col("value"))), F.lit(0.0))
@@ -164,7 +163,8 @@ def pack_blocks(sensors: DataFrame, modalities: Sequence[str], base: int) -> Dat
         ]).alias(f"__{i}")
         for i, m in enumerate(modalities)
     ]
-    return binned.groupBy("app_user_id", "block").agg(*arrays)
+    # a hot user is reduced to its blocks by the map-side combine, before the only shuffle
+    return placed.groupBy("app_user_id", "block").agg(*arrays)
 
 
 def packed_history(
@@ -186,7 +186,7 @@ def packed_history(
     slots = F.lit(SLOTS).cast("bigint")
     placed = surveys.withColumns({"__lo": F.call_function("div", low, width), "__hi": F.call_function("div", high, width)})
     placed = placed.withColumns(
-        {"__b0": F.floor(F.col("__lo") / slots), "__b1": F.floor((F.col("__hi") - 1) / slots)}
+        {"__b0": floor_div(F.col("__lo"), SLOTS), "__b1": floor_div(F.col("__hi") - 1, SLOTS)}
     )
     # survey columns travel with the look-up, so the surveys are read once
     carried = [c for c in placed.columns if c != key]

@@ -11,6 +11,7 @@ from panelwell.operators.windows import cyclic_time, window_bin_join
 from panelwell.registry import frames
 from panelwell.registry.core import q6, query, r6
 from panelwell.registry.cohort import DEVICE_SQL
+from panelwell.session import store
 from panelwell.sources import study
 
 MODALITIES, SAMPLER = frames.MODALITIES, frames.SAMPLER
@@ -25,9 +26,11 @@ long AS (SELECT w.survey_response_id, w.app_user_id, w.bin_idx, w.modality AS ch
 def user_windows(spark, sf):
     long = window_bin_join(frames.windows(spark, sf), SAMPLER, MODALITIES)
     roles = split_by_user(frames.master(spark, sf), max_group=frames.in_all(spark, sf)).select("survey_response_id", "app_user_id", "role")
-    return roles.join(long, "survey_response_id").select(
+    rows = roles.join(long, "survey_response_id").select(
         "survey_response_id", "app_user_id", "bin_idx", F.col("modality").alias("channel"), "value", "role"
     )
+    # scalers read the windows more than once, so they are written as a cohort's windows would be
+    return store(rows, "windows")
 
 
 @query(

@@ -10,14 +10,22 @@ from panelwell.plans.walk_forward import fold_features, walk_forward
 from panelwell.registry import frames
 from panelwell.registry.core import q6, query, r6
 from panelwell.registry.views import H
+from panelwell.session import store
 from panelwell.sources import study
 
 MODALITIES, SAMPLER = frames.MODALITIES, frames.SAMPLER
 
 
 def features(spark, sf):
-    """Fold rows with summary-statistic features; the model passes over them many times."""
-    return fold_features(frames.master(spark, sf), study.sensor(spark, sf), SAMPLER, MODALITIES, purge_hours=24.0, max_group=frames.per_user(spark, sf)).persist()
+    """Fold rows with summary-statistic features, written once.
+
+    The optimisers run a job per step; a written table keeps the window plan out of their lineage.
+    """
+    rows = fold_features(
+        frames.master(spark, sf), study.sensor(spark, sf), SAMPLER, MODALITIES, purge_hours=24.0,
+        max_group=frames.per_user(spark, sf),
+    )
+    return store(rows, "features")
 
 
 def _register_model(name: str, kind: str) -> None:

@@ -24,18 +24,25 @@ from panelwell.llm.common import groups_in_order, in_pieces, words_of
 from panelwell.session import broadcast_rows, cut_lineage, store
 
 MEMO = 300_000
+#: Nodes that share a rare token.
+RARE = 12
 
 
 @dataclass(frozen=True)
 class JoinSettings:
-    """``recall`` is the least chance to find a pair at the threshold; ``bucket`` the nodes compared without a further split."""
+    """``recall`` is the least chance to find a pair at the threshold; ``bucket`` the nodes compared without a further split.
+
+    A larger bucket is still not split if the mean similarity of its nodes is ``dense`` or more. Buckets of
+    more than ``block`` nodes are compared block by block.
+    """
 
     words: int = 5
     similarity: float = 0.8
     recall: float = 0.9999
     bucket: int = 256
     depth: int = 3
-    block: int = 512
+    block: int = 1024
+    dense: float = 0.3
     coordinates: int = 24
 
     def runs(self) -> int:
@@ -127,7 +134,7 @@ def leaves(nodes: DataFrame, settings: JoinSettings) -> DataFrame:
         ).where(F.col("members") > 1)
         # the same nodes need no second comparison
         single = sizes.groupBy("members", "added", "xored").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
-        sized = cut_lineage(rows.join(single, "bucket"))
+        sized = cut_lineage(rows.join(single, "bucket").select("bucket", "node", "members"))
         final = F.lit(True) if depth == settings.depth else F.col("members") <= settings.bucket
         found.append(sized.where(final))
         if depth == settings.depth:
@@ -135,8 +142,15 @@ def leaves(nodes: DataFrame, settings: JoinSettings) -> DataFrame:
         large = sized.where(~final)
         if large.isEmpty():
             break
-        split = large.join(sketch, "node")
+        split = cut_lineage(large.join(sketch, "node"))
         chosen = [F.pmod(F.xxhash64("bucket", F.lit(way)), F.lit(settings.coordinates)).cast("int") for way in (1, 2)]
+        # how often two nodes of the bucket agree in the first coordinate is their mean similarity;
+        # where it is high a split would only repeat the bucket, so it is compared as it is
+        agree = split.groupBy("bucket", F.get("sketch", chosen[0]).alias("value")).agg(F.count("*").alias("k"))
+        mean = agree.groupBy("bucket").agg((F.sum(F.col("k") * F.col("k")) / F.pow(F.sum("k"), F.lit(2))).alias("mean"))
+        dense = cut_lineage(mean.where(F.col("mean") >= settings.dense).select("bucket"))
+        found.append(split.select("bucket", "node", "members").join(dense, "bucket", "left_semi").select(*sized.columns))
+        split = split.join(dense, "bucket", "left_anti")
         children = F.array(*(F.xxhash64("bucket", c, F.get("sketch", c)) for c in chosen))
         rows = split.select("node", F.explode(F.array_distinct(children)).alias("bucket"))
     every = found[0]
@@ -162,6 +176,16 @@ def compare_block(table: pa.Table, low: int, high: int, similarity: float) -> li
     shared = np.bincount(token)[token] > 1
     token, owner = np.unique(token[shared], return_inverse=True)[1], owner[shared]
     common = np.zeros((m, m), np.float32)
+    if m > 64:
+        # tokens of few nodes add their pairs one by one; the others go through a dense product
+        first, count = np.unique(token, return_index=True, return_counts=True)[1:]
+        for c in range(2, RARE + 1):
+            places = owner[first[count == c][:, None] + np.arange(c)]
+            for i in range(c) if len(places) else ():
+                for j in range(c):
+                    np.add.at(common, (places[:, i], places[:, j]), 1)
+        often = np.repeat(count > RARE, count)
+        token, owner = np.unique(token[often], return_inverse=True)[1], owner[often]
     width = 4096
     for start in range(0, int(token.max()) + 1 if len(token) else 0, width):
         a, b = np.searchsorted(token, [start, start + width])

@@ -76,7 +76,7 @@ def calibrated(cells: DataFrame, keep: float, rounds: int) -> DataFrame:
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     budget, scale = keep * total, keep * total
-    ratio = F.col("weight") / F.col("tokens")
+    ratio = F.try_divide(F.col("weight"), F.col("tokens"))
     for _ in range(rounds):
         full = (ratio * F.lit(scale) >= 1) & (F.col("tokens") > 0)
         row = cells.agg(F.sum(F.when(full, F.col("tokens"))).cast("double"), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()

@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def coerce_answer(answer: Column) -> Column:
     """yes → 1, no → 0 (any case, outer blanks ignored), numbers as numbers, the rest null."""
     text = F.trim(answer.cast("string"))
-    number = text.try_cast("double")
+    # the cast alone would also read Java literals such as 1d
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
     return (
         F.when(F.lower(text) == "yes", F.lit(1.0))
         .when(F.lower(text) == "no", F.lit(0.0))

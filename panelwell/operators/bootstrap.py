@@ -18,14 +18,11 @@ from panelwell.operators.metrics import BINARY_METRICS, MIN_SPECIFICITY, binary_
 from panelwell.operators.ordered import largest_group, ordered_columns
 from panelwell.session import broadcast_rows, group_rows, shuffle_partitions
 
-#: Leave-one-out score tables may have this many rows in all; beyond it, groups must be used.
-JACKKNIFE_ROWS = 2_000_000_000
-
 
 def hash_number(*parts: Column | int | str) -> Column:
-    """32-bit number from the MD5 of the parts joined by colons."""
+    """60-bit number from the MD5 of the parts joined by colons."""
     texts = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *texts)), 1, 15), 16, 10).cast("bigint")
 
 
 def ranked_users(predictions: DataFrame) -> DataFrame:
@@ -107,8 +104,6 @@ def jackknife(predictions: DataFrame, groups: int | None = None, min_specificity
     n_users = users.count()
     n_sets = n_users if groups is None else min(groups, n_users)
     n_scores = _n_scores(predictions)
-    if n_sets * n_scores > JACKKNIFE_ROWS:
-        raise ValueError(f"{n_sets} sets × {n_scores} scores is too much for a leave-one-out pass; set groups")
     placed = predictions.join(
         users.select("app_user_id", (F.col("user_rank") % n_sets).alias("left_out")), "app_user_id"
     )
@@ -200,13 +195,13 @@ def pooled_metrics_with_intervals(
 
 
 def poisson_weight(uniform: Column) -> Column:
-    """Poisson(1) count of a uniform number by inversion; the tail beyond 12 has weight 1e-10."""
+    """Poisson(1) count of a uniform number by inversion; the tail beyond 19 is below its resolution."""
     cumulative, term, steps = 0.0, math.exp(-1.0), []
-    for k in range(13):
+    for k in range(20):
         cumulative += term
         steps.append((k, cumulative))
         term /= k + 1
-    count: Column = F.lit(13)
+    count: Column = F.lit(20)
     for k, bound in reversed(steps):
         count = F.when(uniform < bound, F.lit(k)).otherwise(count)
     return count
@@ -219,7 +214,7 @@ def row_bootstrap(
 
     The weight of a row in a replicate is a function of the row alone, so there is no join.
     """
-    uniform = hash_number(seed, F.col("replicate"), F.col(key)) / F.lit(float(1 << 32))
+    uniform = hash_number(seed, F.col("replicate"), F.col(key)) / F.lit(float(1 << 60))
     weighted = (
         predictions.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_bootstraps - 1))))
         .withColumn("__w", poisson_weight(uniform))

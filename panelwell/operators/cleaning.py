@@ -67,9 +67,17 @@ def study_start_cutoff(df: DataFrame, start: str = STUDY_START) -> DataFrame:
 
 
 def drop_duplicates_first(df: DataFrame, keys: Sequence[str] = DEDUP_COLUMNS, order: str = "id") -> DataFrame:
-    """Of rows equal in the key columns that exist, the one with the smallest ``order`` stays."""
+    """Of rows equal in the key columns that exist, the one with the smallest ``order`` stays.
+
+    Rows without ``order`` come last, and among themselves by a hash of the row: the order is never
+    null, so a table without ids keeps its rows whole. Different modalities are never merged.
+    """
     present = [k for k in keys if k in df.columns]
-    return row_rank_first(df, present, F.col(order)) if present else df
+    if not present:
+        return df
+    present += [k for k in ("modality",) if k in df.columns and k not in present]
+    number = F.col(order) if order in df.columns else F.lit(None).cast("bigint")
+    return row_rank_first(df, present, F.struct(number.isNull().alias("none"), number.alias("number"), F.xxhash64(*df.columns).alias("row")))
 
 
 def rename_source_for_user(df: DataFrame, rules: Sequence[SourceRule] = RENAME_RULES) -> DataFrame:

@@ -67,15 +67,20 @@ def coerced_answers(answers: DataFrame, text_questions: Collection[int] = ()) ->
     )
 
 
+def answered_twice(question: int) -> Column:
+    return F.count_if(F.col("question_id") == question) > 1
+
+
+def refusal(question: int) -> Column:
+    return F.raise_error(F.lit(f"question {question} has two answers in the same response"))
+
+
 def answers_pivot(answers: DataFrame, ids: Sequence[int], value: str = "answer_num") -> DataFrame:
     """Response × question matrix; two answers to one question of a response fail the job."""
     cells = []
     for i in ids:
         cell = F.when(F.col("question_id") == i, F.col(value))
-        twice = F.raise_error(F.lit(f"duplicate answers to question {i} in one response"))
-        cells.append(
-            F.when(F.count_if(F.col("question_id") == i) > 1, twice.cast("double")).otherwise(F.max(cell)).alias(f"q{i}")
-        )
+        cells.append(F.when(answered_twice(i), refusal(i).cast("double")).otherwise(F.max(cell)).alias(f"q{i}"))
     return answers.groupBy("survey_response_id").agg(*cells)
 
 
@@ -128,7 +133,10 @@ def applicable_rules(answers: DataFrame, rules: Sequence[Rule], logic: str) -> l
 
 
 def combine_rules(answers: DataFrame, rules: Sequence[Rule] = RISK_RULES, logic: str = "any") -> DataFrame:
-    """``(survey_response_id, answer)`` with 0/1 labels; no applicable rule gives 0 everywhere."""
+    """``(survey_response_id, answer)`` with 0/1 labels; no applicable rule gives 0 everywhere.
+
+    Two answers of one response to a question of the rules fail the job: they would count twice.
+    """
     active = applicable_rules(answers, rules, logic)
     combined: Column = F.lit(False)
     for i, rule in enumerate(active):
@@ -136,7 +144,10 @@ def combine_rules(answers: DataFrame, rules: Sequence[Rule] = RISK_RULES, logic:
         combined = condition if i == 0 else (combined | condition if logic == "any" else combined & condition)
     if not active:
         return answers.select("survey_response_id").distinct().withColumn("answer", F.lit(0))
-    return answers.groupBy("survey_response_id").agg(combined.cast("int").alias("answer"))
+    label = combined.cast("int")
+    for question in sorted({i for rule in active for i in rule.ids}):
+        label = F.when(answered_twice(question), refusal(question).cast("int")).otherwise(label)
+    return answers.groupBy("survey_response_id").agg(label.alias("answer"))
 
 
 def mean_label(answers: DataFrame, threshold: float | None = None) -> DataFrame:

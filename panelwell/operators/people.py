@@ -18,11 +18,21 @@ GENDERS = ("female", "male", "nonbinary")
 LGBT = ("no", "yes")
 
 
-def eav_pivot(demographic: DataFrame, keywords: Sequence[str] = KEYWORDS) -> DataFrame:
-    """Keyword rows to one row per user; gender falls back to gender at birth."""
-    wide = demographic.groupBy("app_user_id").agg(
-        *[F.max(F.when(F.col("keyword") == k, F.col("value"))).alias(RENAMED.get(k, k)) for k in keywords]
-    )
+def eav_pivot(demographic: DataFrame, keywords: Sequence[str] = KEYWORDS, rest: str | None = None) -> DataFrame:
+    """Keyword rows to one row per user; gender falls back to gender at birth.
+
+    ``keywords`` become columns; all others are kept in a map column named ``rest``, if given. Of
+    several values of one keyword the largest counts.
+    """
+    columns = [F.max(F.when(F.col("keyword") == k, F.col("value"))).alias(RENAMED.get(k, k)) for k in keywords]
+    if rest is not None:
+        single = demographic.groupBy("app_user_id", "keyword").agg(F.max("value").alias("value"))
+        other = F.col("keyword").isNotNull() & ~F.col("keyword").isin(*keywords)
+        # collect_list leaves out the nulls of the named keywords
+        pairs = F.collect_list(F.when(other, F.struct("keyword", "value")))
+        wide = single.groupBy("app_user_id").agg(*columns, F.map_from_entries(pairs).alias(rest))
+    else:
+        wide = demographic.groupBy("app_user_id").agg(*columns)
     if "gender" not in wide.columns:
         wide = wide.withColumn("gender", F.lit(None).cast("string"))
     if "gender_at_birth" in wide.columns:
@@ -62,17 +72,6 @@ def _clean(column: str) -> Column:
     return F.lower(F.trim(F.col(column)))
 
 
-def train_categories(demographics: DataFrame, train_users: DataFrame, column: str, fallback: Sequence[str], limit: int = 1000) -> list[str]:
-    """Categories that train users have. A category list is a schema, so it must be short."""
-    found = (
-        demographics.join(train_users.select("app_user_id").distinct(), "app_user_id", "left_semi")
-        .select(_clean(column).alias("c")).filter("c is not null and c <> ''").distinct().limit(limit + 1).collect()
-    )
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} categories; it is not a categorical column")
-    return sorted(r["c"] for r in found) or list(fallback)
-
-
 def onehot(column: str, categories: Sequence[str]) -> dict[str, Column]:
     value = F.coalesce(_clean(column), F.lit(""))
     flags = {f"{column}_{c}": (value == c).cast("double") for c in categories}
@@ -82,17 +81,15 @@ def onehot(column: str, categories: Sequence[str]) -> dict[str, Column]:
 def fit_demographics(
     demographics: DataFrame,
     train_users: DataFrame,
-    genders: Sequence[str] | None = None,
-    lgbt: Sequence[str] | None = None,
+    genders: Sequence[str] = GENDERS,
+    lgbt: Sequence[str] = LGBT,
     max_group: int | None = None,
 ) -> DataFrame:
     """Per user scaled age and one-hot gender and lgbt, all fitted on train users only.
 
-    Category lists fix the columns; left out, they are read from the train users.
+    Category lists fix the columns; other values set the unknown flag.
     """
     stats = age_stats(demographics, train_users, max_group)
-    genders = train_categories(demographics, train_users, "gender", GENDERS[:2]) if genders is None else genders
-    lgbt = train_categories(demographics, train_users, "lgbt", LGBT) if lgbt is None else lgbt
     # the statistics are a single row, taken in as scalar subqueries
     number = F.coalesce(F.col("age").try_cast("double"), stats.select("age_median").scalar())
     scaled = (number - stats.select("age_mean").scalar()) / stats.select("age_std").scalar()

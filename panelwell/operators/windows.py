@@ -339,8 +339,11 @@ def sample_windows(
 
 
 def sensor_reach(sensors: DataFrame, base: int) -> DataFrame:
-    """Per user and base bin of the start: the latest end. A missing end counts as the start."""
-    end = F.coalesce("end_timestamp", "start_timestamp") if "end_timestamp" in sensors.columns else F.col("start_timestamp")
+    """Per user and base bin of the start: the latest end.
+
+    Without an end column a record ends where it starts; a null end in the column covers nothing.
+    """
+    end = F.col("end_timestamp") if "end_timestamp" in sensors.columns else F.col("start_timestamp")
     return sensors.groupBy("app_user_id", grid_index(F.col("start_timestamp"), base).alias("__b")).agg(
         F.max(micros(end)).alias("__reach")
     )
@@ -373,11 +376,10 @@ def coverage_flags(
         "app_user_id", "__b", F.lit(0).alias("__kind"), F.lit(None).cast("bigint").alias("__reach")
     )
     reach = sensor_reach(sensors, base).select("app_user_id", "__b", F.lit(1).alias("__kind"), "__reach")
-    # the end of a window sorts before the records of the bin that starts there; a user has at
-    # most two rows per bin of its history here, which is a proven bound
+    # the end of a window sorts before the records of the bin that starts there
     steps = ordered_columns(
         ends.unionByName(reach), ["app_user_id"], [F.col("__b"), F.col("__kind")],
-        maxima={"__upto": F.col("__reach")}, max_group=0,
+        maxima={"__upto": F.col("__reach")},
     )
     lookup = steps.filter("__kind = 0").select("app_user_id", "__b", "__upto")
     return asked.join(lookup, ["app_user_id", "__b"]).select(

@@ -13,7 +13,6 @@ from panelwell.operators.cleaning import (
     PREPROCESSORS,
     STUDY_START,
     clip_upper_quantile,
-    coerce_timestamps,
     enrollment_join,
     enrollment_windows,
     exclude_users,
@@ -80,7 +79,7 @@ class Cohort:
 
 def clean_sensors(tables: StudyTables, settings: CohortSettings, max_sensors: int | None = None) -> DataFrame:
     """Preprocess, exclude, restrict to enrolment windows (from all responses), clip."""
-    sensors = coerce_timestamps(preprocess(tables.sensors, settings.preprocessors, settings.study_start), ())
+    sensors = preprocess(tables.sensors, settings.preprocessors, settings.study_start)
     sensors = exclude_users(sensors, settings.exclude)
     windows = enrollment_windows(tables.responses, settings.daily, settings.lead_days, settings.trail_days)
     # written once: the quantile, the OS filter, the coverage gate and all windows read it
@@ -110,10 +109,9 @@ def build_master(tables: StudyTables, settings: CohortSettings, max_responses: i
 def build_cohort(tables: StudyTables, settings: CohortSettings = CohortSettings()) -> Cohort:
     """Cleaned sensors, labelled surveys that pass the OS filter and coverage gate, demographics."""
     require_utc(tables.responses.sparkSession)
-    # two counts over the base tables bound every group the build has to order
+    # a count over the responses bounds every group of surveys that the build has to order
     max_responses, _ = largest_group(tables.responses, ["app_user_id"])
-    max_sensors, _ = largest_group(tables.sensors, ["modality"])
-    sensors = clean_sensors(tables, settings, max_sensors)
+    sensors = clean_sensors(tables, settings)
     master = store(build_master(tables, settings, max_responses), "master")
     master = coverage_gate(os_filter(master, sensors, settings.os), sensors, settings.sampler)
     people = eav_pivot(exclude_users(tables.demographic, settings.exclude)) if tables.demographic is not None else None

@@ -36,6 +36,29 @@ def repeated(df):
 REPEATED = "SELECT * FROM v_sensor UNION ALL SELECT * REPLACE (id + 10000000 AS id) FROM v_sensor"
 
 
+@query(
+    "eav_pivot_all_keywords",
+    """SELECT app_user_id, max(value) FILTER (keyword = 'age') AS age,
+  coalesce(string_agg(keyword || '=' || value, ';' ORDER BY keyword) FILTER (keyword <> 'age'), '') AS rest
+FROM v_demographic GROUP BY app_user_id""",
+    ("v_demographic",),
+)
+def _(spark, sf):
+    wide = people.eav_pivot(study.demographic(spark, sf), ["age"], rest="rest")
+    pairs = F.array_sort(F.transform(F.map_entries("rest"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return wide.select("app_user_id", "age", F.array_join(pairs, ";").alias("rest"))
+
+
+@query(
+    "drop_duplicates_no_id",
+    "SELECT DISTINCT app_user_id, modality, start_timestamp, end_timestamp, value, app_source FROM v_sensor",
+    ("v_sensor",),
+)
+def _(spark, sf):
+    sensors = study.sensor(spark, sf).drop("id")
+    return cleaning.drop_duplicates_first(sensors.unionByName(sensors)).select("app_user_id", "modality", "start_timestamp", "end_timestamp", "value", "app_source")
+
+
 @query("eav_pivot", "SELECT app_user_id, age, gender_at_birth, gender, lgbt FROM v_people", ("v_people",))
 def _(spark, sf):
     return people.eav_pivot(study.demographic(spark, sf))

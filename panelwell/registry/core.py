@@ -38,7 +38,8 @@ def with_views(body: str, needs: tuple[str, ...]) -> str:
         visit(name)
     if not ordered:
         return body
-    parts = [f"{name} AS (\n{VIEWS[name][1]}\n)" for name in ordered]
+    # computed once: several of them are read more than once
+    parts = [f"{name} AS MATERIALIZED (\n{VIEWS[name][1]}\n)" for name in ordered]
     # a body may bring common table expressions of its own, recursive ones among them
     text = body.lstrip()
     for opening, head in (("WITH RECURSIVE ", "WITH RECURSIVE "), ("WITH ", "WITH ")):

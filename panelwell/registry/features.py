@@ -20,7 +20,7 @@ MODALITIES, SAMPLER = frames.MODALITIES, frames.SAMPLER
 USER_WINDOW = """users AS (SELECT app_user_id, CASE WHEN p < n - held THEN 'train' WHEN p < n - held + floor(held * (0.15::DOUBLE / (0.15::DOUBLE + 0.15::DOUBLE))) THEN 'val' ELSE 'test' END AS role
   FROM (SELECT app_user_id, p, n, ceil(n * (1.0::DOUBLE - 0.7::DOUBLE)) AS held FROM (
     SELECT app_user_id, row_number() OVER (ORDER BY md5('42:' || app_user_id), app_user_id) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT app_user_id FROM v_master)))),
-long AS (SELECT w.survey_response_id, w.app_user_id, w.bin_idx, w.modality AS channel, w.value, u.role FROM v_window w JOIN users u USING (app_user_id))"""
+long AS MATERIALIZED (SELECT w.survey_response_id, w.app_user_id, w.bin_idx, w.modality AS channel, w.value, u.role FROM v_window w JOIN users u USING (app_user_id))"""
 
 
 def user_windows(spark, sf):

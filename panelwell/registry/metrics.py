@@ -277,7 +277,7 @@ def _(spark, sf):
 
 N_BOOTSTRAPS = 1000
 DRAWS = f"""u AS (SELECT app_user_id, row_number() OVER (ORDER BY app_user_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT app_user_id FROM v_predictions)),
-d AS (SELECT replicate, CAST('0x' || substr(md5('0:' || replicate || ':' || u.r), 1, 8) AS BIGINT) % u.n AS r FROM u, (SELECT CAST(unnest(range({N_BOOTSTRAPS})) AS INTEGER) AS replicate)),
+d AS (SELECT replicate, CAST('0x' || substr(md5('0:' || replicate || ':' || u.r), 1, 15) AS BIGINT) % u.n AS r FROM u, (SELECT CAST(unnest(range({N_BOOTSTRAPS})) AS INTEGER) AS replicate)),
 weights AS (SELECT d.replicate, u.app_user_id, count(*) AS weight FROM d JOIN u USING (r) GROUP BY ALL)"""
 
 

@@ -40,7 +40,8 @@ def scan_jdbc(
 def modality_union(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """One long sensor table out of several; ``tables`` maps modality → (table, value column).
 
-    Optional columns (``id``, ``end_timestamp``, ``app_source``) are null where a table lacks them.
+    Optional columns (``id``, ``app_source``) are null where a table lacks them; a table without
+    ``end_timestamp`` has records that end where they start. Text that is no time becomes null.
     """
     if not tables:
         raise ValueError("modality_union needs at least one table")
@@ -56,8 +57,8 @@ def modality_union(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
                 optional("id", "bigint").alias("id"),
                 F.col("app_user_id").cast("bigint").alias("app_user_id"),
                 F.lit(modality).alias("modality"),
-                F.col("start_timestamp").cast("timestamp_ntz").alias("start_timestamp"),
-                optional("end_timestamp", "timestamp_ntz").alias("end_timestamp"),
+                F.col("start_timestamp").try_cast("timestamp_ntz").alias("start_timestamp"),
+                F.col("end_timestamp" if "end_timestamp" in table.columns else "start_timestamp").try_cast("timestamp_ntz").alias("end_timestamp"),
                 F.col(value_column).cast("double").alias("value"),
                 optional("app_source", "string").alias("app_source"),
             )

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from panelwell.functions.answers import coerce_answer
 from panelwell.operators import cleaning
 from panelwell.sources.tables import modality_union
 
@@ -9,7 +12,7 @@ def sensors(spark, ts, rows, value="steps", modality="step"):
     return modality_union({modality: (df, value)})
 
 
-def test_step_preprocessor(spark, ts):
+def test_steps_keep_one_row_per_record_with_duration(spark, ts):
     df = sensors(spark, ts, [
         (26, "2026-01-01 10:00:00", "2026-01-01 10:05:00", 10.0, "Health"),
         (1, "2026-01-01 10:00:00", "2026-01-01 10:00:00", 5.0, "iPhone"),
@@ -28,7 +31,7 @@ def test_zero_duration_without_steps_and_unknown_source_stay(spark, ts):
     assert cleaning.clean_steps(df).count() == 1
 
 
-def test_distance_preprocessor(spark, ts):
+def test_distances_lose_points_and_copies(spark, ts):
     df = sensors(spark, ts, [
         (5, "2025-10-01 10:00:00", "2025-10-01 10:00:00", 0.0, "a"),
         (5, "2025-08-01 10:00:00", "2025-08-01 10:05:00", 1.0, "a"),
@@ -63,3 +66,18 @@ def test_os_classes(spark, ts):
     assert got == {1: "ios", 2: "android", 3: "both", 4: "both"}
     device = {r["app_user_id"]: tuple(r)[1:] for r in cleaning.device_source_onehot(df).collect()}
     assert device[3] == (0.0, 1.0, 0.0, 0.0) and device[4] == (0.0, 0.0, 0.0, 1.0)
+
+
+def test_copies_without_ids_keep_their_columns(spark, ts):
+    rows = [(7, "step", ts("2024-03-01T08:10:00"), ts("2024-03-01T08:20:00"), 11.0, "Health")] * 2
+    df = spark.createDataFrame(rows, "app_user_id long, modality string, start_timestamp timestamp_ntz, end_timestamp timestamp_ntz, value double, app_source string")
+    assert [tuple(r)[:2] for r in cleaning.drop_duplicates_first(df).collect()] == [(7, "step")]
+    with_null = df.withColumn("id", F.lit(None).cast("bigint"))
+    assert [r["modality"] for r in cleaning.drop_duplicates_first(with_null).collect()] == ["step"]
+
+
+def test_only_plain_numbers_are_answers(spark):
+    texts = ["1d", "2.5", " 3e1 ", "0x1", "NaN", "yes", "No", "-.5"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [r["n"] for r in df.select("i", coerce_answer(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert found == [None, 2.5, 30.0, None, None, 1.0, 0.0, -0.5]

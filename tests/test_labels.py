@@ -41,7 +41,7 @@ def test_absent_questions_skip_the_rule(spark):
 
 def test_pivot_refuses_duplicates(spark):
     coerced = labels.coerced_answers(answers(spark, [(1, 2, "3"), (1, 2, "4")]))
-    with pytest.raises(Exception, match="duplicate answers"):
+    with pytest.raises(Exception, match="two answers"):
         labels.answers_pivot(coerced, [2]).collect()
 
 
@@ -78,3 +78,8 @@ def test_sleep(spark):
 def test_clock_text(spark):
     df = spark.createDataFrame([("12:00 AM",), ("12:30 pm",), ("13:00 PM",), ("7.5",), (None,)], "t string")
     assert [r[0] for r in df.select(clock_to_hours(F.col("t"))).collect()] == [0.0, 12.5, None, 7.5, None]
+
+
+def test_rules_refuse_two_answers_to_one_question(spark):
+    with pytest.raises(Exception, match="two answers"):
+        made(spark, [(1, 2, "3"), (1, 2, "3")], [Rule((2,), "sum", 5)])

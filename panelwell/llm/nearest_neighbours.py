@@ -6,6 +6,10 @@ widest direction, so their lists are balanced. A vector is stored in the list of
 and in those of further centroids that are hardly farther away (boundary vectors are replicated). The
 centroids are searched by a graph held in memory; a query reads the lists whose centroids are within a
 ratio of the nearest one's distance. Lists and their queries are cut into blocks of bounded size.
+
+Lists are read in two steps. The few nearest lists of a query give a score that its k-th answer reaches
+at least; the other lists then send only what reaches it. This loses nothing, and what a query sends does
+not grow with the number of lists that it reads.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from panelwell.session import store
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """``sample`` bounds the vectors that the centroids are fitted on and ``lists`` the centroids; every vector is indexed."""
+    """``sample`` bounds the vectors that the centroids are fitted on and ``lists`` the centroids; every vector is indexed. ``first`` lists of a query are read before its others."""
 
     list_rows: int = 512
     lists: int = 4096
@@ -35,6 +39,7 @@ class IndexSettings:
     beam: int = 64
     degree: int = 24
     block: int = 4096
+    first: int = 4
 
 
 def halved(points: np.ndarray, parts: int) -> list[np.ndarray]:
@@ -120,8 +125,8 @@ class Centroids:
     largest: float
     settings: IndexSettings
 
-    def lists_of(self, vectors: np.ndarray, stored: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: where a vector is stored, or what a query reads."""
+    def lists_of(self, vectors: np.ndarray, stored: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, place) of the lists where a vector is stored, or that a query reads; the nearest list has place 0."""
         rest = np.sqrt(np.maximum(0, self.largest - (vectors ** 2).sum(1))) if stored else np.zeros(len(vectors))
         points = np.column_stack([vectors, rest])
         ids, gap = self.graph.nearest(points, self.settings.beam)
@@ -130,7 +135,7 @@ class Centroids:
         if stored:
             close &= np.cumsum(close, axis=1) <= self.settings.replicas
         row, column = np.nonzero(close)
-        return row, ids[row, column]
+        return row, ids[row, column], column
 
 
 def usable(vector: Column) -> Column:
@@ -187,45 +192,63 @@ def search(vectors: DataFrame, query: Column, k: int = 20, settings: IndexSettin
             for batch in batches:
                 for start in range(0, batch.num_rows, 512):
                     part = batch.slice(start, 512)
-                    row, lists = fitted.lists_of(matrix(part.column(1), width), stored)
+                    row, lists, place = fitted.lists_of(matrix(part.column(1), width), stored)
                     at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(lists.astype(np.int32))], names=["key", "embedding", "list"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(at), part.column(1).take(at), pa.array(lists.astype(np.int32)), pa.array(place.astype(np.int32))],
+                        names=["key", "embedding", "list", "place"],
+                    )
 
         return run
 
     kind = base.schema["embedding"].dataType.simpleString()
-    schema = f"key long, embedding {kind}, list int"
-    stored = store(base.select("key", "embedding").mapInArrow(assign(True), schema), "lists")
+    schema = f"key long, embedding {kind}, list int, place int"
+    stored = store(base.select("key", "embedding").mapInArrow(assign(True), schema).drop("place"), "lists")
     asked_keys = questions.select("key").distinct()
     probes = store(keys.join(asked_keys, "key").select("key", "embedding").mapInArrow(assign(False), schema), "probes")
 
-    # at most settings.lists rows each
-    cuts = {}
-    for name, df in (("b", stored), ("q", probes)):
-        cuts[name] = {r["list"]: -(-r["count"] // settings.block) for r in df.groupBy("list").count().collect()}
-    parts = spark.createDataFrame([(i, n, cuts["q"].get(i, 1)) for i, n in cuts["b"].items()], "list int, b_parts int, q_parts int")
-    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = stored.join(F.broadcast(parts), "list").select("list", own("b_parts").alias("b"), every("q_parts").alias("q"), "key", "embedding")
-    right = probes.join(F.broadcast(parts), "list").select("list", every("b_parts").alias("b"), own("q_parts").alias("q"), "key", "embedding")
-
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         if a.num_rows and b.num_rows:
             ids, x = a.column("key").to_numpy(), matrix(a.column("embedding"), width)
-            asked_ids, y = b.column("key").to_numpy(), matrix(b.column("embedding"), width)
+            asked_ids, y, least = b.column("key").to_numpy(), matrix(b.column("embedding"), width), b.column("least").to_numpy()
             top = min(k + 1, len(ids))
             for start in range(0, len(y), 256):
                 scores = y[start:start + 256] @ x.T
                 floor = -np.partition(-scores, top - 1, axis=1)[:, top - 1:top]
-                q, c = np.nonzero(scores >= floor - 1e-9)
+                q, c = np.nonzero(scores >= np.maximum(floor, least[start:start + 256, None]) - 1e-9)
                 out.append((asked_ids[start + q], ids[c], (y[start + q] * x[c]).sum(axis=1)))
         q, c, s = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"asked": pa.array(q, pa.int64()), "key": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    met = left.groupBy("list", "b", "q").cogroup(right.groupBy("list", "b", "q")).applyInArrow(compare, "asked long, key long, score double")
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def blocks(df: DataFrame) -> dict[int, int]:
+        """Blocks per list; at most settings.lists rows."""
+        return {r["list"]: -(-r["count"] // settings.block) for r in df.groupBy("list").count().collect()}
+
+    stored_blocks = blocks(stored)
+
+    def read(asking: DataFrame) -> DataFrame:
+        """asked, key, score: per list the best of its vectors for the queries (key, embedding, list, least) that read it."""
+        asking_blocks = blocks(asking)
+        parts = F.broadcast(spark.createDataFrame([(i, stored_blocks.get(i, 1), n) for i, n in asking_blocks.items()], "list int, b_parts int, q_parts int"))
+        left = stored.join(parts, "list").select("list", own("b_parts").alias("b"), every("q_parts").alias("q"), "key", "embedding")
+        right = asking.join(parts, "list").select("list", every("b_parts").alias("b"), own("q_parts").alias("q"), "key", "embedding", "least")
+        return left.groupBy("list", "b", "q").cogroup(right.groupBy("list", "b", "q")).applyInArrow(compare, "asked long, key long, score double")
+
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "key")
-    single = met.repartition("asked").dropDuplicates(["asked", "key"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+
+    def leading(met: DataFrame) -> DataFrame:
+        return met.repartition("asked").dropDuplicates(["asked", "key"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+
+    near = store(leading(read(probes.where(F.col("place") < settings.first).withColumn("least", F.lit(float("-inf"))))), "near")
+    reached = near.where(F.col("place") == k + 1).select(F.col("asked").alias("key"), F.col("score").alias("least"))
+    later = probes.where(F.col("place") >= settings.first)
+    further = store(later.join(reached, "key", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "further")
+    met = near.select("asked", "key", "score").unionByName(read(further))
+    single = leading(met)
     named = single.select("asked", "key", "score").join(base.select("key", "ids"), "key").select("asked", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     top = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwell.session import cut_lineage
+from panelwell.session import broadcast_rows, cut_lineage
 
 FOLD = ("fold_index",)
 SLEEP_DEFAULTS = (7.0, 2.0)
@@ -118,6 +118,54 @@ def dual_scale(
     return joined.withColumn("__b", F.explode(blocks)).select(*long.columns, "__b.block", "__b.scaled")
 
 
+#: A variance below this share of the mean square is rounding: sums of squares can't resolve it.
+NO_SPREAD = 1e-12
+
+
+def dual_scale_packed(rows: DataFrame, windows: DataFrame, channels: Sequence[str], by: Sequence[str] = FOLD) -> tuple[DataFrame, list[str]]:
+    """The fold rows with their packed windows scaled twice, and the new column names, global ones first.
+
+    As ``dual_scale``, without exploding: a survey's window is reduced to its count, sum and sum of
+    squares on the row, these are pooled per fold, participant and role, and arrays are scaled in place.
+    Participants without train rows are scaled by their validation rows, or else their test rows.
+    """
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
+    sums = {}
+    for c in channels:
+        sums |= {f"__n_{c}": F.size(c).cast("double"), f"__s_{c}": total(c, lambda v: v), f"__q_{c}": total(c, lambda v: v * v)}
+    moments = windows.select("survey_response_id", *[v.alias(k) for k, v in sums.items()])
+    pooled = rows.select(*by, "role", "app_user_id", "survey_response_id").join(moments, "survey_response_id").groupBy(*by, "app_user_id").agg(
+        *[F.sum(F.when(F.col("role") == r, F.col(k))).alias(f"{k}_{r}") for k in sums for r in ("train", "val", "test")]
+    )
+    pooled = cut_lineage(pooled)  # a row per fold and participant, read twice
+
+    def mean_std(n: Column, s: Column, q: Column) -> tuple[Column, Column]:
+        mean = F.try_divide(s, n)
+        square = F.try_divide(q, n)
+        variance = square - mean * mean
+        return mean, F.when(variance > NO_SPREAD * square, F.sqrt(variance)).otherwise(1.0)
+
+    everyone, own = [], []
+    for c in channels:
+        m, s = mean_std(*(F.sum(f"__{k}_{c}_train") for k in "nsq"))
+        everyone += [m.alias(f"__gm_{c}"), s.alias(f"__gs_{c}")]
+        has = [F.col(f"__n_{c}_{r}").isNotNull() for r in ("train", "val", "test")]
+        pick = lambda k: F.when(has[0], F.col(f"__{k}_{c}_train")).when(has[1], F.col(f"__{k}_{c}_val")).otherwise(F.col(f"__{k}_{c}_test"))
+        m, s = mean_std(*(pick(k) for k in "nsq"))
+        own += [m.alias(f"__um_{c}"), s.alias(f"__us_{c}")]
+    shared = pooled.groupBy(*by).agg(*everyone)
+    each = pooled.select(*by, "app_user_id", *own).join(shared, list(by))
+    if pooled.count() <= broadcast_rows(rows.sparkSession):
+        each = F.broadcast(each)
+    joined = rows.join(windows.select("survey_response_id", *channels), "survey_response_id").join(each, [*by, "app_user_id"])
+
+    def scaled(c: str, kind: str) -> Column:
+        return F.transform(c, lambda v: (v - F.col(f"__{kind}m_{c}")) / F.col(f"__{kind}s_{c}"))
+
+    new = {f"{name}_{c}": scaled(c, kind) for name, kind in (("global", "g"), ("subject", "u")) for c in channels}
+    return joined.select(*rows.columns, *[v.alias(k) for k, v in new.items()]), list(new)
+
+
 def _train_scale(df: DataFrame, column: str, defaults: tuple[float, float], by: Sequence[str]) -> DataFrame:
     """Adds ``__m`` and ``__s``: train mean and sample deviation per fold, defaults where undefined.
 

@@ -8,8 +8,11 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwell.operators.features import assemble_features, summary_stats
+from panelwell.operators.catch22 import catch22_features
+from panelwell.operators.features import assemble_features, flatten_window, summary_stats
 from panelwell.operators.model import fit_predict
+from panelwell.operators.people import demographics_by_fold
+from panelwell.operators.scaling import CONTEXT_MODES, SLEEP_MODES, dual_scale_packed, scale_sleep, survey_context
 from panelwell.operators.splits import cyclic_cuts, walk_forward_cyclic
 from panelwell.operators.windows import RollingSampler, covered_by_setting, lookback_hours, packed_windows
 
@@ -28,6 +31,47 @@ def fold_features(
     return walk_forward_cyclic(featured, train_width, step, purge, max_group=max_group)
 
 
+FEATURIZERS = ("raw", "stats", "catch22")
+
+
+def fold_matrix(
+    windows: DataFrame, folds: DataFrame, channels: Sequence[str], featurizer: str = "stats", scaled: bool = True,
+    demographics: DataFrame | None = None, sleep: str = "none", context: str = "none",
+) -> DataFrame:
+    """Fold rows with ``features``: window features, demographics, sleep, context, all fitted on the fold's train rows.
+
+    ``windows`` are packed windows by survey, ``folds`` the rows of all folds with ``sleep_hours`` and
+    ``sleep_category``, ``referent_hours`` and ``is_morning`` where the sleep and context modes need
+    them. Scaled windows have each channel twice, first scaled over all participants, then by participant.
+    A fold row without a window is left out.
+    """
+    if featurizer not in FEATURIZERS:
+        raise ValueError(f"featurizer {featurizer!r} is none of {', '.join(FEATURIZERS)}")
+    keep = ["fold_index", "role", "survey_response_id", "app_user_id", "record_timestamp", "answer"]
+    extra = [*SLEEP_MODES[sleep], *CONTEXT_MODES[context]]
+    rows = folds
+    if sleep != "none":
+        rows = scale_sleep(rows)
+    if context != "none":
+        rows = survey_context(rows)
+    people: list[str] = []
+    rows = rows.select(*keep, *extra)
+    if demographics is not None:
+        rows = demographics_by_fold(rows, demographics)
+        people = [c for c in rows.columns if c not in (*keep, *extra)]
+    if scaled:
+        rows, names = dual_scale_packed(rows, windows, channels)
+    else:
+        rows, names = rows.join(windows.select("survey_response_id", *channels), "survey_response_id"), list(channels)
+    carried = [*keep, *people, *extra]
+    if featurizer == "raw":
+        made, columns = flatten_window(rows, names, "window", keep=carried), ["window"]
+    else:
+        made = (summary_stats if featurizer == "stats" else catch22_features)(rows, names, keep=carried)
+        columns = [c for c in made.columns if c not in carried]
+    return assemble_features(made, columns, people, SLEEP_MODES[sleep], CONTEXT_MODES[context], keep=keep)
+
+
 def walk_forward(features: DataFrame, model: Callable[[], Pipeline], train_width: float = 0.8, step: float = 0.2) -> DataFrame:
     """Pooled out-of-fold predictions. The fold list is fixed before the first fit."""
     folds = [c[0] for c in cyclic_cuts(train_width, step)]

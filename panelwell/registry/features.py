@@ -8,6 +8,7 @@ from panelwell.operators import features as feats
 from panelwell.operators import labels, people, scaling
 from panelwell.operators.splits import split_by_user
 from panelwell.operators.windows import cyclic_time, window_bin_join
+from panelwell.plans.walk_forward import fold_matrix
 from panelwell.registry import frames
 from panelwell.registry.core import q6, query, r6
 from panelwell.registry.cohort import DEVICE_SQL
@@ -233,3 +234,53 @@ def _(spark, sf):
     )
     made = feats.assemble_features(rows, ASSEMBLED, ["lgbt_yes"], ["hours"], ["is_morning"])
     return made.select("survey_response_id", F.posexplode("features").alias("pos", "value")).withColumn("value", r6("value"))
+
+
+# the features of the whole protocol: windows scaled per fold, demographics, sleep and context
+MATRIX = f"""{FOLD_SLEEP},
+t AS (SELECT fold_index, channel, avg(value) AS m, stddev_pop(value) AS s FROM v_fold_window WHERE role = 'train' GROUP BY ALL),
+u AS (SELECT fold_index, app_user_id, channel, avg(value) AS m, stddev_pop(value) AS s FROM v_fold_window WHERE role = 'train' GROUP BY ALL),
+z AS (SELECT f.fold_index, f.role, f.survey_response_id, f.bin_idx, CAST(f.channel = '{MODALITIES[1]}' AS INTEGER) AS ci, b.block,
+    CASE WHEN b.block = 0 THEN {scaled('t.m', 't.s')} ELSE {scaled('u.m', 'u.s')} END AS v
+  FROM v_fold_window f JOIN t USING (fold_index, channel) JOIN u USING (fold_index, app_user_id, channel), (VALUES (0), (1)) b(block)),
+ages AS (SELECT fold_index, quantile_cont(CAST(age AS DOUBLE), 0.5) AS med, avg(CAST(age AS DOUBLE)) AS am, stddev_samp(CAST(age AS DOUBLE)) AS asd
+  FROM (SELECT DISTINCT fold_index, app_user_id FROM v_cyclic WHERE role = 'train') JOIN v_people USING (app_user_id) GROUP BY fold_index),
+context AS (SELECT fold_index, coalesce(avg(referent_hours), 12) AS rm, CASE WHEN stddev_samp(referent_hours) > 0 THEN stddev_samp(referent_hours) ELSE 6 END AS rs
+  FROM v_cyclic WHERE role = 'train' GROUP BY fold_index),
+x AS (SELECT fold_index, role, survey_response_id, unnest([
+    CASE WHEN p.app_user_id IS NULL THEN 0.0::DOUBLE ELSE (coalesce(try_cast(p.age AS DOUBLE), ages.med) - ages.am) / ages.asd END,
+    {', '.join(f"coalesce(CAST(lower(trim(p.gender)) = '{g}' AS DOUBLE), 0.0)" for g in people.GENDERS)}, coalesce(CAST(lower(trim(p.gender)) NOT IN ('female', 'male', 'nonbinary') AS DOUBLE), 1.0),
+    {', '.join(f"coalesce(CAST(lower(trim(p.lgbt)) = '{g}' AS DOUBLE), 0.0)" for g in people.LGBT)}, coalesce(CAST(lower(trim(p.lgbt)) NOT IN ('no', 'yes') AS DOUBLE), 1.0),
+    (coalesce(sleep_hours, fit.m) - fit.m) / fit.s, {', '.join(f'coalesce(CAST(sleep_category = {k} AS DOUBLE), 0.0)' for k in (0, 1, 2))}, CAST(sleep_category IS NULL AS DOUBLE),
+    CAST(is_morning AS DOUBLE), (coalesce(referent_hours, rm) - rm) / rs, CAST(referent_hours IS NULL AS DOUBLE)]) AS v, unnest(range(16)) AS pos
+  FROM rows JOIN fit USING (fold_index) JOIN ages USING (fold_index) JOIN context USING (fold_index) LEFT JOIN v_people p USING (app_user_id))"""
+MATRIX_NEEDS = ("v_cyclic", "v_sleep", "v_fold_window", "v_people")
+
+
+def matrix_rows(spark, sf, featurizer):
+    # the folds and windows are read several times
+    folds = store(fold_sleep(spark, sf), "folds")
+    windows = store(frames.windows(spark, sf).select("survey_response_id", *MODALITIES), "packed-windows")
+    made = fold_matrix(windows, folds, MODALITIES, featurizer, True, people.eav_pivot(study.demographic(spark, sf)), "both", "both")
+    return made.select("fold_index", "role", "survey_response_id", F.posexplode("features").alias("pos", "value")).withColumn("value", r6("value"))
+
+
+@query(
+    "fold_matrix_raw",
+    f"""WITH {MATRIX} SELECT fold_index, role, survey_response_id, CAST(bin_idx * 4 + block * 2 + ci AS INTEGER) AS pos, {q6('v')} AS value FROM z
+UNION ALL SELECT fold_index, role, survey_response_id, CAST({4 * 12} + pos AS INTEGER), {q6('v')} FROM x""",
+    MATRIX_NEEDS,
+)
+def _(spark, sf):
+    return matrix_rows(spark, sf, "raw")
+
+
+@query(
+    "fold_matrix_stats",
+    f"""WITH {MATRIX}, w AS (SELECT fold_index, role, survey_response_id, block, ci, [avg(v), quantile_cont(v, 0.5), stddev_pop(v), min(v), max(v)] AS five FROM z GROUP BY ALL)
+SELECT fold_index, role, survey_response_id, CAST(block * 10 + ci * 5 + k AS INTEGER) AS pos, {q6('five[k + 1]')} AS value FROM w, range(5) r(k)
+UNION ALL SELECT fold_index, role, survey_response_id, CAST(20 + pos AS INTEGER), {q6('v')} FROM x""",
+    MATRIX_NEEDS,
+)
+def _(spark, sf):
+    return matrix_rows(spark, sf, "stats")

@@ -14,7 +14,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from panelwell.registry import REGISTRY
+from panelwell.registry import REGISTRY, frames
 from panelwell.session import local_session
 
 HEADLINE = (
@@ -29,6 +29,7 @@ HEADLINE = (
     "cohort_by_setting",
     "walk_forward_cyclic",
     "dual_scale",
+    "fold_matrix_stats",
     "pooled_metrics",
     "cluster_bootstrap",
 )
@@ -48,6 +49,7 @@ def main() -> None:
     seconds: dict[str, float] = {}
     for name in names:
         for timed in (False, True):
+            frames.forget_bounds()
             start = time.perf_counter()
             rows = consume(REGISTRY[name].run(spark, sf_dir))
             took = time.perf_counter() - start

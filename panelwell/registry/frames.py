@@ -41,6 +41,11 @@ def bounds(spark: SparkSession, sf_dir: str, table: str = "events") -> tuple[int
     return _BOUNDS[key]
 
 
+def forget_bounds() -> None:
+    """Lets the next query count again; the benchmark does so before it takes the time."""
+    _BOUNDS.clear()
+
+
 def per_user(spark: SparkSession, sf_dir: str, table: str = "events") -> int:
     return bounds(spark, sf_dir, table)[0]
 

@@ -107,7 +107,7 @@ def rule_condition(rule: Rule) -> Column:
         return any_of((F.col("answer") if rule.is_text else F.col("answer_num")) == val)
     if rule.op == "any_gt":
         return any_of(F.col("answer_num") > val)
-    raise ValueError(f"Unknown operation: {rule.op}")
+    raise ValueError(f"rule operation {rule.op!r} is not known")
 
 
 def applicable_rules(answers: DataFrame, rules: Sequence[Rule], logic: str) -> list[Rule]:
@@ -117,7 +117,7 @@ def applicable_rules(answers: DataFrame, rules: Sequence[Rule], logic: str) -> l
     rules must hold; only then one small aggregate is run to see which questions occur.
     """
     if logic not in ("any", "all"):
-        raise ValueError(f"Unknown combination logic: {logic}")
+        raise ValueError(f"rules combine by any or all, not by {logic!r}")
 
     def true_when_empty(rule: Rule) -> bool:
         return (rule.op == "sum_le" and rule.val >= 0) or (rule.op == "sum" and rule.val <= 0)
@@ -250,7 +250,7 @@ def collapse_daily(
     if strategy in (None, "none"):
         return responses, answers
     if strategy not in COLLAPSE_STRATEGIES:
-        raise ValueError(f"Unknown collapse strategy: {strategy}")
+        raise ValueError(f"collapse strategy {strategy!r} is none of {sorted(COLLAPSE_STRATEGIES)}")
     coerced = coerced_answers(answers, text_questions)
     placed = answers_by_user_day(coerced, responses)
     if questions is None:

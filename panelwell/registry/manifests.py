@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwell.operators.cleaning import clip_upper_quantile
+from panelwell.operators.identity import fold_identity
 from panelwell.operators.metrics import binary_metrics, melt_metrics, score_table
 from panelwell.registry import frames
 from panelwell.registry.core import q6, query, r6
@@ -15,10 +16,11 @@ from panelwell.sources.manifest import (
     id_ranges,
     manifest_audit,
     pinned_scan,
+    read_manifest_ranges,
     table_digest,
     write_manifest,
 )
-from panelwell.sources.tables import CSV_OPTIONS, fold_metrics_wide, modality_union, scan_table, sink_predictions, write_shared
+from panelwell.sources.tables import CSV_OPTIONS, fold_metrics_wide, modality_union, scan_table, sink_fold_metrics, sink_predictions, write_shared
 
 PINNED = [(100, 2_999), (4_000, 4_499), (6_000, 4_000_000_000)]
 
@@ -130,9 +132,23 @@ def _(spark, sf):
     return manifest_audit(found, recorded)
 
 
-@query("write_manifest", "SELECT 'sensor' AS \"table\", * FROM (" + digest_sql("v_sensor", SENSOR_TEXT, SENSOR_COLUMNS) + ")", ("v_sensor",))
+RANGES_SQL = (
+    "SELECT min(id) AS first_id, max(id) AS last_id FROM "
+    "(SELECT id, id - row_number() OVER (ORDER BY id) AS island FROM (SELECT DISTINCT id FROM v_sensor)) GROUP BY island"
+)
+
+
+@query(
+    "write_manifest",
+    "SELECT 'sensor' AS \"table\", first_id, last_id, \"rows\", digest FROM (" + digest_sql("v_sensor", SENSOR_TEXT, SENSOR_COLUMNS) + f"), ({RANGES_SQL})",
+    ("v_sensor",),
+)
 def _(spark, sf):
-    return write_manifest(study.sensor(spark, sf), shared_path(spark, "manifest"), "sensor")
+    path = shared_path(spark, "manifest")
+    head = write_manifest(study.sensor(spark, sf), path, "sensor")
+    # every range that was written, read back beside the table's row count and digest (one row)
+    ranges = read_manifest_ranges(spark, path, "sensor").withColumn("table", F.lit("sensor"))
+    return ranges.join(F.broadcast(head), "table").select("table", "first_id", "last_id", "rows", "digest")
 
 
 @query("modality_union", "SELECT * FROM v_sensor", ("v_sensor",))
@@ -172,12 +188,16 @@ FOLD_COUNTS = """
 SELECT fold_index, count_if(y_true = 1 AND prob_class_1 > 0.5) AS tp, count_if(y_true = 0 AND prob_class_1 > 0.5) AS fp,
   count_if(y_true = 1 AND NOT prob_class_1 > 0.5) AS fn, count_if(y_true = 0 AND NOT prob_class_1 > 0.5) AS tn
 FROM v_predictions GROUP BY fold_index"""
+FOLD_USERS = """
+SELECT fold_index, CAST(sum(number) % 4294967296 AS BIGINT) AS test_user_hash, CAST(sum(n) AS BIGINT) AS test_n_responses FROM (
+  SELECT fold_index, CAST('0x' || substr(md5(CAST(app_user_id AS VARCHAR)), 1, 8) AS BIGINT) AS number, count(*) AS n
+  FROM v_predictions GROUP BY fold_index, app_user_id) GROUP BY fold_index"""
 
 
 @query(
     "sink_fold_metrics",
-    f"SELECT fold_index, {q6('CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END')} AS precision, {q6('tp / (tp + fn)')} AS recall, "
-    f"{q6('tn / (tn + fp)')} AS specificity FROM ({FOLD_COUNTS})",
+    f"SELECT 'protocol' AS pipeline, fold_index, test_user_hash, test_n_responses, {q6('CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END')} AS precision, {q6('tp / (tp + fn)')} AS recall, "
+    f"{q6('tn / (tn + fp)')} AS specificity FROM ({FOLD_COUNTS}) JOIN ({FOLD_USERS}) USING (fold_index)",
     ("v_predictions",),
 )
 def _(spark, sf):
@@ -187,7 +207,9 @@ def _(spark, sf):
     )
     long = melt_metrics(wide, ["fold_index"], metrics)
     rows = fold_metrics_wide(long, ["fold_index"], metrics)
-    return rows.select("fold_index", *[r6(m).alias(m) for m in metrics])
+    known = fold_identity(frames.master(spark, sf), frames.predictions(spark, sf))
+    written = sink_fold_metrics(rows, shared_path(spark, "fold-metrics"), {"pipeline": "protocol"}, known)
+    return written.select("pipeline", "fold_index", "test_user_hash", "test_n_responses", *[r6(m).alias(m) for m in metrics])
 
 
 @query(

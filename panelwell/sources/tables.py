@@ -97,5 +97,12 @@ def fold_metrics_wide(long_metrics: DataFrame, tags: Sequence[str], metrics: Seq
     )
 
 
-def sink_fold_metrics(wide: DataFrame, path: str) -> None:
-    wide.write.mode("append").parquet(path)
+def sink_fold_metrics(wide: DataFrame, path: str, tags: Mapping[str, str] | None = None, identity: DataFrame | None = None, by: Sequence[str] = ("fold_index",)) -> DataFrame:
+    """Appends one row per fold: tags, fingerprints and sizes of its rows (``identity``), metrics. Returns the whole table.
+
+    Tags are columns of text with one value each; a fold without an identity has nulls there.
+    """
+    rows = wide if identity is None else wide.join(identity, list(by), "left")
+    rows = rows.select(*[F.lit(value).cast("string").alias(name) for name, value in (tags or {}).items()], *rows.columns)
+    rows.write.mode("append").parquet(path)
+    return wide.sparkSession.read.schema(rows.schema).parquet(path)

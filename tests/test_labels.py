@@ -35,7 +35,7 @@ def test_absent_questions_skip_the_rule(spark):
     rows = [(1, 2, "3")]
     assert made(spark, rows, [Rule((2,), "ge", 2), Rule((40,), "ge", 1)], "all") == {1: 1}
     assert made(spark, rows, [Rule((40,), "sum_le", 5)]) == {1: 0}
-    with pytest.raises(ValueError, match="Unknown operation"):
+    with pytest.raises(ValueError, match="is not known"):
         made(spark, rows, [Rule((2,), "median", 1)])
 
 

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "table_digest", "id_ranges", "cohort_sensors", "collapse_daily_first", "dedup_responses_12h", "sampler_grid",
     "cohort_by_setting", "split_longitudinal_ties", "dual_scale", "fit_demographics", "pooled_metrics", "tune_threshold",
-    "cluster_bootstrap", "fold_identity", "fold_matrix_stats",
+    "cluster_bootstrap", "fold_identity", "fold_matrix_stats", "sink_fold_metrics", "write_manifest",
 ]
 
 

@@ -4,8 +4,8 @@ Inner product becomes Euclidean distance by one more coordinate, sqrt(M^2 - |x|^
 and 0 for queries. Centroids come from halving a bounded sample again and again at the median of its
 widest direction, so their lists are balanced. A vector is stored in the list of its nearest centroid,
 and in those of further centroids that are hardly farther away (boundary vectors are replicated). The
-centroids are searched by a graph held in memory; a query reads the lists whose centroids are within a
-ratio of the nearest one's distance. Lists and their queries are cut into blocks of bounded size.
+centroids are searched by a graph held in memory; a query reads all lists whose centroids are within a
+ratio of the nearest one's distance, however many they are. Lists and their queries are cut into blocks of bounded size.
 
 Lists are read in two steps. The few nearest lists of a query give a score that its k-th answer reaches
 at least; the other lists then send only what reaches it. This loses nothing, and what a query sends does
@@ -28,7 +28,7 @@ from panelwell.session import store
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """``sample`` bounds the vectors that the centroids are fitted on and ``lists`` the centroids; every vector is indexed. ``first`` lists of a query are read before its others."""
+    """``sample`` bounds the vectors that the centroids are fitted on and ``lists`` the centroids; every vector is indexed. ``first`` lists of a query are read before its others. ``beam`` is where the graph search for a query's lists starts; it widens until it holds all of them."""
 
     list_rows: int = 512
     lists: int = 4096
@@ -118,6 +118,18 @@ class CentroidGraph:
             ids[active], gap[active] = np.take_along_axis(ids_all, best, 1), np.take_along_axis(gap_all, best, 1)
         return ids, gap
 
+    def within(self, points: np.ndarray, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, centroid, place) of all centroids within ``ratio`` of the nearest one's distance; the beam widens for the points that fill it."""
+        n, rest, found = len(self.centroids), np.arange(len(points)), []
+        while len(rest):
+            ids, gap = self.nearest(points[rest], beam)
+            close = (gap <= gap[:, :1] * ratio + 1e-12) & (ids < n)
+            done = ~close[:, -1] | (beam >= n)
+            row, column = np.nonzero(close & done[:, None])
+            found.append((rest[row], ids[row, column], column))
+            rest, beam = rest[~done], beam * 4
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
 
 @dataclass(frozen=True)
 class Centroids:
@@ -129,11 +141,11 @@ class Centroids:
         """(row, list, place) of the lists where a vector is stored, or that a query reads; the nearest list has place 0."""
         rest = np.sqrt(np.maximum(0, self.largest - (vectors ** 2).sum(1))) if stored else np.zeros(len(vectors))
         points = np.column_stack([vectors, rest])
+        if not stored:
+            return self.graph.within(points, self.settings.probe_ratio, self.settings.beam)
         ids, gap = self.graph.nearest(points, self.settings.beam)
-        n = len(self.graph.centroids)
-        close = (gap <= gap[:, :1] * (self.settings.replica_ratio if stored else self.settings.probe_ratio) + 1e-12) & (ids < n)
-        if stored:
-            close &= np.cumsum(close, axis=1) <= self.settings.replicas
+        close = (gap <= gap[:, :1] * self.settings.replica_ratio + 1e-12) & (ids < len(self.graph.centroids))
+        close &= np.cumsum(close, axis=1) <= self.settings.replicas
         row, column = np.nonzero(close)
         return row, ids[row, column], column
 

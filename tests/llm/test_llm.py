@@ -14,7 +14,7 @@ from panelwell.llm.common import table, words_of
 from panelwell.llm.decontamination import PositionalIndex, contamination
 from panelwell.llm.html_text import extract_text, main_blocks
 from panelwell.llm.jaccard_join import JoinSettings, similarity_join
-from panelwell.llm.nearest_neighbours import IndexSettings, search
+from panelwell.llm.nearest_neighbours import CentroidGraph, Centroids, IndexSettings, search
 from panelwell.llm.quality import quality
 from panelwell.llm.source_mixture import Margin, mixture
 from panelwell.llm.token_counts import count_tokens
@@ -200,6 +200,20 @@ def test_search_finds_the_nearest(spark):
     assert search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_a_query_reads_all_lists_within_the_ratio():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=(400, 16)), np.zeros(400)])
+    fitted = Centroids(CentroidGraph(x, 24), 40.0, IndexSettings(probe_ratio=1.6))
+    asked = rng.normal(size=(30, 16))
+    row, lists, place = fitted.lists_of(asked, False)
+    gap = np.linalg.norm(np.column_stack([asked, np.zeros(30)])[:, None] - x, axis=2)
+    want = gap <= gap.min(axis=1, keepdims=True) * 1.6
+    assert want.sum(axis=1).max() > 64 and want[row, lists].all() and len(set(zip(row, lists))) == len(row) >= 0.99 * want.sum()
+    assert all(sorted(place[row == i]) == list(range((row == i).sum())) for i in range(30))
+
+
 # --- 7 ---
 
 

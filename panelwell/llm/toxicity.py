@@ -1,8 +1,10 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their beginnings of 4 to 6 letters, so that inflected or compounded forms meet.
-The examples are a bounded number of labelled texts of each class; the vocabulary is the terms that
-the examples show to speak for the class; document frequencies are counted over the whole corpus.
+The examples are a bounded number of labelled texts of each class; all their terms are indexed, and
+norms are over all of them. A term's TF-IDF weight is multiplied by how much it tells the classes apart
+(the root of its likelihood ratio among the examples, whichever class it speaks for); document
+frequencies are counted over the whole corpus.
 The examples' vectors form an inverted index in blocks of examples: each term knows its largest
 weight in each block, so a block whose bound is below the k-th best cosine found so far is skipped
 without losing a neighbour. Votes of the neighbours are weighted by similarity and class share, and
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwell.llm.common import in_pieces, ship, words_of
@@ -30,14 +32,10 @@ MEMO = 300_000
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    """``examples`` bounds the labelled rows of each class that are fitted on, ``terms`` the vocabulary.
-
-    A term enters the vocabulary if the z value of its log odds is at least sqrt(2 ln n), n being the
-    toxic examples: about the largest value that chance gives among as many terms.
-    """
+    """``examples`` bounds the labelled rows of each class that are fitted on, ``least`` is the smallest factor of a term."""
 
     examples: int = 2000
-    terms: int = 4096
+    least: float = 0.01
     neighbours: int = 15
     block: int = 64
     pseudo_weight: float = 0.3
@@ -63,13 +61,28 @@ def counted(text: str | None, ids: dict[str, int], memo: dict[str, tuple[int, ..
     return found
 
 
+def spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start to before its stop, one range after the other, and the ranges' sizes."""
+    size = stop - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum())), size
+
+
+def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The root of each term's G statistic, from the toxic and clean examples that hold it."""
+    n, seen = n_toxic + n_clean, toxic + clean
+    total = np.zeros(len(toxic))
+    for found, row, column in ((toxic, seen, n_toxic), (clean, seen, n_clean), (n_toxic - toxic, n - seen, n_toxic), (n_clean - clean, n - seen, n_clean)):
+        total += found * np.log(np.maximum(found, 1) * n / (np.maximum(row, 1) * column))
+    return np.sqrt(np.maximum(0, 2 * total))
+
+
 class BlockMaxIndex:
     """Examples as unit vectors, posted per (term, block), with the largest weight of each pair."""
 
     def __init__(self, rows: list[dict[int, int]], labels: np.ndarray, idf: np.ndarray, block: int):
         # similar examples share a block, which makes the blocks' bounds tight
         order = sorted(range(len(rows)), key=lambda i: (-labels[i], min(rows[i], key=lambda t: (-rows[i][t] * idf[t], t)), i))
-        self.labels = labels[order]
+        self.order, self.labels = order, labels[order]
         self.n, self.block, self.idf = len(rows), block, idf
         self.blocks = -(-self.n // block)
         example, term, weight = [], [], []
@@ -82,23 +95,32 @@ class BlockMaxIndex:
         place = np.lexsort((example, term))
         self.example, self.weight = example[place].astype(np.int32), weight[place].astype(float)
         cell = term[place] * self.blocks + self.example // block
-        self.start = np.searchsorted(cell, np.arange(len(idf) * self.blocks + 1))
-        self.most = np.zeros(len(idf) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(idf), self.blocks)
+        # only the pairs that occur are kept
+        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][:len(cell)])
+        self.cell = cell[begin]
+        self.cell_start = np.r_[begin, len(cell)]
+        self.cell_block = (self.cell % self.blocks if len(begin) else self.cell).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else self.weight
+        self.term_start = np.searchsorted(self.cell, np.arange(len(idf) + 1) * self.blocks)
+
+    @property
+    def start(self) -> np.ndarray:
+        """Where the postings of each (term, block) begin, pairs without any included."""
+        return self.cell_start[np.searchsorted(self.cell, np.arange(len(self.idf) * self.blocks + 1))]
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term ids and weights (1 + ln tf) idf, scaled to length one."""
         ids = np.fromiter(sorted(counts), np.int64, len(counts))
-        values = (1 + np.log([counts[i] for i in ids.tolist()])) * self.idf[ids]
+        values = (1 + np.log(np.fromiter(map(counts.get, ids.tolist()), float, len(ids)))) * self.idf[ids]
         return ids, values / math.sqrt(float(values @ values))
 
-    def scores(self, ids: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact cosines of all examples in the given blocks."""
-        cell = (ids[:, None] * self.blocks + blocks).ravel()
-        size = self.start[cell + 1] - self.start[cell]
-        at = np.repeat(self.start[cell] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        total = np.bincount(self.example[at], np.repeat(np.repeat(values, len(blocks)), size) * self.weight[at], self.n)
+    def scores(self, cells: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact cosines of all examples in the given blocks; ``values`` are the text's weights for the cells of its terms."""
+        chosen = np.zeros(self.blocks, bool)
+        chosen[blocks] = True
+        use = chosen[self.cell_block[cells]]
+        at, size = spans(self.cell_start[cells[use]], self.cell_start[cells[use] + 1])
+        total = np.bincount(self.example[at], np.repeat(values[use], size) * self.weight[at], self.n)
         members = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
         members = members[members < self.n]
         return members, total[members]
@@ -108,15 +130,17 @@ class BlockMaxIndex:
         if not counts or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
         ids, values = self.vector(counts)
-        bound = values @ self.most[ids]
+        cells, size = spans(self.term_start[ids], self.term_start[ids + 1])
+        values = np.repeat(values, size)
+        bound = np.bincount(self.cell_block[cells], values * self.most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         members, found = np.zeros(0, np.int64), np.zeros(0)
         step, floor = 2, 0.0
         while len(order) and bound[order[0]] >= floor - 1e-12:
-            more, scores = self.scores(ids, values, order[:step])
+            more, scores = self.scores(cells, values, order[:step])
             order = order[step:]
-            step *= 2
+            step *= 4
             use = (scores > 0) & (more != without)
             members, found = np.r_[members, more[use]], np.r_[found, scores[use]]
             best = np.lexsort((members, -np.round(found, 12)))[:k]
@@ -202,13 +226,12 @@ def document_frequencies(docs: DataFrame, ids: dict[str, int]) -> np.ndarray:
                 for text in batch.column(0).slice(start, 500).to_pylist():
                     total[list(counted(text, known, memo))] += 1
                     total[n] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(total)], names=["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "df"])
 
-    # the vocabulary is bounded by the settings, so is this result
-    rows = docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    # bounded by the examples' terms
+    rows = docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     out = np.zeros(n + 1, np.int64)
-    for row in rows:
-        out[row["term"]] = row["df"]
+    out[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
     return out
 
 
@@ -219,7 +242,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
     are one example, toxic if any label of theirs says so. Null ids, labels and texts take no part, nor do
     texts without words. Without a text of each class there is no model (None).
     """
-    spark: SparkSession = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     # only a hash of each text is moved to meet its label
     hashes = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("example"))
@@ -232,42 +254,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
     chosen = F.broadcast(first[0].unionByName(first[1]).select("doc_id", "example", "label"))
     examples = docs.select("doc_id", "text", F.xxhash64("text").alias("example")).join(chosen, ["doc_id", "example"]).select("example", "label", "text")
     rows = store(example_terms(examples).distinct(), "toxicity-terms")
-    size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.countDistinct("example").alias("n")).collect()}
-    if len(size) < 2:
-        return None
-    seen = rows.groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    strength = F.log(a / (size[1] - F.col("toxic") + 0.5)) - F.log(b / (size[0] - F.col("clean") + 0.5))
-    z = F.abs(strength) / F.sqrt(1 / a + 1 / b)
-    chosen = seen.where(strength > 0).select("term", z.alias("z")).where(F.col("z") >= math.sqrt(2 * math.log(max(2, size[1]))))
-    vocabulary = [r["term"] for r in chosen.orderBy(F.desc("z"), "term").limit(settings.terms).collect()]
-    if not vocabulary:
+    # bounded: the terms of the examples
+    posted = rows.toArrow()
+    known, first, example = np.unique(posted.column("example").to_numpy(), return_index=True, return_inverse=True)
+    labels = posted.column("label").to_numpy()[first].astype(np.int64)
+    size = np.bincount(labels, minlength=2)
+    if not size.all():
         return None
-    ids = {term: i for i, term in enumerate(vocabulary)}
+    terms = posted.column("term").combine_chunks().dictionary_encode()
+    ids = {t: i for i, t in enumerate(terms.dictionary.to_pylist())}
+    term, tf = terms.indices.to_numpy(), posted.column("tf").to_numpy()
+    toxic = np.bincount(term[labels[example] == 1], minlength=len(ids))
+    factor = likelihood_ratio(toxic, np.bincount(term, minlength=len(ids)) - toxic, int(size[1]), int(size[0]))
     df = document_frequencies(docs, ids)
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
-    # bounded: examples per class x terms
-    counts: dict[int, dict[int, int]] = {}
-    label_of: dict[int, int] = {}
-    wanted = spark.createDataFrame([(t,) for t in vocabulary], "term string")
-    for r in rows.join(F.broadcast(wanted), "term").select("example", "label", "term", "tf").toLocalIterator():
-        counts.setdefault(r["example"], {})[ids[r["term"]]] = r["tf"]
-        label_of[r["example"]] = r["label"]
-    keys = sorted(counts)
-    labels = np.array([label_of[k] for k in keys], np.int64)
-    index = BlockMaxIndex([counts[k] for k in keys], labels, idf, settings.block)
+    idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * np.maximum(settings.least, factor)
+    place = np.argsort(example, kind="stable")
+    ends = np.cumsum(np.bincount(example))
+    counts = [dict(zip(term[at].tolist(), tf[at].tolist())) for at in np.split(place, ends[:-1])]
+    index = BlockMaxIndex(counts, labels, idf, settings.block)
     total = shares[0] + shares[1]
-    weight = (shares[0] / size[0], shares[1] / size[1])
+    weight = (shares[0] / int(size[0]), shares[1] / int(size[1]))
     scale = max(weight)
     model = ToxicityModel(ids, index, settings, (weight[0] / scale, weight[1] / scale), shares[1] / total, 1.0, 0.0)
-    # left-one-out votes of all examples, those without a term of the vocabulary included
-    order = sorted(range(len(keys)), key=lambda i: (-labels[i], min(counts[keys[i]], key=lambda t: (-counts[keys[i]][t] * idf[t], t)), i))
-    votes = [model.vote(counts[keys[i]], at)[0] for at, i in enumerate(order)]
-    seen_by = np.bincount(labels, minlength=2)
-    blank = model.vote({})[0]
-    x = np.array([logit(v) for v in votes] + [logit(blank)] * 2)
-    y = np.r_[labels[order], 0, 1].astype(float)
-    w = np.r_[np.where(labels[order] == 1, weight[1], weight[0]), weight[0] * (size[0] - seen_by[0]), weight[1] * (size[1] - seen_by[1])]
+    # left-one-out votes of all examples
+    votes = [model.vote(counts[i], at)[0] for at, i in enumerate(index.order)]
+    x, y = np.array([logit(v) for v in votes]), index.labels.astype(float)
+    w = np.where(index.labels == 1, weight[1], weight[0])
     slope, offset = fit_logistic(x, y, w)
     return ToxicityModel(ids, index, settings, model.class_weight, model.prior, slope, offset)
 
@@ -276,10 +288,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """One row per document: doc_id, text_hash, score, predicted, n_neighbours, nearest_cosine, toxic_votes.
 
     ``text_hash`` tells apart documents that share an id. The last three are the evidence: how many examples share a term, the largest cosine, and how many
-    of the neighbours are toxic. Null and empty texts, and texts without a term of the vocabulary, get
+    of the neighbours are toxic. Null and empty texts, and texts without a term of the examples, get
     the score of a text without neighbours; without a model every score is 0. Repeated rows and null
     ids are scored each. Only ``doc_id`` and ``text`` are read; no shuffle. The broadcast index is
-    bounded by the settings.
+    bounded by the examples' terms.
     """
     shared = ship(docs.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -117,6 +117,15 @@ def test_toxicity_learns_words_and_takes_awkward_rows(spark):
     assert score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_indexes_all_terms_of_the_examples(spark):
+    texts = [f"calm plain words number{i}" + (f" rare{i // 8}" if i % 4 == 0 else f" kind{i % 7}") for i in range(200)]
+    docs = documents(spark, texts + ["calm plain words rare3 unseen", "calm plain words kind2 unseen"])
+    model = fit_toxicity(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, label int"))
+    assert {"calm", "rare3", "kind2", "number7"} <= set(model.ids)
+    rows = {r["doc_id"]: r for r in score_toxicity(docs, model).where("doc_id >= 200").collect()}
+    assert (rows[200]["predicted"], rows[201]["predicted"]) == (1, 0) and rows[201]["n_neighbours"] == 15
+
+
 # --- 4 ---
 
 

@@ -4,8 +4,9 @@ The standard library's streaming parser turns a page into lines: the text betwee
 with the tags seen in it. Each line has a ratio of characters to tags. The ratios are smoothed with
 a Gaussian, and lines over a threshold between the two clusters of smoothed values are content.
 The content lines name a region: the innermost element that holds most of their characters. All
-lines of the region are kept, so that a short paragraph or a heading beside long ones is not lost;
-if the page has no such element below its body, the content lines alone are kept. Lines inside
+lines of the region are kept, so that a short paragraph or a heading beside long ones is not lost,
+and so are the content lines outside it; if the page has no such element below its body, the content
+lines alone are kept. Lines inside
 elements that are never article text (menus, forms, adverts, comments) take no part at any step.
 """
 
@@ -169,7 +170,7 @@ def main_blocks(html: str | None, sigma: float = 1.0, share: float = 0.7) -> lis
     region = region_of([p for (_, _, p), c in zip(lines, content) if c], length[content], parser.names, share)
     if region is None:
         return [text for (text, _, _), c in zip(lines, content) if c]
-    return [text for text, _, path in lines if region in path]
+    return [text for (text, _, path), c in zip(lines, content) if c or region in path]
 
 
 def region_of(paths: list[tuple[int, ...]], weight: np.ndarray, names: list[str], share: float) -> int | None:

@@ -322,6 +322,11 @@ def test_article_text_is_found(spark):
     assert [r["text"] for r in rows] == ["\n\n".join(want)] * 2 + [""] and rows[0]["n_chars"] == len("\n\n".join(want)) and extract_text(df.limit(0)).count() == 0
 
 
+def test_content_lines_outside_the_region_are_kept():
+    lead, story = ("lead words " * 20).strip(), ("story words " * 60).strip()
+    assert main_blocks(f"<body><div><p>{lead}</p></div><div><p>{story}</p><p>end</p></div></body>") == [lead, story, "end"]
+
+
 # --- queries and pipeline ---
 
 

@@ -7,7 +7,9 @@ The content lines name a region: the innermost element that holds most of their
 lines of the region are kept, so that a short paragraph or a heading beside long ones is not lost,
 and so are the content lines outside it; if the page has no such element below its body, the content
 lines alone are kept. Lines inside
-elements that are never article text (menus, forms, adverts, comments) take no part at any step.
+elements that are never article text (menus, forms, adverts, comments) take no part at any step. A form
+or an element marked only by its class, id or role that holds most of the page's text is a wrapper and
+stays, unless the page has an article elsewhere.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 #: Names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button option datalist".split())
-APART = frozenset("nav footer aside form dialog menu search".split())
+APART = frozenset("nav footer aside dialog menu search".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -42,22 +44,34 @@ MARKS = frozenset(
     "pagination popup promo promoted related respond sidebar share sharing signup social sponsor sponsored subscribe toolbar "
     "widget widgets complementary contentinfo search dialog alert paywall".split()
 )
+#: Before a mark these say how a wrapper is laid out; ids of headings and paragraphs are made from their words.
+LAYOUT = frozenset("with without has have no not non".split())
+UNMARKED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 #: Elements whose own header or footer belongs to the article's frame, too.
 REGIONS = frozenset("article main".split())
 
 
-def marked(attrs: list[tuple[str, str | None]], tag: str) -> bool:
-    """Whether the attributes mark a part that is not shown or is no article text."""
+def hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether the attributes say that a part is not shown."""
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id", "role") and value and tag not in ("body", "html", *REGIONS):
-            words = {w for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w}
-            if words & MARKS:
-                return True
+    return False
+
+
+def marked(attrs: list[tuple[str, str | None]], tag: str) -> bool:
+    """Whether class, id or role mark a part as no article text."""
+    if tag in ("body", "html", *REGIONS, *UNMARKED):
+        return False
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            for one in value.split():
+                words = [w for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()) if w]
+                if any(w in MARKS and not LAYOUT.intersection(words[:i]) for i, w in enumerate(words)):
+                    return True
     return False
 
 
@@ -68,6 +82,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, never text, apart from the article
         self.names: list[str] = []
+        self.marks: set[int] = set()  # forms and marked elements
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -100,8 +115,10 @@ class Lines(HTMLParser):
         inside = any(t in REGIONS for t, _, _, _ in self.open)
         self.open.append((
             tag, len(self.names), never or tag in HIDDEN,
-            apart or tag in APART or tag == "header" and not inside or marked(attrs, tag),
+            apart or tag in APART or tag == "header" and not inside or hidden(attrs),
         ))
+        if tag == "form" or marked(attrs, tag):
+            self.marks.add(len(self.names))
         self.names.append(tag)
 
     def innermost(self) -> str:
@@ -161,7 +178,9 @@ def main_blocks(html: str | None, sigma: float = 1.0, share: float = 0.7) -> lis
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = [(text, tags, path) for text, tags, path, apart in parser.lines if not apart]
+    shown = [(text, tags, path) for text, tags, path, apart in parser.lines if not apart]
+    away = parser.marks - wrappers(shown, parser.names, parser.marks)
+    lines = [line for line in shown if away.isdisjoint(line[2])]
     if not lines:
         return []
     length = np.array([len(text) for text, _, _ in lines], float)
@@ -173,6 +192,22 @@ def main_blocks(html: str | None, sigma: float = 1.0, share: float = 0.7) -> lis
     return [text for (text, _, path), c in zip(lines, content) if c or region in path]
 
 
+def wrappers(lines: list[tuple[str, int, tuple[int, ...]]], names: list[str], marks: set[int]) -> set[int]:
+    """The marked elements with over half of the text, if no article or main beside them has any."""
+    held = dict.fromkeys(marks, 0)
+    for text, _, path in lines if marks else ():
+        for number in marks.intersection(path):
+            held[number] += len(text)
+    total = sum(len(text) for text, _, _ in lines)
+    found = set()
+    for number in (n for n, size in held.items() if 2 * size > total):
+        around = next(path for _, _, path in lines if number in path)
+        around = set(around[:around.index(number)])
+        if not any(names[n] in REGIONS and n not in around for _, _, path in lines if number not in path for n in path):
+            found.add(number)
+    return found
+
+
 def region_of(paths: list[tuple[int, ...]], weight: np.ndarray, names: list[str], share: float) -> int | None:
     """The innermost element holding at least ``share`` of the content; an article or main around it, if any."""
     held: dict[int, float] = {}

@@ -327,6 +327,16 @@ def test_content_lines_outside_the_region_are_kept():
     assert main_blocks(f"<body><div><p>{lead}</p></div><div><p>{story}</p><p>end</p></div></body>") == [lead, story, "end"]
 
 
+def test_marked_wrappers_and_headings_stay():
+    story = ("story words " * 60).strip()
+    body = f"<h2 id='related-work'>Related work</h2><p>{story}</p><div class='sidebar'>see also</div>"
+    want = ["Related work", story]
+    for start, end in (("<div class='layout with-sidebar'>", "</div>"), ("<div class='no-sidebar has-ads'>", "</div>"), ("<form>", "</form>"), ("<div class='widget'>", "</div>"), ("<form><div id='page-search'><article>", "</article></div></form>")):
+        assert main_blocks(f"<body><nav>menu</nav>{start}{body}{end}<div class='ads'>buy</div></body>") == want
+    assert main_blocks(f"<body><article><p>{story[:200]}</p></article><div class='comments'><p>{story}</p></div></body>") == [story[:200].strip()]
+    assert main_blocks(f"<body><div hidden><p>{story}</p></div><p>shown</p></body>") == ["shown"]
+
+
 # --- queries and pipeline ---
 
 

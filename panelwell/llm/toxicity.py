@@ -14,7 +14,7 @@ a logistic curve fitted on left-one-out votes turns them into probabilities.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,6 +61,22 @@ def counted(text: str | None, ids: dict[str, int], memo: dict[str, tuple[int, ..
     return found
 
 
+class Counts(Sequence):
+    """The terms of each example with their occurrences, as arrays; a dict is made when it is asked for."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, tf: np.ndarray):
+        place = np.argsort(example, kind="stable")
+        self.ends = np.r_[0, np.cumsum(np.bincount(example))]
+        self.term, self.tf = term[place], tf[place]
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> dict[int, int]:
+        at = slice(self.ends[i], self.ends[i + 1])
+        return dict(zip(self.term[at].tolist(), self.tf[at].tolist()))
+
+
 def spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers from each start to before its stop, one range after the other, and the ranges' sizes."""
     size = stop - start
@@ -79,22 +95,23 @@ def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean
 class BlockMaxIndex:
     """Examples as unit vectors, posted per (term, block), with the largest weight of each pair."""
 
-    def __init__(self, rows: list[dict[int, int]], labels: np.ndarray, idf: np.ndarray, block: int):
+    def __init__(self, rows: Sequence[dict[int, int]], labels: np.ndarray, idf: np.ndarray, block: int):
         # similar examples share a block, which makes the blocks' bounds tight
-        order = sorted(range(len(rows)), key=lambda i: (-labels[i], min(rows[i], key=lambda t: (-rows[i][t] * idf[t], t)), i))
+        leading = lambda row: min(row, key=lambda t: (-row[t] * idf[t], t))
+        order = sorted(range(len(rows)), key=lambda i: (-labels[i], leading(rows[i]), i))
         self.order, self.labels = order, labels[order]
         self.n, self.block, self.idf = len(rows), block, idf
         self.blocks = -(-self.n // block)
         example, term, weight = [], [], []
         for at, i in enumerate(order):
             ids, values = self.vector(rows[i])
-            example.append(np.full(len(ids), at))
-            term.append(ids)
+            example.append(np.full(len(ids), at, np.int32))
+            term.append(ids.astype(np.int32))
             weight.append(values)
         example, term, weight = (np.concatenate(x) if x else np.zeros(0, int) for x in (example, term, weight))
         place = np.lexsort((example, term))
         self.example, self.weight = example[place].astype(np.int32), weight[place].astype(float)
-        cell = term[place] * self.blocks + self.example // block
+        cell = term[place].astype(np.int64) * self.blocks + self.example // block
         # only the pairs that occur are kept
         begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][:len(cell)])
         self.cell = cell[begin]
@@ -261,16 +278,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
     size = np.bincount(labels, minlength=2)
     if not size.all():
         return None
-    terms = posted.column("term").combine_chunks().dictionary_encode()
+    terms = posted.column("term").dictionary_encode().combine_chunks()
     ids = {t: i for i, t in enumerate(terms.dictionary.to_pylist())}
-    term, tf = terms.indices.to_numpy(), posted.column("tf").to_numpy()
+    term, tf = terms.indices.to_numpy(), posted.column("tf").to_numpy().copy()
+    del posted, terms
     toxic = np.bincount(term[labels[example] == 1], minlength=len(ids))
     factor = likelihood_ratio(toxic, np.bincount(term, minlength=len(ids)) - toxic, int(size[1]), int(size[0]))
     df = document_frequencies(docs, ids)
     idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * np.maximum(settings.least, factor)
-    place = np.argsort(example, kind="stable")
-    ends = np.cumsum(np.bincount(example))
-    counts = [dict(zip(term[at].tolist(), tf[at].tolist())) for at in np.split(place, ends[:-1])]
+    counts = Counts(example, term, tf)
     index = BlockMaxIndex(counts, labels, idf, settings.block)
     total = shares[0] + shares[1]
     weight = (shares[0] / int(size[0]), shares[1] / int(size[1]))

@@ -93,3 +93,28 @@ met AS (SELECT h, s, fetched, q.pattern, action, string_agg(DISTINCT category, '
 best AS (SELECT *, row_number() OVER (PARTITION BY h, s, fetched ORDER BY length(pattern) DESC, pattern, action = 'allow') AS rn FROM met)
 SELECT page_id, p.fetched, p.h AS url_host, coalesce(action = 'block', false) AS url_blocked, pattern AS url_pattern, coalesce(cats, '') AS url_categories
 FROM p LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON p.h = b.h AND p.s = b.s AND p.fetched = b.fetched"""
+
+
+def collocations_sql(words: int = 4, least: int = 30, scale: int = 2_000_000, inside: int = 80, top: int = 2000) -> str:
+    parts = "\nUNION ALL ".join(
+        f"SELECT lang, phrase, a, {k} AS k, array_to_string(w[1:{k}], ' ') AS first, array_to_string(w[{k + 1}:], ' ') AS rest FROM candidates WHERE len(w) > {k}"
+        for k in range(1, words)
+    )
+    slices = ", ".join(f"[w[i:i + {m - 1}] for i in range(1, CAST(greatest(len(w) - {m} + 2, 1) AS BIGINT))]" for m in range(2, words))
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+running AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM running, range(1, {words + 1}) t(n) WHERE len(w) >= n),
+counts AS MATERIALIZED (SELECT lang, n, array_to_string(w[i:i + n - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM places GROUP BY ALL HAVING count(*) >= {least}),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM running GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE n > 1),
+cuts AS ({parts}),
+scored AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, ({scale}::HUGEINT * a) // (l.f + r.f) AS score FROM cuts c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = c.first JOIN counts r ON r.lang = c.lang AND r.phrase = c.rest),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored) WHERE place = 1),
+inner_parts AS (SELECT lang, a, len(w) AS n, unnest(flatten([{slices}])) AS part FROM candidates),
+around AS (SELECT DISTINCT p.lang, c.phrase FROM (SELECT lang, a, n, part FROM inner_parts WHERE len(part) < n) p
+  JOIN counts c ON c.lang = p.lang AND c.phrase = array_to_string(p.part, ' ') AND c.n > 1 WHERE 100 * p.a >= {inside} * c.f),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM best b ANTI JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, t.n, CAST(score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= {top}"""

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwell.llm.chat_format import MARKED, conversation_digests, render_turns
+from panelwell.llm.collocations import collocations
 from panelwell.llm.common import fold_of, hash_number, table
 from panelwell.llm.decontamination import contamination
 from panelwell.llm.html_text import extract_text
 from panelwell.llm.jaccard_join import similarity_join
 from panelwell.llm.nearest_neighbours import search
-from panelwell.llm.oracles import URL_FILTERS_SQL, contamination_sql, mixture_sql
+from panelwell.llm.oracles import URL_FILTERS_SQL, collocations_sql, contamination_sql, mixture_sql
 from panelwell.llm.quality import quality
 from panelwell.llm.source_mixture import Margin, mixture
 from panelwell.llm.token_counts import count_tokens
@@ -169,14 +170,22 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "fetched", "url_host", "url_blocked", "url_pattern", F.array_join("url_categories", ",").alias("url_categories"))
 
 
+# --- 11 ---
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_source_mixture, op2_url_filters, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_nearest_neighbours,
-              op7_decontamination, op8_chat_format, op9_quality, op10_html_text)
+              op7_decontamination, op8_chat_format, op9_quality, op10_html_text, op11_collocations)
 }
 
 ORACLES = {
     "op1_source_mixture": mixture_sql(MARGINS, 0.5, 12, 8, "mixture"),
     "op2_url_filters": URL_FILTERS_SQL,
     "op7_decontamination": contamination_sql(),
+    "op11_collocations": collocations_sql(),
 }

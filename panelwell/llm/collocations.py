@@ -49,8 +49,8 @@ class CollocationSettings:
     scale: int = 2_000_000
     inside: int = 80
     top: int = 2000
-    shard_words: int = 1_000_000
-    range_words: int = 8_000_000
+    shard_words: int = 2_000_000
+    range_words: int = 2_000_000
     sample: int = 2000
     sample_phrases: int = 64
     requests: int = 500_000

@@ -54,19 +54,27 @@ class BlockedBloom:
         return out
 
 
-def bloom_of(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, most: int) -> BlockedBloom:
-    """The filter of all keys that ``hashes`` makes of the rows, of ``most`` bits at most.
+def blooms_of(
+    rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], words: dict[int, int]
+) -> dict[int, BlockedBloom]:
+    """One filter per shard, of ``words[shard]`` 64-bit words, with all keys that ``hashes`` makes of the rows.
 
-    Tasks send the segments they touched; they are united by segment, so the driver gets one filter.
+    Tasks send the segments they touched; they are united by segment, so the driver gets each filter once.
     """
-    words = BlockedBloom.size(bits, most)
+    begin, total = {}, 0
+    for shard, size in words.items():
+        begin[shard], total = total, total + size
+
+    def shards(bits: np.ndarray) -> dict[int, BlockedBloom]:
+        return {shard: BlockedBloom(bits[at:at + words[shard]]) for shard, at in begin.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = BlockedBloom(np.zeros(words, np.uint64))
-        for keys in hashes(batches):
-            own.add(keys)
-        for start in range(0, words, SEGMENT):
-            part = own.bits[start:start + SEGMENT]
+        bits = np.zeros(total, np.uint64)
+        own = shards(bits)
+        for shard, keys in hashes(batches):
+            own[shard].add(keys)
+        for start in range(0, total, SEGMENT):
+            part = bits[start:start + SEGMENT]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["start", "bits"])
 
@@ -74,8 +82,8 @@ def bloom_of(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
         bits = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint64) for b in table.column("bits")])
         return pa.table({"start": table.column("start")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    whole = np.zeros(words, np.uint64)
+    whole = np.zeros(total, np.uint64)
     parts = rows.mapInArrow(run, "start long, bits binary").groupBy("start").applyInArrow(unite, "start long, bits binary").toArrow()
     for start, part in zip(parts.column("start").to_pylist(), parts.column("bits").to_pylist()):
         whole[start:start + SEGMENT] = np.frombuffer(part, np.uint64)
-    return BlockedBloom(whole)
+    return shards(whole)

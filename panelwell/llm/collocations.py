@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwell.llm.bloom import BlockedBloom, bloom_of, mixed
+from panelwell.llm.bloom import BlockedBloom, blooms_of, mixed
 from panelwell.llm.common import LOWER, UPPER, ship
 from panelwell.session import broadcast_rows, store
 
@@ -529,15 +529,15 @@ def collocations(docs: DataFrame, settings: CollocationSettings = CollocationSet
     if settings.words > 2:
         pairs = short.agg(F.sum("pairs")).first()[0] or 0
 
-        def pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        def pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
             for batch in batches:
                 for row in batch.to_pylist():
                     two = [p for p, _ in CountTransducer.unpack(*(row[c] for c in TRANSDUCER)).phrases() if len(p) == 2]
                     if two:
                         codes = {w: xxhash.xxh64_intdigest(w) for p in two for w in p}
-                        yield pair_hash(np.array([codes[a] for a, _ in two], np.uint64), np.array([codes[b] for _, b in two], np.uint64))
+                        yield 0, pair_hash(np.array([codes[a] for a, _ in two], np.uint64), np.array([codes[b] for _, b in two], np.uint64))
 
-        frequent = bloom_of(short.select(*TRANSDUCER), pair_hashes, pairs * settings.filter_bits, settings.filter_most)
+        frequent = blooms_of(short.select(*TRANSDUCER), pair_hashes, {0: BlockedBloom.size(pairs * settings.filter_bits, settings.filter_most)})[0]
         long = shard_transducers(rows, borders, settings, 3, settings.words, ship(docs.sparkSession, frequent))
         stored = stored.unionByName(store(union_by_range(long, settings.least), "long-phrases").select(*stored.columns))
     found = store(composed(part_requests(stored, borders), stored, settings), "parts")

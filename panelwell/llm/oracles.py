@@ -118,3 +118,37 @@ around AS (SELECT DISTINCT p.lang, c.phrase FROM (SELECT lang, a, n, part FROM i
 ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM best b ANTI JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase)
 SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, t.n, CAST(score AS BIGINT) AS score
 FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= {top}"""
+
+
+def nibble_table() -> list[int]:
+    """What four bits of a reflected CRC-32 come to."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def variants_sql(every: int = 97, letters: int = 5, least: int = 3, ratio: int = 2) -> str:
+    """The CRC-32 goes through the bytes four bits at a time; runs have letters of one byte, or of two that begin with C3."""
+    return f"""
+WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+once AS MATERIALIZED (SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM runs WHERE length(run) >= {letters} GROUP BY ALL),
+points AS (SELECT doc_id, run, n, [unicode(c) for c in string_split(s, '')] AS p FROM once),
+bits AS (SELECT doc_id, run, n, flatten([CASE WHEN c < 128 THEN [c & 15, c >> 4] ELSE [3, 12, (c - 64) & 15, (c - 64) >> 4] END for c in p]) AS b FROM points),
+hashed AS (SELECT run, n, xor(list_reduce([CAST(x AS BIGINT) for x in b], lambda c, x: xor(c >> 4, ({nibble_table()}::BIGINT[])[(xor(c, x) & 15) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM bits),
+vocabulary AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % {every} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= {letters} GROUP BY word HAVING sum(n) >= {least}),
+places AS MATERIALIZED (SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+shorter AS (SELECT DISTINCT p.word, p.n, v.word AS other, v.n AS other_n FROM places p JOIN vocabulary v ON v.word = p.a || p.b),
+pairs AS (SELECT * FROM shorter UNION ALL SELECT other, other_n, word, n FROM shorter
+  UNION ALL SELECT p.word, p.n, q.word, q.n FROM places p JOIN places q ON p.a || '_' || p.b = q.a || '_' || q.b AND p.word <> q.word),
+near AS MATERIALIZED (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS best, max(other_n) AS best_n FROM pairs GROUP BY word, n),
+forms AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {ratio} * v.n THEN best END AS form, CASE WHEN best_n >= {ratio} * v.n THEN best_n END AS form_n
+  FROM vocabulary v LEFT JOIN near USING (word)),
+RECURSIVE_WALK
+SELECT f.word, f.form, walk.here AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM forms f JOIN walk ON walk.word = f.word AND walk.last""".replace("WITH runs", "WITH RECURSIVE runs").replace("RECURSIVE_WALK", """walk(word, here, last) AS (SELECT word, coalesce(form, word), form IS NULL FROM forms
+  UNION ALL SELECT w.word, coalesce(f.form, w.here), f.form IS NULL FROM walk w JOIN forms f ON f.word = w.here WHERE NOT w.last)""")

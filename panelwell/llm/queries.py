@@ -12,9 +12,10 @@ from panelwell.llm.decontamination import contamination
 from panelwell.llm.html_text import extract_text
 from panelwell.llm.jaccard_join import similarity_join
 from panelwell.llm.nearest_neighbours import search
-from panelwell.llm.oracles import URL_FILTERS_SQL, collocations_sql, contamination_sql, mixture_sql
+from panelwell.llm.oracles import URL_FILTERS_SQL, collocations_sql, contamination_sql, mixture_sql, variants_sql
 from panelwell.llm.quality import quality
 from panelwell.llm.source_mixture import Margin, mixture
+from panelwell.llm.spelling_variants import spelling_variants
 from panelwell.llm.token_counts import count_tokens
 from panelwell.llm.url_filters import filter_urls, host_of, step_of, suffixes
 from panelwell.llm.toxicity import fit_toxicity, score_toxicity
@@ -177,10 +178,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+# --- 13 ---
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_source_mixture, op2_url_filters, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_nearest_neighbours,
-              op7_decontamination, op8_chat_format, op9_quality, op10_html_text, op11_collocations)
+              op7_decontamination, op8_chat_format, op9_quality, op10_html_text, op11_collocations, op13_spelling_variants)
 }
 
 ORACLES = {
@@ -188,4 +196,5 @@ ORACLES = {
     "op2_url_filters": URL_FILTERS_SQL,
     "op7_decontamination": contamination_sql(),
     "op11_collocations": collocations_sql(),
+    "op13_spelling_variants": variants_sql(),
 }

@@ -9,6 +9,7 @@ from panelwell.llm.chat_format import MARKED, conversation_digests, render_turns
 from panelwell.llm.collocations import collocations
 from panelwell.llm.common import fold_of, hash_number, table
 from panelwell.llm.decontamination import contamination
+from panelwell.llm.embedding_dedup import embedding_duplicates
 from panelwell.llm.html_text import extract_text
 from panelwell.llm.jaccard_join import similarity_join
 from panelwell.llm.nearest_neighbours import search
@@ -178,6 +179,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+# --- 12 ---
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 # --- 13 ---
 
 
@@ -188,7 +196,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_source_mixture, op2_url_filters, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_nearest_neighbours,
-              op7_decontamination, op8_chat_format, op9_quality, op10_html_text, op11_collocations, op13_spelling_variants)
+              op7_decontamination, op8_chat_format, op9_quality, op10_html_text, op11_collocations, op12_embedding_dedup, op13_spelling_variants)
 }
 
 ORACLES = {

@@ -350,7 +350,7 @@ def sensor_reach(sensors: DataFrame, base: int) -> DataFrame:
 
 
 def coverage_flags(
-    surveys: DataFrame, sensors: DataFrame, samplers: Sequence[Sampler], ts: str = "record_timestamp"
+    surveys: DataFrame, sensors: DataFrame, samplers: Sequence[Sampler], ts: str = "record_timestamp", max_group: int | None = None
 ) -> DataFrame:
     """Surveys × settings with the ``setting`` number and ``covered``: some record overlaps the window.
 
@@ -359,7 +359,8 @@ def coverage_flags(
     the records can be reduced to the latest end per (user, bin). A running maximum of that
     gives, for each window end a survey asks for, how far the records before it reach. Both
     sides are bounded by the number of bins in a user's history, however many rows there are;
-    no record is spread over the time it spans, and nothing is paired within a user.
+    no record is spread over the time it spans, and nothing is paired within a user. ``max_group``
+    is a proven bound on a user's surveys and records together; without it they are counted.
     """
     base = base_micros(samplers)
     width = F.lit(base).cast("bigint")
@@ -380,6 +381,8 @@ def coverage_flags(
     steps = ordered_columns(
         ends.unionByName(reach), ["app_user_id"], [F.col("__b"), F.col("__kind")],
         maxima={"__upto": F.col("__reach")},
+        # a survey asks for one window end per setting at most, a record reaches from one bin
+        max_group=None if max_group is None else max_group * len(samplers),
     )
     lookup = steps.filter("__kind = 0").select("app_user_id", "__b", "__upto")
     return asked.join(lookup, ["app_user_id", "__b"]).select(
@@ -388,22 +391,22 @@ def coverage_flags(
 
 
 def coverage_gate(
-    surveys: DataFrame, sensors: DataFrame, sampler: Sampler | None, ts: str = "record_timestamp"
+    surveys: DataFrame, sensors: DataFrame, sampler: Sampler | None, ts: str = "record_timestamp", max_group: int | None = None
 ) -> DataFrame:
     """Surveys with at least one record in their window; without a sampler all stay."""
     if sampler is None:
         return surveys
-    return coverage_flags(surveys, sensors, [sampler], ts).filter("covered").select(*surveys.columns)
+    return coverage_flags(surveys, sensors, [sampler], ts, max_group).filter("covered").select(*surveys.columns)
 
 
 def covered_by_setting(
-    surveys: DataFrame, sensors: DataFrame, samplers: Sequence[RollingSampler], ts: str = "record_timestamp"
+    surveys: DataFrame, sensors: DataFrame, samplers: Sequence[RollingSampler], ts: str = "record_timestamp", max_group: int | None = None
 ) -> DataFrame:
     """Covered surveys of every setting, one row per (survey, setting), from one pass."""
     settings = F.array(*[
         F.struct(F.lit(s.lookback_hours).alias("lookback_hours"), F.lit(s.freq_hours).alias("bin_hours")) for s in samplers
     ])
-    covered = coverage_flags(surveys, sensors, samplers, ts).filter("covered")
+    covered = coverage_flags(surveys, sensors, samplers, ts, max_group).filter("covered")
     return covered.withColumn("__s", F.element_at(settings, F.col("setting") + 1)).select(*surveys.columns, "__s.*")
 
 

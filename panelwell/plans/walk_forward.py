@@ -81,9 +81,12 @@ def walk_forward(features: DataFrame, model: Callable[[], Pipeline], train_width
 def tested_by_setting(
     master: DataFrame, sensors: DataFrame, samplers: Sequence[RollingSampler],
     train_width: float = 0.8, step: float = 0.2, purge_hours: float = 120.0,
-    max_group: int | None = None,
+    max_group: int | None = None, max_records: int | None = None,
 ) -> DataFrame:
-    """Surveys that enter the pooled test predictions of each setting, for the whole grid at once."""
-    covered = covered_by_setting(master, sensors, samplers)
+    """Surveys that enter the pooled test predictions of each setting, for the whole grid at once.
+
+    ``max_group`` bounds the surveys of a participant, ``max_records`` surveys and sensor records together.
+    """
+    covered = covered_by_setting(master, sensors, samplers, max_group=max_records)
     by = ["lookback_hours", "bin_hours", "app_user_id"]
     return walk_forward_cyclic(covered, train_width, step, purge_hours, by=by, max_group=max_group).filter(F.col("role") == "test")

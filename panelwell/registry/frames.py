@@ -36,8 +36,11 @@ def bounds(spark: SparkSession, sf_dir: str, table: str = "events") -> tuple[int
     """
     key = (spark.sparkContext.applicationId, sf_dir, table)
     if key not in _BOUNDS:
-        base = study.survey_response if table == "events" else study.history
-        _BOUNDS[key] = largest_group(base(spark, sf_dir), ["app_user_id"])
+        if table == "all events":  # surveys and sensor records
+            base = study.events(spark, sf_dir).select(F.col("user_id").alias("app_user_id"))
+        else:
+            base = (study.survey_response if table == "events" else study.history)(spark, sf_dir)
+        _BOUNDS[key] = largest_group(base, ["app_user_id"])
     return _BOUNDS[key]
 
 

@@ -205,7 +205,7 @@ GATE = f"""EXISTS (SELECT 1 FROM v_sensor s WHERE s.app_user_id = m.app_user_id
 
 @query("coverage_gate", f"SELECT survey_response_id, app_user_id, answer FROM v_master m WHERE {GATE}", ("v_master", "v_sensor"))
 def _(spark, sf):
-    return coverage_gate(frames.master(spark, sf), study.sensor(spark, sf), SAMPLER).select("survey_response_id", "app_user_id", "answer")
+    return coverage_gate(frames.master(spark, sf), study.sensor(spark, sf), SAMPLER, max_group=frames.per_user(spark, sf, "all events")).select("survey_response_id", "app_user_id", "answer")
 
 
 @query(
@@ -215,7 +215,7 @@ def _(spark, sf):
     ("v_master", "v_sensor"),
 )
 def _(spark, sf):
-    return coverage_gate(frames.master(spark, sf), study.sensor(spark, sf), OFFSET).select("survey_response_id", "app_user_id")
+    return coverage_gate(frames.master(spark, sf), study.sensor(spark, sf), OFFSET, max_group=frames.per_user(spark, sf, "all events")).select("survey_response_id", "app_user_id")
 
 
 COVERED = f"""SELECT DISTINCT m.survey_response_id, m.app_user_id, m.record_timestamp, m.answer, g.lookback_hours, g.bin_hours
@@ -226,7 +226,7 @@ FROM v_master m CROSS JOIN {GRID_SQL} g JOIN v_sensor s ON s.app_user_id = m.app
 
 @query("covered_by_setting", f"SELECT survey_response_id, app_user_id, answer, lookback_hours, bin_hours FROM ({COVERED})", ("v_master", "v_sensor"))
 def _(spark, sf):
-    rows = covered_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid())
+    rows = covered_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid(), max_group=frames.per_user(spark, sf, "all events"))
     return rows.select("survey_response_id", "app_user_id", "answer", "lookback_hours", "bin_hours")
 
 
@@ -240,7 +240,7 @@ tested AS ({cyclic('covered', CUTS_80_20, 0.8, 120, by='lookback_hours, bin_hour
     ("v_master", "v_sensor"),
 )
 def _(spark, sf):
-    return cohort_members(tested_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid(), max_group=frames.per_user(spark, sf)))
+    return cohort_members(tested_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid(), max_group=frames.per_user(spark, sf), max_records=frames.per_user(spark, sf, "all events")))
 
 
 @query(
@@ -249,5 +249,5 @@ def _(spark, sf):
     ("v_master", "v_sensor"),
 )
 def _(spark, sf):
-    tested = tested_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid(), max_group=frames.per_user(spark, sf))
+    tested = tested_by_setting(frames.master(spark, sf), study.sensor(spark, sf), sampler_grid(), max_group=frames.per_user(spark, sf), max_records=frames.per_user(spark, sf, "all events"))
     return cohort_by_setting(cohort_members(tested))

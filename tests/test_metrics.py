@@ -67,7 +67,7 @@ def test_draws_and_intervals(predictions, data):
     b = 60
     users = sorted({r[2] for r in data})
     def draw(rep):
-        picks = [int(hashlib.md5(f"0:{rep}:{slot}".encode()).hexdigest()[:8], 16) % len(users) for slot in range(len(users))]
+        picks = [int(hashlib.md5(f"0:{rep}:{slot}".encode()).hexdigest()[:15], 16) % len(users) for slot in range(len(users))]
         return {u: picks.count(i) for i, u in enumerate(users)}
     y, p = [r[3] for r in data], [r[4] for r in data]
     reps = [brute(y, p, [draw(k)[r[2]] for r in data]) for k in range(b)]

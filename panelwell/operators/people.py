@@ -100,24 +100,25 @@ def fit_demographics(
 
 
 def demographics_by_fold(
-    rows: DataFrame, demographics: DataFrame, genders: Sequence[str] = GENDERS, lgbt: Sequence[str] = LGBT, max_group: int | None = None
+    rows: DataFrame, demographics: DataFrame, genders: Sequence[str] = GENDERS, lgbt: Sequence[str] = LGBT, max_group: int | None = None,
+    by: Sequence[str] = ("fold_index",),
 ) -> DataFrame:
     """Attaches age, gender and lgbt features to fold rows, the age scaled by the fold's train participants.
 
     Participants without demographics get 0 and "unknown" flags 1.
     """
     person = demographics.select("app_user_id", F.col("age").try_cast("double").alias("age"), "gender", "lgbt")
-    trained = rows.filter("role = 'train'").select("fold_index", "app_user_id").distinct()
+    trained = rows.filter("role = 'train'").select(*by, "app_user_id").distinct()
     ages = trained.join(person.filter("age is not null").select("app_user_id", "age"), "app_user_id")
-    median = exact_quantile(ages, ["fold_index"], "age", 0.5, "__median", max_group)
-    moments = ages.groupBy("fold_index").agg(F.avg("age").alias("__m"), F.stddev_samp("age").alias("__s")).join(median, "fold_index", "left")
+    median = exact_quantile(ages, list(by), "age", 0.5, "__median", max_group)
+    moments = ages.groupBy(*by).agg(F.avg("age").alias("__m"), F.stddev_samp("age").alias("__s")).join(median, list(by), "left")
     flags = {**onehot("gender", genders), **onehot("lgbt", lgbt)}
     known = person.select("app_user_id", F.lit(True).alias("__known"), "age", *[c.alias(n) for n, c in flags.items()])
     d_median, d_mean, d_std = AGE_DEFAULTS
     number = F.coalesce("age", "__median", F.lit(d_median))
     scaled = (number - F.coalesce("__m", F.lit(d_mean))) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(F.lit(d_std))
     # one row per fold meets all rows
-    joined = rows.join(F.broadcast(moments), "fold_index", "left").join(known, "app_user_id", "left")
+    joined = rows.join(F.broadcast(moments), list(by), "left").join(known, "app_user_id", "left")
     filled = [F.coalesce(F.col(n), F.lit(1.0 if n.endswith("_unknown") else 0.0)).alias(n) for n in flags]
     return joined.select(*rows.columns, F.when(F.col("__known"), scaled).otherwise(0.0).alias("age_scaled"), *filled)
 

@@ -122,19 +122,22 @@ def dual_scale(
 NO_SPREAD = 1e-12
 
 
-def dual_scale_packed(rows: DataFrame, windows: DataFrame, channels: Sequence[str], by: Sequence[str] = FOLD) -> tuple[DataFrame, list[str]]:
+def dual_scale_packed(
+    rows: DataFrame, windows: DataFrame, channels: Sequence[str], by: Sequence[str] = FOLD, sample: Sequence[str] = ("survey_response_id",)
+) -> tuple[DataFrame, list[str]]:
     """The fold rows with their packed windows scaled twice, and the new column names, global ones first.
 
     As ``dual_scale``, without exploding: a survey's window is reduced to its count, sum and sum of
     squares on the row, these are pooled per fold, participant and role, and arrays are scaled in place.
     Participants without train rows are scaled by their validation rows, or else their test rows.
+    ``sample`` are the columns that name a window.
     """
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v))
     sums = {}
     for c in channels:
         sums |= {f"__n_{c}": F.size(c).cast("double"), f"__s_{c}": total(c, lambda v: v), f"__q_{c}": total(c, lambda v: v * v)}
-    moments = windows.select("survey_response_id", *[v.alias(k) for k, v in sums.items()])
-    pooled = rows.select(*by, "role", "app_user_id", "survey_response_id").join(moments, "survey_response_id").groupBy(*by, "app_user_id").agg(
+    moments = windows.select(*sample, *[v.alias(k) for k, v in sums.items()])
+    pooled = rows.select(*{*by, *sample, "role", "app_user_id"}).join(moments, list(sample)).groupBy(*by, "app_user_id").agg(
         *[F.sum(F.when(F.col("role") == r, F.col(k))).alias(f"{k}_{r}") for k in sums for r in ("train", "val", "test")]
     )
     pooled = cut_lineage(pooled)  # a row per fold and participant, read twice
@@ -157,7 +160,7 @@ def dual_scale_packed(rows: DataFrame, windows: DataFrame, channels: Sequence[st
     each = pooled.select(*by, "app_user_id", *own).join(shared, list(by))
     if pooled.count() <= broadcast_rows(rows.sparkSession):
         each = F.broadcast(each)
-    joined = rows.join(windows.select("survey_response_id", *channels), "survey_response_id").join(each, [*by, "app_user_id"])
+    joined = rows.join(windows.select(*sample, *channels), list(sample)).join(each, [*by, "app_user_id"])
 
     def scaled(c: str, kind: str) -> Column:
         return F.transform(c, lambda v: (v - F.col(f"__{kind}m_{c}")) / F.col(f"__{kind}s_{c}"))

@@ -36,33 +36,35 @@ FEATURIZERS = ("raw", "stats", "catch22")
 
 def fold_matrix(
     windows: DataFrame, folds: DataFrame, channels: Sequence[str], featurizer: str = "stats", scaled: bool = True,
-    demographics: DataFrame | None = None, sleep: str = "none", context: str = "none",
+    demographics: DataFrame | None = None, sleep: str = "none", context: str = "none", setting: Sequence[str] = (),
 ) -> DataFrame:
     """Fold rows with ``features``: window features, demographics, sleep, context, all fitted on the fold's train rows.
 
     ``windows`` are packed windows by survey, ``folds`` the rows of all folds with ``sleep_hours`` and
     ``sleep_category``, ``referent_hours`` and ``is_morning`` where the sleep and context modes need
     them. Scaled windows have each channel twice, first scaled over all participants, then by participant.
-    A fold row without a window is left out.
+    A fold row without a window is left out. ``setting`` names columns of both tables that tell several
+    samplings apart; everything is fitted per setting and fold then.
     """
     if featurizer not in FEATURIZERS:
         raise ValueError(f"featurizer {featurizer!r} is none of {', '.join(FEATURIZERS)}")
-    keep = ["fold_index", "role", "survey_response_id", "app_user_id", "record_timestamp", "answer"]
+    by, sample = [*setting, "fold_index"], [*setting, "survey_response_id"]
+    keep = [*by, "role", "survey_response_id", "app_user_id", "record_timestamp", "answer"]
     extra = [*SLEEP_MODES[sleep], *CONTEXT_MODES[context]]
     rows = folds
     if sleep != "none":
-        rows = scale_sleep(rows)
+        rows = scale_sleep(rows, by)
     if context != "none":
-        rows = survey_context(rows)
+        rows = survey_context(rows, by)
     people: list[str] = []
     rows = rows.select(*keep, *extra)
     if demographics is not None:
-        rows = demographics_by_fold(rows, demographics)
+        rows = demographics_by_fold(rows, demographics, by=by)
         people = [c for c in rows.columns if c not in (*keep, *extra)]
     if scaled:
-        rows, names = dual_scale_packed(rows, windows, channels)
+        rows, names = dual_scale_packed(rows, windows, channels, by, sample)
     else:
-        rows, names = rows.join(windows.select("survey_response_id", *channels), "survey_response_id"), list(channels)
+        rows, names = rows.join(windows.select(*sample, *channels), sample), list(channels)
     carried = [*keep, *people, *extra]
     if featurizer == "raw":
         made, columns = flatten_window(rows, names, "window", keep=carried), ["window"]

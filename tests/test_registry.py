@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "table_digest", "id_ranges", "cohort_sensors", "collapse_daily_first", "dedup_responses_12h", "sampler_grid",
     "cohort_by_setting", "split_longitudinal_ties", "dual_scale", "fit_demographics", "pooled_metrics", "tune_threshold",
-    "cluster_bootstrap", "fold_identity", "fold_matrix_stats", "sink_fold_metrics", "write_manifest",
+    "cluster_bootstrap", "fold_identity", "newton_grid", "fold_matrix_stats", "sink_fold_metrics", "write_manifest",
 ]
 
 
@@ -39,4 +39,5 @@ def test_every_name_has_a_callable_and_most_have_sql():
     assert without == {
         "clip_upper_quantile_approximate", "bca_interval", "row_bootstrap", "logistic_l2", "logistic_l1", "random_forest",
         "boosted_trees", "support_vector_machine", "fit_predict_fold", "hyper_parameter_search", "catch22",
+        "pipeline_grid", "nested_search_lr_l2", "nested_search_lr_l1", "nested_search_rf", "nested_search_gbt", "nested_search_svm",
     }

@@ -76,7 +76,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("held_out", fold_of(F.col("doc_id")) == 0).select(
-        "doc_id", "held_out", "score", "predicted", "n_neighbours", "nearest_cosine", "toxic_votes"
+        "doc_id", "held_out", "score", "predicted", "n_neighbours", "nearest_cosine", "toxic_votes", "nearest_examples"
     )
 
 

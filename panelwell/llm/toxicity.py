@@ -5,9 +5,13 @@ The examples are a bounded number of labelled texts of each class; all their ter
 norms are over all of them. A term's TF-IDF weight is multiplied by how much it tells the classes apart
 (the root of its likelihood ratio among the examples, whichever class it speaks for); document
 frequencies are counted over the whole corpus.
+Terms are 64-bit hashes, so neither tasks nor the driver hold them as strings.
+
 The examples' vectors form an inverted index in blocks of examples: each term knows its largest
-weight in each block, so a block whose bound is below the k-th best cosine found so far is skipped
-without losing a neighbour. Votes of the neighbours are weighted by similarity and class share, and
+weight in each block. Lists of frequent terms are kept as dense blocks, those of rare ones as postings. A batch of
+texts reads the few blocks of largest bound first; of the others only those whose bound reaches the k-th best cosine
+found so far are read. Blocks are added up in single precision with a bound on the error; all
+examples that may belong to the nearest within that bound are finished in double precision. Votes of the neighbours are weighted by similarity and class share, and
 a logistic curve fitted on left-one-out votes turns them into probabilities.
 """
 
@@ -15,19 +19,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwell.llm.common import in_pieces, ship, words_of
+from panelwell.llm.common import WORD, in_pieces, ship
 from panelwell.session import store
 
 PREFIXES = (4, 5, 6)
 #: Words whose terms are remembered per task; bounds memory, not the result.
 MEMO = 300_000
+#: Numbers of the dense blocks; bounds their memory, and terms beyond it are kept as postings.
+DENSE = 1 << 24
+#: Texts searched together, and blocks that each reads first.
+BATCH, FIRST = 250, 6
+#: A term in this share of the examples (one in so many) is frequent.
+SHARE = 64
 
 
 @dataclass(frozen=True)
@@ -46,35 +57,46 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
 
 
-def counted(text: str | None, ids: dict[str, int], memo: dict[str, tuple[int, ...]]) -> dict[int, int]:
-    """Occurrences of the vocabulary's terms in a text."""
-    found: dict[int, int] = {}
-    for piece in in_pieces(text or ""):
-        for word in words_of(piece):
-            known = memo.get(word)
-            if known is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                known = memo[word] = tuple(ids[t] for t in terms_of(word) if t in ids)
-            for i in known:
-                found[i] = found.get(i, 0) + 1
-    return found
-
-
-class Counts(Sequence):
-    """The terms of each example with their occurrences, as arrays; a dict is made when it is asked for."""
-
-    def __init__(self, example: np.ndarray, term: np.ndarray, tf: np.ndarray):
-        place = np.argsort(example, kind="stable")
-        self.ends = np.r_[0, np.cumsum(np.bincount(example))]
-        self.term, self.tf = term[place], tf[place]
-
-    def __len__(self) -> int:
-        return len(self.ends) - 1
-
-    def __getitem__(self, i: int) -> dict[int, int]:
-        at = slice(self.ends[i], self.ends[i + 1])
-        return dict(zip(self.term[at].tolist(), self.tf[at].tolist()))
+class Terms:
+    """The terms of texts as hashes or, with a sorted vocabulary of hashes, as places in it; other terms are left out."""
+
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.vocabulary, self.memo = vocabulary, {}
+        self.table = np.zeros((1024, 1 + len(PREFIXES)), np.int64)
+        self.known = np.zeros(self.table.shape, bool)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.memo) + len(words) > MEMO:
+            self.memo.clear()
+        first, new = len(self.memo), [w for w in words if w not in self.memo]
+        while first + len(new) > len(self.table):
+            self.table, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.known))
+        terms = [terms_of(w) for w in new]
+        flat = np.array([xxhash.xxh64_intdigest(t) for some in terms for t in some], np.uint64).view(np.int64)
+        found = np.ones(len(flat), bool)
+        if self.vocabulary is not None:
+            place = np.minimum(np.searchsorted(self.vocabulary, flat), max(0, len(self.vocabulary) - 1))
+            found = self.vocabulary[place] == flat if len(self.vocabulary) else ~found
+            flat = place
+        size = np.array([len(some) for some in terms], np.int64)
+        row = np.repeat(np.arange(first, first + len(new)), size)
+        column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        self.known[first:first + len(new)] = False
+        self.table[row, column], self.known[row, column] = flat, found
+        self.memo.update(zip(new, range(first, first + len(new))))
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct terms of a text in order, and how often each occurs."""
+        parts = []
+        for piece in in_pieces(text or ""):
+            words = WORD.findall(piece.encode().lower().decode())  # the lower() of bytes is that of A-Z alone
+            try:
+                rows = [self.memo[w] for w in words]
+            except KeyError:
+                self.learn(set(words))
+                rows = [self.memo[w] for w in words]
+            parts.append(self.table[rows][self.known[rows]])
+        return np.unique(np.concatenate(parts), return_counts=True)
 
 
 def spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,84 +115,110 @@ def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean
 
 
 class BlockMaxIndex:
-    """Examples as unit vectors, posted per (term, block), with the largest weight of each pair."""
-
-    def __init__(self, rows: Sequence[dict[int, int]], labels: np.ndarray, idf: np.ndarray, block: int):
+    """Examples as unit vectors: postings by term, the largest weight per (term, block of examples), and each example's terms."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, tf: np.ndarray, labels: np.ndarray, idf: np.ndarray, block: int):
+        """``example``, ``term`` and ``tf`` are parallel, a row for each term of an example; ``labels`` is by example."""
+        self.n, self.block, self.idf, self.blocks = len(labels), block, idf, -(-len(labels) // block)
+        weight = (1 + np.log(tf)) * idf[term]
+        length = np.sqrt(np.bincount(example, weight * weight, self.n))
+        weight /= np.where(length > 0, length, 1)[example]
         # similar examples share a block, which makes the blocks' bounds tight
-        leading = lambda row: min(row, key=lambda t: (-row[t] * idf[t], t))
-        order = sorted(range(len(rows)), key=lambda i: (-labels[i], leading(rows[i]), i))
-        self.order, self.labels = order, labels[order]
-        self.n, self.block, self.idf = len(rows), block, idf
-        self.blocks = -(-self.n // block)
-        example, term, weight = [], [], []
-        for at, i in enumerate(order):
-            ids, values = self.vector(rows[i])
-            example.append(np.full(len(ids), at, np.int32))
-            term.append(ids.astype(np.int32))
-            weight.append(values)
-        example, term, weight = (np.concatenate(x) if x else np.zeros(0, int) for x in (example, term, weight))
-        place = np.lexsort((example, term))
-        self.example, self.weight = example[place].astype(np.int32), weight[place].astype(float)
-        cell = term[place].astype(np.int64) * self.blocks + self.example // block
-        # only the pairs that occur are kept
-        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][:len(cell)])
-        self.cell = cell[begin]
-        self.cell_start = np.r_[begin, len(cell)]
-        self.cell_block = (self.cell % self.blocks if len(begin) else self.cell).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else self.weight
-        self.term_start = np.searchsorted(self.cell, np.arange(len(idf) + 1) * self.blocks)
-
-    @property
-    def start(self) -> np.ndarray:
-        """Where the postings of each (term, block) begin, pairs without any included."""
-        return self.cell_start[np.searchsorted(self.cell, np.arange(len(self.idf) * self.blocks + 1))]
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term ids and weights (1 + ln tf) idf, scaled to length one."""
-        ids = np.fromiter(sorted(counts), np.int64, len(counts))
-        values = (1 + np.log(np.fromiter(map(counts.get, ids.tolist()), float, len(ids)))) * self.idf[ids]
-        return ids, values / math.sqrt(float(values @ values))
-
-    def scores(self, cells: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact cosines of all examples in the given blocks; ``values`` are the text's weights for the cells of its terms."""
-        chosen = np.zeros(self.blocks, bool)
-        chosen[blocks] = True
-        use = chosen[self.cell_block[cells]]
-        at, size = spans(self.cell_start[cells[use]], self.cell_start[cells[use] + 1])
-        total = np.bincount(self.example[at], np.repeat(values[use], size) * self.weight[at], self.n)
-        members = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
-        members = members[members < self.n]
-        return members, total[members]
-
-    def nearest(self, counts: dict[int, int], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, ties to the earlier one; ``without`` takes no part."""
-        if not counts or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids, values = self.vector(counts)
-        cells, size = spans(self.term_start[ids], self.term_start[ids + 1])
-        values = np.repeat(values, size)
-        bound = np.bincount(self.cell_block[cells], values * self.most[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        members, found = np.zeros(0, np.int64), np.zeros(0)
-        step, floor = 2, 0.0
-        while len(order) and bound[order[0]] >= floor - 1e-12:
-            more, scores = self.scores(cells, values, order[:step])
-            order = order[step:]
-            step *= 4
-            use = (scores > 0) & (more != without)
-            members, found = np.r_[members, more[use]], np.r_[found, scores[use]]
-            best = np.lexsort((members, -np.round(found, 12)))[:k]
-            members, found = members[best], found[best]
-            if len(found) == k:
-                floor = float(found[-1])
-            order = order[bound[order] >= floor - 1e-12]
-        return members, found
+        lead = np.full(self.n, len(idf))
+        by_weight = np.lexsort((term, -weight, example))
+        first = np.r_[True, np.diff(example[by_weight]) != 0][:len(example)]
+        lead[example[by_weight][first]] = term[by_weight][first]
+        self.order = np.lexsort((np.arange(self.n), lead, -labels))
+        self.labels = labels[self.order]
+        at = np.empty(self.n, np.int64)
+        at[self.order] = np.arange(self.n)
+        example = at[example]
+        weight, term = weight.astype(float), term.astype(np.int64)
+        place = np.lexsort((term, example))
+        # each example's terms
+        self.terms, self.weight = term[place].astype(np.int32), weight[place]
+        self.ends = np.r_[0, np.cumsum(np.bincount(example, minlength=self.n))]
+        count = np.bincount(term, minlength=len(idf))
+        often = np.lexsort((np.arange(len(idf)), -count))[:DENSE // max(1, self.n)]
+        often = np.sort(often[count[often] >= max(2, self.n // SHARE)])
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        padded = self.blocks * block
+        self.dense = np.zeros((padded, len(often)), np.float32)
+        inside = self.column[term] >= 0
+        self.dense[example[inside], self.column[term[inside]]] = weight[inside]
+        # the largest weight of each frequent term in each block
+        self.most = self.dense.reshape(self.blocks, block, -1).max(axis=1) if self.n else np.zeros((0, len(often)), np.float32)
+        place = np.flatnonzero(~inside)[np.lexsort((example[~inside], term[~inside]))]
+        self.posted, self.posted_weight = example[place], weight[place]
+        self.start = np.searchsorted(term[place], np.arange(len(idf) + 1)).astype(np.int32)
+        # of sums in single precision, all of positive numbers that add up to one at most
+        self.slack = 2.0 ** -22 * (len(often) + 4096)
+
+    def vector(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """Weights (1 + ln tf) idf, scaled to length one."""
+        values = (1 + np.log(tf)) * self.idf[ids]
+        return values / math.sqrt(float(values @ values))
+
+    def nearest(self, texts: Sequence[tuple[np.ndarray, np.ndarray]], k: int, without: Sequence[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (ids, tf) the k examples of largest positive cosine, ties to the earlier one; ``without`` names one that takes no part."""
+        out = []
+        for start in range(0, len(texts), BATCH):
+            some = texts[start:start + BATCH]
+            out += self._batch(some, k, None if without is None else np.asarray(without[start:start + BATCH]))
+        return out
+
+    def _batch(self, texts: Sequence[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, padded = len(texts), self.blocks * self.block
+        values = [self.vector(*t) if len(t[0]) else np.zeros(0) for t in texts]
+        row = np.repeat(np.arange(m), [len(v) for v in values])
+        ids, value = np.concatenate([i for i, _ in texts]).astype(np.int64), np.concatenate(values)
+        column = self.column[ids]
+        asked = np.zeros((m, self.dense.shape[1]), np.float32)
+        asked[row[column >= 0], column[column >= 0]] = value[column >= 0]
+        rare = column < 0
+        at, size = spans(self.start[ids[rare]].astype(np.int64), self.start[ids[rare] + 1].astype(np.int64))
+        place = np.repeat(row[rare], size) * padded + self.posted[at]
+        base = np.bincount(place, np.repeat(value[rare], size) * self.posted_weight[at], m * padded).astype(np.float32).reshape(m, padded)
+        bound = asked @ self.most.T + base.reshape(m, self.blocks, self.block).max(axis=2)
+        scores = np.full((m, padded), -1.0, np.float32)
+
+        def read(wanted: np.ndarray) -> np.ndarray:
+            """Adds up the wanted (text, block) pairs; returns what the k-th best of each text reaches at least."""
+            if 2 * wanted.sum() > wanted.size:  # one product is faster than many small ones
+                np.add(asked @ self.dense.T, base, out=scores)
+                wanted = np.zeros_like(wanted)
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows, cut = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+                scores[rows, cut] = asked[rows] @ self.dense[cut].T + base[rows, cut]
+            if without is not None:
+                scores[np.arange(m), without] = -1.0
+            if k >= padded:
+                return np.zeros(m)
+            return np.maximum(0.0, np.partition(scores, padded - k, axis=1)[:, padded - k] - self.slack)
+
+        first = np.zeros((m, self.blocks), bool)
+        first[np.arange(m)[:, None], np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]] = True
+        floor = read(first)
+        floor = read(~first & (bound >= floor[:, None] - self.slack))
+        spread, out = np.zeros(len(self.idf)), []
+        for i in range(m):
+            some = np.flatnonzero((scores[i, :self.n] >= floor[i] - self.slack) & (scores[i, :self.n] > 0))
+            # the text's vector spread out over all terms, to finish the examples that are left
+            spread[texts[i][0]] = values[i]
+            at, size = spans(self.ends[some], self.ends[some + 1])
+            found = np.bincount(np.repeat(np.arange(len(some)), size), spread[self.terms[at]] * self.weight[at], len(some))
+            spread[texts[i][0]] = 0.0
+            some, found = some[found > 0], found[found > 0]
+            best = np.lexsort((some, -np.round(found, 12)))[:k]
+            out.append((some[best], found[best]))
+        return out
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    ids: dict[str, int]
+    vocabulary: np.ndarray  # the hashes of all terms, sorted
+    examples: list  # an id of each example, in the order of the index
     index: BlockMaxIndex
     settings: ToxicitySettings
     class_weight: tuple[float, float]
@@ -178,13 +226,14 @@ class ToxicityModel:
     slope: float
     offset: float
 
-    def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of the toxic class among the neighbours, weighted by squared cosine and class share."""
-        members, cosines = self.index.nearest(counts, self.settings.neighbours, without)
-        labels = self.index.labels[members]
-        weight = cosines ** 2 * np.where(labels == 1, self.class_weight[1], self.class_weight[0])
-        mass = self.settings.pseudo_weight * self.prior
-        return (float(weight @ labels) + mass * self.prior) / (float(weight.sum()) + mass), members, cosines
+    def votes(self, texts: Sequence[tuple[np.ndarray, np.ndarray]], without: Sequence[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Per text the share of the toxic class among its neighbours, weighted by squared cosine and class share, and the neighbours."""
+        mass, out = self.settings.pseudo_weight * self.prior, []
+        for members, cosines in self.index.nearest(texts, self.settings.neighbours, without):
+            labels = self.index.labels[members]
+            weight = cosines ** 2 * np.where(labels == 1, self.class_weight[1], self.class_weight[0])
+            out.append(((float(weight @ labels) + mass * self.prior) / (float(weight.sum()) + mass), members, cosines))
+        return out
 
     def score(self, vote: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.offset + self.slope * logit(vote)))))
@@ -211,38 +260,34 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def example_terms(examples: DataFrame) -> DataFrame:
-    """One row per example and term: example, label, term, tf."""
+    """One row per example and term: example, label, term (its hash), tf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
         for batch in batches:
-            for row in batch.to_pylist():
-                tf: dict[str, int] = {}
-                for piece in in_pieces(row["text"] or ""):
-                    for word in words_of(piece):
-                        for term in terms_of(word):
-                            tf[term] = tf.get(term, 0) + 1
-                n = len(tf)
+            for example, label, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found, tf = terms.counts(text)
+                n = len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["example"]] * n, pa.int64()), pa.array([row["label"]] * n, pa.int32()), pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int32())],
+                    [pa.array(np.full(n, example, np.int64)), pa.array(np.full(n, label, np.int32)), pa.array(found.astype(np.int64)), pa.array(tf.astype(np.int32))],
                     names=["example", "label", "term", "tf"],
                 )
 
-    return examples.select("example", "label", "text").mapInArrow(run, "example long, label int, term string, tf int")
+    return examples.select("example", "label", "text").mapInArrow(run, "example long, label int, term long, tf int")
 
 
-def document_frequencies(docs: DataFrame, ids: dict[str, int]) -> np.ndarray:
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Documents with each term of the vocabulary, over all documents; the last entry counts the documents."""
-    spark, n = docs.sparkSession, len(ids)
-    shared = ship(spark, ids)
+    n = len(vocabulary)
+    shared = ship(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memo = shared(), {}
-        total = np.zeros(n + 1, np.int64)
+        terms, total = Terms(shared()), np.zeros(n + 1, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                for text in batch.column(0).slice(start, 500).to_pylist():
-                    total[list(counted(text, known, memo))] += 1
-                    total[n] += 1
+                found = [terms.counts(text)[0] for text in batch.column(0).slice(start, 500).to_pylist()]
+                total[:n] += np.bincount(np.concatenate(found).astype(np.int64), minlength=n)
+                total[n] += len(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "df"])
 
     # bounded by the examples' terms
@@ -270,71 +315,69 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
     # bounded by the settings, so it may be broadcast
     chosen = F.broadcast(first[0].unionByName(first[1]).select("doc_id", "example", "label"))
     examples = docs.select("doc_id", "text", F.xxhash64("text").alias("example")).join(chosen, ["doc_id", "example"]).select("example", "label", "text")
+    # an id for each example, as evidence
+    named = {r["example"]: r["doc_id"] for r in chosen.collect()}
     rows = store(example_terms(examples).distinct(), "toxicity-terms")
-    # bounded: the terms of the examples
+    # bounded: the terms of the examples, as numbers
     posted = rows.toArrow()
     known, first, example = np.unique(posted.column("example").to_numpy(), return_index=True, return_inverse=True)
     labels = posted.column("label").to_numpy()[first].astype(np.int64)
     size = np.bincount(labels, minlength=2)
     if not size.all():
         return None
-    terms = posted.column("term").dictionary_encode().combine_chunks()
-    ids = {t: i for i, t in enumerate(terms.dictionary.to_pylist())}
-    term, tf = terms.indices.to_numpy(), posted.column("tf").to_numpy().copy()
-    del posted, terms
-    toxic = np.bincount(term[labels[example] == 1], minlength=len(ids))
-    factor = likelihood_ratio(toxic, np.bincount(term, minlength=len(ids)) - toxic, int(size[1]), int(size[0]))
-    df = document_frequencies(docs, ids)
+    vocabulary, term = np.unique(posted.column("term").to_numpy(), return_inverse=True)
+    tf = posted.column("tf").to_numpy().copy()
+    del posted
+    toxic = np.bincount(term[labels[example] == 1], minlength=len(vocabulary))
+    factor = likelihood_ratio(toxic, np.bincount(term, minlength=len(vocabulary)) - toxic, int(size[1]), int(size[0]))
+    df = document_frequencies(docs, vocabulary)
     idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * np.maximum(settings.least, factor)
-    counts = Counts(example, term, tf)
-    index = BlockMaxIndex(counts, labels, idf, settings.block)
+    index = BlockMaxIndex(example, term, tf, labels, idf, settings.block)
+    place = np.argsort(example, kind="stable")
+    ends = np.r_[0, np.cumsum(np.bincount(example, minlength=len(labels)))]
+    counts = [(term[p], tf[p]) for p in np.split(place, ends[1:-1])]
     total = shares[0] + shares[1]
     weight = (shares[0] / int(size[0]), shares[1] / int(size[1]))
     scale = max(weight)
-    model = ToxicityModel(ids, index, settings, (weight[0] / scale, weight[1] / scale), shares[1] / total, 1.0, 0.0)
+    ids = [named[known[i]] for i in index.order]
+    model = ToxicityModel(vocabulary, ids, index, settings, (weight[0] / scale, weight[1] / scale), shares[1] / total, 1.0, 0.0)
     # left-one-out votes of all examples
-    votes = [model.vote(counts[i], at)[0] for at, i in enumerate(index.order)]
+    votes = [v for v, _, _ in model.votes([counts[i] for i in index.order], range(len(counts)))]
     x, y = np.array([logit(v) for v in votes]), index.labels.astype(float)
     w = np.where(index.labels == 1, weight[1], weight[0])
     slope, offset = fit_logistic(x, y, w)
-    return ToxicityModel(ids, index, settings, model.class_weight, model.prior, slope, offset)
+    return replace(model, slope=slope, offset=offset)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """One row per document: doc_id, text_hash, score, predicted, n_neighbours, nearest_cosine, toxic_votes.
+    """One row per document: doc_id, text_hash, score, predicted, n_neighbours, nearest_cosine, toxic_votes, nearest_examples.
 
-    ``text_hash`` tells apart documents that share an id. The last three are the evidence: how many examples share a term, the largest cosine, and how many
-    of the neighbours are toxic. Null and empty texts, and texts without a term of the examples, get
+    ``text_hash`` tells apart documents that share an id. The last four are the evidence: how many examples share a term, the largest cosine, how many
+    of the neighbours are toxic, and the ids of the three nearest. Null and empty texts, and texts without a term of the examples, get
     the score of a text without neighbours; without a model every score is 0. Repeated rows and null
     ids are scored each. Only ``doc_id`` and ``text`` are read; no shuffle. The broadcast index is
     bounded by the examples' terms.
     """
     shared = ship(docs.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_hash", "score", "predicted", "n_neighbours", "nearest_cosine", "toxic_votes"]
+    names = ["doc_id", "text_hash", "score", "predicted", "n_neighbours", "nearest_cosine", "toxic_votes", "nearest_examples"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, memo = shared(), {}
-        nothing = None if fitted is None else (fitted.score(fitted.vote({})[0]), 0, 0.0, 0)
+        fitted = shared()
+        terms = Terms(fitted.vocabulary) if fitted else None
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                rows = []
-                for text in part.column(2).to_pylist():
-                    counts = counted(text, fitted.ids, memo) if fitted else {}
-                    if not fitted:
-                        rows.append((0.0, 0, 0.0, 0))
-                    elif not counts:
-                        rows.append(nothing)
-                    else:
-                        vote, members, cosines = fitted.vote(counts)
-                        rows.append((fitted.score(vote), len(members), float(cosines[0]) if len(cosines) else 0.0, int(fitted.index.labels[members].sum())))
-                score, near, cosine, toxic = zip(*rows) if rows else ((), (), (), ())
+                rows = [] if fitted else [(0.0, 0, 0.0, 0, [])] * part.num_rows
+                for vote, members, cosines in fitted.votes([terms.counts(t) for t in part.column(2).to_pylist()]) if fitted else ():
+                    named = [fitted.examples[i] for i in members[:3].tolist()]
+                    rows.append((fitted.score(vote), len(members), float(cosines[0]) if len(cosines) else 0.0, int(fitted.index.labels[members].sum()), named))
+                score, near, cosine, toxic, named = zip(*rows) if rows else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()),
-                     pa.array(near, pa.int32()), pa.array(cosine, pa.float64()), pa.array(toxic, pa.int32())], names=names,
+                     pa.array(near, pa.int32()), pa.array(cosine, pa.float64()), pa.array(toxic, pa.int32()), pa.array(named, pa.list_(part.column(0).type))], names=names,
                 )
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_hash long, score double, predicted int, n_neighbours int, nearest_cosine double, toxic_votes int"
+        run, f"doc_id {kind}, text_hash long, score double, predicted int, n_neighbours int, nearest_cosine double, toxic_votes int, nearest_examples array<{kind}>"
     )

@@ -114,6 +114,11 @@ def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean
     return np.sqrt(np.maximum(0, 2 * total))
 
 
+def narrowed(counts: np.ndarray) -> np.ndarray:
+    """The counts in the smallest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max())) if len(counts) else np.uint8)
+
+
 class BlockMaxIndex:
     """Examples as unit vectors: postings by term, the largest weight per (term, block of examples), and each example's terms."""
 
@@ -121,8 +126,6 @@ class BlockMaxIndex:
         """``example``, ``term`` and ``tf`` are parallel, a row for each term of an example; ``labels`` is by example."""
         self.n, self.block, self.idf, self.blocks = len(labels), block, idf, -(-len(labels) // block)
         weight = (1 + np.log(tf)) * idf[term]
-        length = np.sqrt(np.bincount(example, weight * weight, self.n))
-        weight /= np.where(length > 0, length, 1)[example]
         # similar examples share a block, which makes the blocks' bounds tight
         lead = np.full(self.n, len(idf))
         by_weight = np.lexsort((term, -weight, example))
@@ -133,25 +136,39 @@ class BlockMaxIndex:
         at = np.empty(self.n, np.int64)
         at[self.order] = np.arange(self.n)
         example = at[example]
-        weight, term = weight.astype(float), term.astype(np.int64)
         place = np.lexsort((term, example))
         # each example's terms
-        self.terms, self.weight = term[place].astype(np.int32), weight[place]
+        self.terms, self.tf = term[place].astype(np.int32), narrowed(tf[place])
         self.ends = np.r_[0, np.cumsum(np.bincount(example, minlength=self.n))]
-        count = np.bincount(term, minlength=len(idf))
-        often = np.lexsort((np.arange(len(idf)), -count))[:DENSE // max(1, self.n)]
+        self.derive()
+
+    def __getstate__(self) -> dict:
+        """Counts alone are sent; what follows from them is computed where they arrive."""
+        return {name: getattr(self, name) for name in ("n", "block", "idf", "blocks", "order", "labels", "terms", "tf", "ends")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.derive()
+
+    def derive(self) -> None:
+        """Weights, dense blocks with their largest weights, and postings of the rare terms."""
+        term, example = self.terms.astype(np.int64), np.repeat(np.arange(self.n), np.diff(self.ends))
+        weight = (1 + np.log(self.tf.astype(float))) * self.idf[term]
+        length = np.sqrt(np.bincount(example, weight * weight, self.n))
+        self.weight = weight = weight / np.where(length > 0, length, 1)[example]
+        count = np.bincount(term, minlength=len(self.idf))
+        often = np.lexsort((np.arange(len(count)), -count))[:DENSE // max(1, self.n)]
         often = np.sort(often[count[often] >= max(2, self.n // SHARE)])
-        self.column = np.full(len(idf), -1, np.int32)
+        self.column = np.full(len(count), -1, np.int32)
         self.column[often] = np.arange(len(often))
-        padded = self.blocks * block
-        self.dense = np.zeros((padded, len(often)), np.float32)
+        self.dense = np.zeros((self.blocks * self.block, len(often)), np.float32)
         inside = self.column[term] >= 0
         self.dense[example[inside], self.column[term[inside]]] = weight[inside]
-        # the largest weight of each frequent term in each block
-        self.most = self.dense.reshape(self.blocks, block, -1).max(axis=1) if self.n else np.zeros((0, len(often)), np.float32)
-        place = np.flatnonzero(~inside)[np.lexsort((example[~inside], term[~inside]))]
+        self.most = self.dense.reshape(self.blocks, self.block, -1).max(axis=1) if self.n else np.zeros((0, len(often)), np.float32)
+        place = np.flatnonzero(~inside)
+        place = place[np.argsort(term[place], kind="stable")]
         self.posted, self.posted_weight = example[place], weight[place]
-        self.start = np.searchsorted(term[place], np.arange(len(idf) + 1)).astype(np.int32)
+        self.start = np.searchsorted(term[place], np.arange(len(count) + 1)).astype(np.int32)
         # of sums in single precision, all of positive numbers that add up to one at most
         self.slack = 2.0 ** -22 * (len(often) + 4096)
 

@@ -122,36 +122,24 @@ def narrowed(counts: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Examples as unit vectors: postings by term, the largest weight per (term, block of examples), and each example's terms."""
 
-    def __init__(self, example: np.ndarray, term: np.ndarray, tf: np.ndarray, labels: np.ndarray, idf: np.ndarray, block: int):
-        """``example``, ``term`` and ``tf`` are parallel, a row for each term of an example; ``labels`` is by example."""
+    def __init__(self, texts: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, idf: np.ndarray, block: int):
+        """``texts`` are the distinct terms of each example in order, and how often each occurs."""
         self.n, self.block, self.idf, self.blocks = len(labels), block, idf, -(-len(labels) // block)
-        weight = (1 + np.log(tf)) * idf[term]
         # similar examples share a block, which makes the blocks' bounds tight
-        lead = np.full(self.n, len(idf))
-        by_weight = np.lexsort((term, -weight, example))
-        first = np.r_[True, np.diff(example[by_weight]) != 0][:len(example)]
-        lead[example[by_weight][first]] = term[by_weight][first]
+        lead = [int(ids[np.argmax((1 + np.log(tf.astype(float))) * idf[ids])]) if len(ids) else len(idf) for ids, tf in texts]
         self.order = np.lexsort((np.arange(self.n), lead, -labels))
         self.labels = labels[self.order]
-        at = np.empty(self.n, np.int64)
-        at[self.order] = np.arange(self.n)
-        example = at[example]
-        place = np.lexsort((term, example))
-        # each example's terms
-        self.terms, self.tf = term[place].astype(np.int32), narrowed(tf[place])
-        self.ends = np.r_[0, np.cumsum(np.bincount(example, minlength=self.n))]
-        self.derive()
+        chosen = [texts[i] for i in self.order.tolist()]
+        self.terms = np.concatenate([ids.astype(np.int32) for ids, _ in chosen] or [np.zeros(0, np.int32)])
+        self.tf = narrowed(np.concatenate([tf for _, tf in chosen] or [np.zeros(0, np.int64)]))
+        self.ends = np.r_[0, np.cumsum([len(ids) for ids, _ in chosen])].astype(np.int64)
 
     def __getstate__(self) -> dict:
         """Counts alone are sent; what follows from them is computed where they arrive."""
         return {name: getattr(self, name) for name in ("n", "block", "idf", "blocks", "order", "labels", "terms", "tf", "ends")}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.derive()
-
     def derive(self) -> None:
-        """Weights, dense blocks with their largest weights, and postings of the rare terms."""
+        """For the first search where the index is: weights, dense blocks with their largest weights, and postings of the rare terms."""
         term, example = self.terms.astype(np.int64), np.repeat(np.arange(self.n), np.diff(self.ends))
         weight = (1 + np.log(self.tf.astype(float))) * self.idf[term]
         length = np.sqrt(np.bincount(example, weight * weight, self.n))
@@ -179,6 +167,8 @@ class BlockMaxIndex:
 
     def nearest(self, texts: Sequence[tuple[np.ndarray, np.ndarray]], k: int, without: Sequence[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text (ids, tf) the k examples of largest positive cosine, ties to the earlier one; ``without`` names one that takes no part."""
+        if not hasattr(self, "dense"):
+            self.derive()
         out = []
         for start in range(0, len(texts), BATCH):
             some = texts[start:start + BATCH]
@@ -277,20 +267,37 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def example_terms(examples: DataFrame) -> DataFrame:
-    """One row per example and term: example, label, term (its hash), tf."""
+    """One row per example: example, label, and its terms (hashes in order) with their numbers as packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
             for example, label, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found, tf = terms.counts(text)
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, example, np.int64)), pa.array(np.full(n, label, np.int32)), pa.array(found.astype(np.int64)), pa.array(tf.astype(np.int32))],
-                    names=["example", "label", "term", "tf"],
-                )
+                if len(found):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([example], pa.int64()), pa.array([label], pa.int32()), pa.array([found.astype(np.int64).tobytes()]), pa.array([tf.astype(np.int32).tobytes()])],
+                        names=["example", "label", "terms", "tf"],
+                    )
+
+    return examples.select("example", "label", "text").mapInArrow(run, "example long, label int, terms binary, tf binary")
+
+
+def left_out_votes(rows: DataFrame, model: ToxicityModel, places: dict[int, int]) -> dict[int, float]:
+    """The vote of each example (at its place) by the others; tasks search, only votes come back."""
+    shared = ship(rows.sparkSession, (model, places))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, at = shared()
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                example, terms, tf = (c.to_pylist() for c in batch.slice(start, BATCH).columns)
+                texts = [(np.searchsorted(fitted.vocabulary, np.frombuffer(t, np.int64)), np.frombuffer(n, np.int32)) for t, n in zip(terms, tf)]
+                here = [at[e] for e in example]
+                votes = [v for v, _, _ in fitted.votes(texts, here)]
+                yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(votes, pa.float64())], names=["place", "vote"])
 
-    return examples.select("example", "label", "text").mapInArrow(run, "example long, label int, term long, tf int")
+    return {r["place"]: r["vote"] for r in rows.select("example", "terms", "tf").mapInArrow(run, "place long, vote double").collect()}
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -334,33 +341,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
     examples = docs.select("doc_id", "text", F.xxhash64("text").alias("example")).join(chosen, ["doc_id", "example"]).select("example", "label", "text")
     # an id for each example, as evidence
     named = {r["example"]: r["doc_id"] for r in chosen.collect()}
-    rows = store(example_terms(examples).distinct(), "toxicity-terms")
-    # bounded: the terms of the examples, as numbers
+    rows = store(example_terms(examples.dropDuplicates(["example"])), "toxicity-terms")
+    # bounded: the terms of the examples, as packed numbers
     posted = rows.toArrow()
-    known, first, example = np.unique(posted.column("example").to_numpy(), return_index=True, return_inverse=True)
-    labels = posted.column("label").to_numpy()[first].astype(np.int64)
+    labels = posted.column("label").to_numpy().astype(np.int64)
     size = np.bincount(labels, minlength=2)
     if not size.all():
         return None
-    vocabulary, term = np.unique(posted.column("term").to_numpy(), return_inverse=True)
-    tf = posted.column("tf").to_numpy().copy()
-    del posted
-    toxic = np.bincount(term[labels[example] == 1], minlength=len(vocabulary))
-    factor = likelihood_ratio(toxic, np.bincount(term, minlength=len(vocabulary)) - toxic, int(size[1]), int(size[0]))
+    known = posted.column("example").to_pylist()
+    hashes = [np.frombuffer(t.as_buffer(), np.int64) for t in posted.column("terms")]
+    vocabulary = np.unique(np.concatenate(hashes))
+    counts = [(np.searchsorted(vocabulary, h).astype(np.int32), narrowed(np.frombuffer(n.as_buffer(), np.int32))) for h, n in zip(hashes, posted.column("tf"))]
+    del posted, hashes
+    held = np.zeros((2, len(vocabulary)), np.int64)
+    for label, (ids, _) in zip(labels.tolist(), counts):
+        held[label, ids] += 1
+    factor = likelihood_ratio(held[1], held[0], int(size[1]), int(size[0]))
     df = document_frequencies(docs, vocabulary)
     idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * np.maximum(settings.least, factor)
-    index = BlockMaxIndex(example, term, tf, labels, idf, settings.block)
-    place = np.argsort(example, kind="stable")
-    ends = np.r_[0, np.cumsum(np.bincount(example, minlength=len(labels)))]
-    counts = [(term[p], tf[p]) for p in np.split(place, ends[1:-1])]
+    index = BlockMaxIndex(counts, labels, idf, settings.block)
+    del counts
     total = shares[0] + shares[1]
     weight = (shares[0] / int(size[0]), shares[1] / int(size[1]))
     scale = max(weight)
     ids = [named[known[i]] for i in index.order]
     model = ToxicityModel(vocabulary, ids, index, settings, (weight[0] / scale, weight[1] / scale), shares[1] / total, 1.0, 0.0)
     # left-one-out votes of all examples
-    votes = [v for v, _, _ in model.votes([counts[i] for i in index.order], range(len(counts)))]
-    x, y = np.array([logit(v) for v in votes]), index.labels.astype(float)
+    votes = left_out_votes(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism), model, {known[i]: at for at, i in enumerate(index.order.tolist())})
+    x, y = np.array([logit(votes[at]) for at in range(index.n)]), index.labels.astype(float)
     w = np.where(index.labels == 1, weight[1], weight[0])
     slope, offset = fit_logistic(x, y, w)
     return replace(model, slope=slope, offset=offset)

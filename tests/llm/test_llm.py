@@ -92,7 +92,7 @@ def test_block_max_search_is_exact():
     labels = draw.integers(0, 2, 300)
     example = np.repeat(np.arange(300), [len(i) for i, _ in texts])
     term, tf = (np.concatenate([t[part] for t in texts]) for part in (0, 1))
-    index = BlockMaxIndex(example, term, tf, labels, idf, 16)
+    index = BlockMaxIndex(texts, labels, idf, 16)
     dense = np.zeros((300, 60))
     dense[example, term] = (1 + np.log(tf)) * idf[term]
     dense /= np.linalg.norm(dense, axis=1)[:, None]

@@ -5,8 +5,7 @@ with the tags seen in it. Each line has a ratio of characters to tags. The ratio
 a Gaussian, and lines over a threshold between the two clusters of smoothed values are content.
 The content lines name a region: the innermost element that holds most of their characters. All
 lines of the region are kept, so that a short paragraph or a heading beside long ones is not lost,
-and so are the content lines outside it; if the page has no such element below its body, the content
-lines alone are kept. Lines inside
+and so are the content lines outside it; if the page has no such element below its body, the body is the region. Lines inside
 elements that are never article text (menus, forms, adverts, comments) take no part at any step. A form
 or an element marked only by its class, id or role that holds most of the page's text is a wrapper and
 stays, unless the page has an article elsewhere.
@@ -91,6 +90,11 @@ class Lines(HTMLParser):
         """Line numbers are not needed."""
         return j
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section is a bogus comment: it ends at the next ``>``, whatever it holds, or with the page."""
+        end = self.rawdata.find(">", i + 3)
+        return len(self.rawdata) if end < 0 else end + 1
+
     def end_line(self) -> None:
         if not self.text:
             self.tags = 0
@@ -187,8 +191,8 @@ def main_blocks(html: str | None, sigma: float = 1.0, share: float = 0.7) -> lis
     smooth = smoothed(length / np.maximum(1, [tags for _, tags, _ in lines]), sigma)
     content = smooth >= min(two_clusters(smooth), smooth.max())
     region = region_of([p for (_, _, p), c in zip(lines, content) if c], length[content], parser.names, share)
-    if region is None:
-        return [text for (text, _, _), c in zip(lines, content) if c]
+    if region is None:  # the article lies in the body itself, or in parts side by side
+        return [text for text, _, _ in lines]
     return [text for (text, _, path), c in zip(lines, content) if c or region in path]
 
 

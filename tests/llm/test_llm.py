@@ -428,3 +428,22 @@ def test_pipeline_takes_out_what_it_should(spark):
     assert free == {i for i in ids if not brute_contamination(texts[i], items)[4]}
     last = corpus_pipeline.run(spark, SF)
     assert 0 < last.count() < len(texts) and set(docs.columns) <= set(last.columns)
+
+
+def test_html_of_bodies_without_a_wrapper():
+    long = "A long paragraph that tells what the article is about, with many words and hardly any tags in it at all. " * 3
+    page = f"<body><nav><a>Home</a> <a>About</a></nav><h1>Title</h1><p>{long}</p><h2>Sub</h2><p>Short one.</p><p>{long}</p><footer>imprint</footer></body>"
+    assert main_blocks(page) == ["Title", long.strip(), "Sub", "Short one.", long.strip()]
+    half = f"<h2>Head</h2><p>{long}</p><p>{long}</p><p>Last.</p>"
+    assert main_blocks(f"<body><div>{half}</div><div>{half}</div></body>") == ["Head", long.strip(), long.strip(), "Last."] * 2
+
+
+def test_html_tag_soup_never_fails():
+    assert main_blocks("<![foo[ text ]]><p>b</p>") == ["b"]
+    assert main_blocks("<p>a</p><![if x") == ["a"]
+    draw = random.Random(8)
+    parts = ["<![CDATA[", "]]>", "<!", "<!--", "-->", "<![if !IE]>", "<![endif]>", "<?php", "?>", "<!DOCTYPE", "<p", "<p>", "</p>", "</", "<div class=\"x", ">", "&#xD800;", "&#99999999;",
+             "&amp", "<script>", "</script>", "<td><tr><li>", "text ", "\x00", "\u2028", "[", "]", "<![", "<![a[", "<a href='", "'", "\"", "<svg/>", "</body></html>", "=", "/"]
+    for _ in range(3000):
+        blocks = main_blocks("".join(draw.choices(parts, k=draw.randint(1, 30))))
+        assert all(b and b == " ".join(b.split()) for b in blocks)

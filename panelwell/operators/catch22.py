@@ -1,23 +1,35 @@
 """The 22 canonical time-series characteristics of each window channel.
 
-Definitions follow the published feature set (Lubba et al. 2019), on the z-scored series. Those
-that are sums, runs, histograms or autocorrelations are array expressions; the others (spline
-detrending, spectra, fluctuation fits) are short NumPy helpers applied to Arrow batches of
-packed windows. A window is one row, so nothing here is shuffled.
+Definitions follow the published feature set (Lubba et al. 2019), on the z-scored series. All of
+them are array expressions on packed windows; a window is one row, so nothing here is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelwell.operators.features import array_mean, array_std, let
+from panelwell.operators.signals import (
+    after,
+    before,
+    count_equal,
+    differences,
+    embedding_fit,
+    fluctuation_split,
+    letter_pairs,
+    low_frequency_power,
+    middle_frequency,
+    outlier_timing,
+    spectral_density,
+    spline_period,
+    tercile_letters,
+    total,
+    transition_spread,
+)
 
 # The published feature names, in their published order.
 NAMES = (
@@ -46,24 +58,6 @@ NAMES = (
 )
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-
-
-def _tail(a: Column, lag: Column | int) -> Column:
-    lag = F.lit(lag) if isinstance(lag, int) else lag
-    return F.slice(a, lag + 1, F.greatest(F.size(a) - lag, F.lit(0)))
-
-
-def _head(a: Column, lag: Column | int) -> Column:
-    lag = F.lit(lag) if isinstance(lag, int) else lag
-    return F.slice(a, 1, F.greatest(F.size(a) - lag, F.lit(0)))
-
-
-def _diff(a: Column) -> Column:
-    return F.zip_with(_tail(a, 1), _head(a, 1), lambda x, y: x - y)
-
-
 def _lags(n: Column) -> Column:
     return F.sequence(F.lit(0), n - 1)
 
@@ -74,10 +68,10 @@ def autocorrelation(centred: Column) -> Column:
     def over(power: Column) -> Column:
         return F.transform(
             _lags(F.size(centred)),
-            lambda lag: F.try_divide(_sum(F.zip_with(_tail(centred, lag), _head(centred, lag), lambda x, y: x * y)), power),
+            lambda lag: F.try_divide(total(F.zip_with(after(centred, lag), before(centred, lag), lambda x, y: x * y)), power),
         )
 
-    return let(_sum(F.transform(centred, lambda v: v * v)), over)
+    return let(total(F.transform(centred, lambda v: v * v)), over)
 
 
 def histogram_mode(z: Column, bins: int) -> Column:
@@ -149,19 +143,19 @@ def histogram_ami(z: Column, lag: int = 2, bins: int = 5) -> Column:
             n = F.size(pairs)
             return F.when(joint > 0, joint / n * F.log(joint * n / (left * right))).otherwise(F.lit(0.0))
 
-        return _sum(F.transform(F.array_distinct(pairs), term))
+        return total(F.transform(F.array_distinct(pairs), term))
 
     span = F.struct(
         (F.array_min(z) - 0.1).alias("low"), ((F.array_max(z) - F.array_min(z) + 0.2) / bins).alias("width")
     )
     labels = let(span, label)
-    return let(labels, lambda x: let(F.zip_with(_head(x, lag), _tail(x, lag), lambda a, b: a * bins + b), information))
+    return let(labels, lambda x: let(F.zip_with(before(x, lag), after(x, lag), lambda a, b: a * bins + b), information))
 
 
 def _lag_correlation(z: Column, lag: Column) -> Column:
     """Correlation of a z-scored series with its lagged self, from sums of one pass."""
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("x", "y", "xx", "yy", "xy")])
-    pairs = F.zip_with(_head(z, lag), _tail(z, lag), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with(before(z, lag), after(z, lag), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
     def add(s: Column, p: Column) -> Column:
         a, b = p["a"], p["b"]
@@ -189,32 +183,17 @@ def gaussian_ami_minimum(z: Column, most: int = 40) -> Column:
 
 def motif_entropy(z: Column) -> Column:
     """Entropy of two-letter words over a three-letter quantile alphabet."""
-    n = F.size(z)
-
-    def cut(ordered: Column, q: float) -> Column:
-        # piecewise-linear quantile through the points ((i + 1/2) / n, i-th value)
-        spot = F.greatest(F.lit(0.0), F.least(n * F.lit(q) - 0.5, (n - 1).cast("double")))
-        i = F.floor(spot).cast("int")
-        low, high = F.get(ordered, i), F.coalesce(F.get(ordered, i + 1), F.get(ordered, i))
-        return low + (spot - i) * (high - low)
-
-    def words(cuts: Column) -> Column:
-        letters = F.transform(z, lambda v: F.when(v <= cuts["a"], 0).when(v <= cuts["b"], 1).otherwise(2))
-        return let(letters, lambda x: F.zip_with(_head(x, 1), _tail(x, 1), lambda a, b: a * 3 + b))
 
     def entropy(found: Column) -> Column:
-        share = F.transform(
-            F.array_distinct(found), lambda w: F.try_divide(F.size(F.filter(found, lambda x: x == w)), F.size(found))
-        )
-        return -_sum(F.transform(share, lambda p: p * F.log(p)))
+        share = F.transform(F.array_distinct(found), lambda w: F.try_divide(count_equal(found, w), F.size(found)))
+        return -total(F.transform(share, lambda p: p * F.log(p)))
 
-    cuts = let(F.array_sort(z), lambda o: F.struct(cut(o, 1 / 3).alias("a"), cut(o, 2 / 3).alias("b")))
-    return let(let(cuts, words), entropy)
+    return let(let(tercile_letters(z), letter_pairs), entropy)
 
 
-def expression_features(z: Column, ac: Column, ac_diff: Column) -> dict[str, Column]:
-    """The features that are array expressions, from the z-scored series and two autocorrelations."""
-    step = _diff(z)
+def expression_features(z: Column, ac: Column, ac_diff: Column, density: Column) -> dict[str, Column]:
+    """All features of a z-scored series, given two autocorrelations and the power density."""
+    step = differences(z)
     means = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(z) - 4, F.lit(0))),
         lambda i: F.get(z, i + 3) - (F.get(z, i) + F.get(z, i + 1) + F.get(z, i + 2)) / 3.0,
@@ -234,149 +213,18 @@ def expression_features(z: Column, ac: Column, ac_diff: Column) -> dict[str, Col
         "SB_BinaryStats_diff_longstretch0": longest_run(F.transform(step, lambda d: d < 0)),
         "SB_MotifThree_quantile_hh": motif_entropy(z),
         "FC_LocalSimple_mean3_stderr": let(forecast, lambda r: F.when(F.size(r) > 1, array_std(r, 1))),
+        "SB_TransitionMatrix_3ac_sumdiagcov": transition_spread(z, first_zero(ac).cast("int")),
+        "PD_PeriodicityWang_th0_01": spline_period(z),
+        "CO_Embed2_Dist_tau_d_expfit_meandiff": embedding_fit(z, first_zero(ac)),
+        "DN_OutlierInclude_p_001_mdrmd": outlier_timing(z, 1),
+        "DN_OutlierInclude_n_001_mdrmd": outlier_timing(z, -1),
+        "SP_Summaries_welch_rect_area_5_1": low_frequency_power(density),
+        "SP_Summaries_welch_rect_centroid": middle_frequency(density),
+        "SC_FluctAnal_2_rsrangefit_50_1_logi_prop_r1": fluctuation_split(z, 1, "range"),
+        "SC_FluctAnal_2_dfa_50_1_2_logi_prop_r1": fluctuation_split(z, 2, "dfa"),
     }
 
 
-# --- NumPy helpers for the rest, each on one short z-scored series -------------------------------
-
-
-def _acf(y: np.ndarray) -> np.ndarray:
-    full = np.correlate(y - y.mean(), y - y.mean(), "full")[len(y) - 1 :]
-    return full / full[0]
-
-
-def _first_zero(y: np.ndarray) -> int:
-    below = np.flatnonzero(_acf(y) <= 0)
-    return int(below[0]) if below.size else len(y)
-
-
-def _tercile_labels(y: np.ndarray) -> np.ndarray:
-    cuts = np.quantile(y, [1 / 3, 2 / 3], method="hazen")
-    return np.searchsorted(cuts, y, side="left")
-
-
-def transition_spread(y: np.ndarray) -> float:
-    """Sum of the column variances of the transition matrix of the down-sampled tercile series."""
-    letters = _tercile_labels(y[:: max(_first_zero(y), 1)])
-    if len(letters) < 2:
-        return math.nan
-    table = np.zeros((3, 3))
-    np.add.at(table, (letters[:-1], letters[1:]), 1.0)
-    return float(np.var(table / (len(letters) - 1), axis=0, ddof=1).sum())
-
-
-def spline_period(y: np.ndarray) -> float:
-    """First autocovariance peak that is positive and 0.01 above the trough before it."""
-    x = np.linspace(-1, 1, len(y))
-    basis = np.column_stack([np.ones_like(x), x, x**2, x**3, np.clip(x, 0, None) ** 3])
-    rest = y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
-    cov = np.array([np.mean(rest[lag:] * rest[: len(y) - lag]) for lag in range(1, math.ceil(len(y) / 3) + 1)])
-    turn = np.sign(np.diff(cov))
-    troughs = [i for i in range(1, len(cov) - 1) if turn[i - 1] < 0 < turn[i]]
-    for i in range(1, len(cov) - 1):
-        if turn[i - 1] > 0 > turn[i]:
-            before = [t for t in troughs if t < i]
-            if before and cov[i] - cov[before[-1]] >= 0.01 and cov[i] > 0:
-                return float(i + 1)
-    return 0.0
-
-
-def embedding_fit(y: np.ndarray) -> float:
-    """Mean gap between the histogram of embedding distances and an exponential of equal mean."""
-    tau = max(1, min(_first_zero(y), len(y) // 10))
-    steps = np.diff(y)
-    d = np.hypot(steps[: len(steps) - tau], steps[tau:])
-    if len(d) < 2 or d.std(ddof=1) == 0:
-        return math.nan
-    bins = max(1, math.ceil((d.max() - d.min()) / (3.5 * d.std(ddof=1) / len(d) ** (1 / 3))))
-    counts, edges = np.histogram(d, bins)
-    centres = (edges[1:] + edges[:-1]) / 2
-    return float(np.mean(np.abs(counts / len(d) - np.exp(-centres / d.mean()) / d.mean())))
-
-
-def outlier_timing(y: np.ndarray, sign: int) -> float:
-    """Median over rising thresholds of how early or late the values beyond them lie."""
-    side = sign * y
-    if side.max() < 0.01:
-        return 0.0
-    half, n_side, spots = len(y) / 2, int((side >= 0).sum()), []
-    for level in np.arange(int(side.max() / 0.01) + 1) * 0.01:
-        at = np.flatnonzero(side >= level) + 1
-        if len(at) < 2 or (len(at) - 1) * 100 / n_side <= 2:
-            break
-        spots.append(np.median(at) / half - 1)
-    return float(np.median(spots)) if spots else math.nan
-
-
-def spectrum(y: np.ndarray) -> tuple[float, float]:
-    """Power in the lowest fifth of frequencies, and the frequency that halves the power."""
-    n_fft = 1 << (len(y) - 1).bit_length()
-    power = np.abs(np.fft.rfft(y - y.mean(), n_fft)) ** 2 / len(y)
-    power[1:-1] *= 2
-    omega = 2 * np.pi * np.arange(len(power)) / n_fft
-    density = power / (2 * np.pi)
-    total = np.cumsum(density)
-    centroid = omega[np.flatnonzero(total > total[-1] / 2)[0]]
-    return float(density[: len(power) // 5].sum() * (omega[1] - omega[0])), float(centroid)
-
-
-def fluctuation_split(y: np.ndarray, lag: int, kind: str) -> float:
-    """Share of scales in the first of two straight pieces of the log-log fluctuation curve."""
-    n = len(y)
-    if n // 2 < 6:
-        return 0.0
-    scales = np.unique(np.round(np.exp(np.linspace(math.log(5), math.log(n // 2), 50))).astype(int))
-    if len(scales) < 12:
-        return 0.0
-    walk = np.cumsum(y[::lag])
-    curve = []
-    for scale in scales:
-        parts = walk[: len(walk) // scale * scale].reshape(-1, scale)
-        if not len(parts):
-            return 0.0
-        design = np.column_stack([np.ones(scale), np.arange(scale)])
-        rest = parts - (design @ np.linalg.lstsq(design, parts.T, rcond=None)[0]).T
-        curve.append(np.sqrt(np.mean(np.ptp(rest, axis=1) ** 2)) if kind == "range" else np.sqrt(np.mean(rest**2)))
-    if min(curve) <= 0:
-        return math.nan
-    x, f = np.log(scales), np.log(curve)
-
-    def misfit(a: np.ndarray, b: np.ndarray) -> float:
-        design = np.column_stack([np.ones(len(a)), a])
-        return float(np.linalg.norm(b - design @ np.linalg.lstsq(design, b, rcond=None)[0]))
-
-    cost = [misfit(x[:i], f[:i]) + misfit(x[i - 1 :], f[i - 1 :]) for i in range(6, len(x) - 5)]
-    return float((6 + int(np.argmin(cost))) / len(x)) if cost else 0.0
-
-
-def _numeric_features(y: np.ndarray) -> dict[str, float]:
-    area, centroid = spectrum(y)
-    return {
-        "SB_TransitionMatrix_3ac_sumdiagcov": transition_spread(y),
-        "PD_PeriodicityWang_th0_01": spline_period(y),
-        "CO_Embed2_Dist_tau_d_expfit_meandiff": embedding_fit(y),
-        "DN_OutlierInclude_p_001_mdrmd": outlier_timing(y, 1),
-        "DN_OutlierInclude_n_001_mdrmd": outlier_timing(y, -1),
-        "SP_Summaries_welch_rect_area_5_1": area,
-        "SC_FluctAnal_2_rsrangefit_50_1_logi_prop_r1": fluctuation_split(y, 1, "range"),
-        "SC_FluctAnal_2_dfa_50_1_2_logi_prop_r1": fluctuation_split(y, 2, "dfa"),
-        "SP_Summaries_welch_rect_centroid": centroid,
-    }
-
-
-NUMERIC_NAMES = tuple(_numeric_features(np.array([0.0, 1.0, -1.0])))
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in NUMERIC_NAMES]))
-def numeric_features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    empty = {n: math.nan for n in NUMERIC_NAMES}
-    for batch in batches:
-        yield pd.DataFrame(
-            [_numeric_features(np.asarray(y, dtype=float)) if y is not None else empty for y in batch],
-            columns=list(NUMERIC_NAMES),
-        )
-
-
 def _standardised(channel: str) -> Column:
     mean, spread = F.col(f"__m_{channel}"), F.col(f"__s_{channel}")
     return F.when(spread.isNotNull(), F.transform(channel, lambda v: (v - mean) / spread))
@@ -403,16 +251,15 @@ def catch22_features(
         out = out.withColumn(f"__z_{c}", _standardised(c))
     for c in channels:
         z = F.col(f"__z_{c}")
-        step = let(_diff(z), lambda d: let(array_mean(d), lambda m: F.transform(d, lambda v: v - m)))
-        out = out.withColumns({f"__d_{c}": step, f"__np_{c}": numeric_features(z)})
+        step = let(differences(z), lambda d: let(array_mean(d), lambda m: F.transform(d, lambda v: v - m)))
+        out = out.withColumns({f"__d_{c}": step, f"__p_{c}": spectral_density(z)})
     for c in channels:
         out = out.withColumns(
             {f"__ac_{c}": autocorrelation(F.col(f"__z_{c}")), f"__ad_{c}": autocorrelation(F.col(f"__d_{c}"))}
         )
     columns = []
     for c in channels:
-        made = expression_features(F.col(f"__z_{c}"), F.col(f"__ac_{c}"), F.col(f"__ad_{c}"))
-        made |= {n: F.col(f"__np_{c}")[n] for n in NUMERIC_NAMES}
+        made = expression_features(F.col(f"__z_{c}"), F.col(f"__ac_{c}"), F.col(f"__ad_{c}"), F.col(f"__p_{c}"))
         for name in NAMES:
             value = F.nanvl(F.when(F.col(f"__z_{c}").isNotNull(), made[name].cast("double")), F.lit(None).cast("double"))
             finite = F.when(F.abs(value) < float("inf"), value)

@@ -13,6 +13,8 @@ from panelwell.session import shared_path
 from panelwell.sources import study
 from panelwell.sources.manifest import (
     canonical_row,
+    changed_chunks,
+    digest_tree,
     id_ranges,
     manifest_audit,
     pinned_scan,
@@ -39,11 +41,27 @@ LANES = ", ".join(
 )
 
 
+def nodes_sql(level: int, source: str, key: str, rows: str) -> str:
+    """Nodes of one level of the digest tree from a source of children with their hashes ``h``."""
+    name = "coalesce(CAST(any_value(node) AS VARCHAR), 'none')"
+    return (
+        f"SELECT node, {rows} AS n, sha256(concat_ws(chr(10), '{level}', {name}, CAST({rows} AS VARCHAR), {LANES})) AS h "
+        f"FROM (SELECT *, CAST(floor({key}) AS BIGINT) AS node FROM ({source}) children) GROUP BY node"
+    )
+
+
+def leaves_sql(source: str, row_text: str) -> str:
+    return nodes_sql(0, f"SELECT id, sha256({row_text}) AS h FROM {source}", "id / 4096", "count(*)")
+
+
 def digest_sql(source: str, row_text: str, columns: list[str]) -> str:
     head = " || chr(31) || ".join(f"'{c}'" for c in columns)
+    nodes = leaves_sql(source, row_text)
+    for level in (1, 2):
+        nodes = nodes_sql(level, f"SELECT node AS child, n, h FROM ({nodes}) below", "child / 256", "sum(n)")
     return (
-        f"SELECT count(*) AS \"rows\", sha256(concat_ws(chr(10), {head}, CAST(count(*) AS VARCHAR), {LANES})) AS digest "
-        f"FROM (SELECT sha256({row_text}) AS h FROM {source})"
+        f"SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS \"rows\", "
+        f"sha256(concat_ws(chr(10), {head}, CAST(coalesce(sum(n), 0) AS VARCHAR), {LANES})) AS digest FROM ({nodes}) top"
     )
 
 
@@ -94,44 +112,80 @@ def _(spark, sf):
     return canonical_row(_events_as_table(spark, sf), ["props"])
 
 
-@query("table_digest", digest_sql("events", EVENT_TEXT, ["id", "ts", "user_id", "event_type", "value", "props"]))
+@query("table_digest", digest_sql("(SELECT *, event_id AS id FROM events)", EVENT_TEXT, ["id", "ts", "user_id", "event_type", "value", "props"]))
 def _(spark, sf):
     return table_digest(_events_as_table(spark, sf), ["props"])
 
 
+RESPONSE_COLUMNS = ["id", "app_user_id", "timestamp", "survey_id"]
+RESPONSE_TEXT = (
+    "concat_ws(chr(31), CAST(id AS VARCHAR), CAST(app_user_id AS VARCHAR), " + TIME_TEXT.format("timestamp") + ", CAST(survey_id AS VARCHAR))"
+)
+#: Table -> (rows found, rows recorded, row text, columns): one as recorded, one with rows lost, one with rows altered.
+AUDITED = {
+    "step": ("(SELECT * FROM v_sensor WHERE modality = 'step')", "(SELECT * FROM v_sensor WHERE modality = 'step')", SENSOR_TEXT, SENSOR_COLUMNS),
+    "distance": (
+        "(SELECT * FROM v_sensor WHERE modality = 'distance' AND id % 499 <> 3)", "(SELECT * FROM v_sensor WHERE modality = 'distance')",
+        SENSOR_TEXT, SENSOR_COLUMNS,
+    ),
+    "survey_response": (
+        "v_response", "(SELECT * REPLACE (CAST(survey_id + (id % 499 = 3)::INTEGER AS INTEGER) AS survey_id) FROM v_response)",
+        RESPONSE_TEXT, RESPONSE_COLUMNS,
+    ),
+}
+
+
+def _audited(spark, sf):
+    """(table, rows found, rows recorded), as in ``AUDITED``."""
+    sensors, responses = study.sensor(spark, sf), study.survey_response(spark, sf)
+    step, distance = sensors.filter("modality = 'step'"), sensors.filter("modality = 'distance'")
+    altered = responses.withColumn("survey_id", F.col("survey_id") + (F.col("id") % 499 == 3).cast("int"))
+    return [("step", step, step), ("distance", distance.filter("id % 499 <> 3"), distance), ("survey_response", responses, altered)]
+
+
 @query(
     "manifest_audit",
-    """
-SELECT 'step' AS "table", (SELECT count(*) FROM v_sensor WHERE modality = 'step') AS "rows",
-  (SELECT count(*) FROM v_sensor WHERE modality = 'step') AS pinned_rows, 'match' AS status
-UNION ALL SELECT 'distance', (SELECT count(*) FROM v_sensor WHERE modality = 'distance'),
-  (SELECT count(*) + 3 FROM v_sensor WHERE modality = 'distance'), 'deleted'
-UNION ALL SELECT 'survey_response', (SELECT count(*) FROM v_response), (SELECT count(*) FROM v_response), 'changed'
-UNION ALL SELECT 'answer', (SELECT count(*) FROM v_answer), NULL, 'unpinned'
-""",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", f.\"rows\", r.\"rows\" AS pinned_rows, CASE WHEN f.\"rows\" <> r.\"rows\" THEN 'deleted' "
+        f"WHEN f.digest <> r.digest THEN 'changed' ELSE 'match' END AS status "
+        f"FROM ({digest_sql(found, text, columns)}) f, ({digest_sql(recorded, text, columns)}) r"
+        for name, (found, recorded, text, columns) in AUDITED.items()
+    ) + " UNION ALL SELECT 'answer', (SELECT count(*) FROM v_answer), NULL, 'unpinned'",
     ("v_sensor", "v_response", "v_answer"),
 )
 def _(spark, sf):
-    sensors, responses = study.sensor(spark, sf), study.survey_response(spark, sf)
-
     def named(table, df):
         return table_digest(df).select(F.lit(table).alias("table"), "rows", "digest")
 
-    found = (
-        named("step", sensors.filter("modality = 'step'"))
-        .unionByName(named("distance", sensors.filter("modality = 'distance'")))
-        .unionByName(named("survey_response", responses))
-        .unionByName(named("answer", study.answer(spark, sf)))
-    )
-    # the recorded state: step as it is, distance with three more rows, responses with other times
-    recorded = (
-        named("step", sensors.filter("modality = 'step'"))
-        .unionByName(named("distance", sensors.filter("modality = 'distance'")).withColumn("rows", F.col("rows") + 3))
-        .unionByName(named("survey_response", responses.withColumn("survey_id", F.col("survey_id") + 1)))
-    )
+    found, recorded = named("answer", study.answer(spark, sf)), None
+    for table, now, then in _audited(spark, sf):
+        found = found.unionByName(named(table, now))
+        recorded = named(table, then) if recorded is None else recorded.unionByName(named(table, then))
     return manifest_audit(found, recorded)
 
 
+@query(
+    "manifest_changed_chunks",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", CAST(node * 4096 AS BIGINT) AS first_id, CAST(node * 4096 + 4095 AS BIGINT) AS last_id, "
+        f"coalesce(f.n, 0) AS \"rows\", coalesce(r.n, 0) AS pinned_rows, "
+        f"CASE WHEN r.h IS NULL THEN 'added' WHEN f.h IS NULL THEN 'deleted' ELSE 'changed' END AS status "
+        f"FROM ({leaves_sql(found, text)}) f FULL JOIN ({leaves_sql(recorded, text)}) r USING (node) WHERE f.h IS DISTINCT FROM r.h"
+        for name, (found, recorded, text, columns) in AUDITED.items()
+    ),
+    ("v_sensor", "v_response"),
+)
+def _(spark, sf):
+    def named(table, df):
+        return digest_tree(df).select(F.lit(table).alias("table"), "level", "node", "rows", "digest")
+
+    found = recorded = None
+    for table, now, then in _audited(spark, sf):
+        found = named(table, now) if found is None else found.unionByName(named(table, now))
+        recorded = named(table, then) if recorded is None else recorded.unionByName(named(table, then))
+    return changed_chunks(found, recorded)
+
+
 RANGES_SQL = (
     "SELECT min(id) AS first_id, max(id) AS last_id FROM "
     "(SELECT id, id - row_number() OVER (ORDER BY id) AS island FROM (SELECT DISTINCT id FROM v_sensor)) GROUP BY island"

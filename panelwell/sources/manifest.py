@@ -1,8 +1,10 @@
 """Row manifests: pin a read to recorded rows, and audit whether those rows are unchanged.
 
-The digest is a sum of row hashes instead of one chained hash: each row text is hashed with
-SHA-256, the hash is cut into four 60-bit numbers, and these are added up over the table. It
-does not depend on the order of rows, needs one partial aggregation, and no sort at all.
+The digest is the root of a tree of hashes over ids. Each row text is hashed with SHA-256; a leaf
+holds the rows of one chunk of ids, an inner node a fixed number of neighbouring nodes. A node's
+digest is taken over the sums of its children's hashes (each cut into four 60-bit numbers), so it
+does not depend on the order of rows and needs partial aggregations only, no sort. Two trees are
+compared from the root down, and only children of nodes that differ are read.
 """
 
 from __future__ import annotations
@@ -15,13 +17,18 @@ from pyspark.sql import types as T
 
 from panelwell.functions.text import row_text
 from panelwell.operators.ordered import ordered_columns
-from panelwell.session import broadcast_rows, cut_lineage
+from panelwell.session import broadcast_rows, cut_lineage, store
 
 #: Up to this many ranges become one pushed-down predicate; more are joined by id block.
 PREDICATE_RANGES = 50
 
 ID_BLOCK = 1 << 16
 
+#: A leaf of the digest tree covers so many ids, an inner node so many nodes; the root is at ``ROOT``.
+CHUNK_IDS = 1 << 12
+FANOUT = 1 << 8
+ROOT = 3
+
 
 def ranges_frame(spark: SparkSession, ranges: Sequence[tuple[int, int]]) -> DataFrame:
     schema = T.StructType([T.StructField("first_id", T.LongType()), T.StructField("last_id", T.LongType())])
@@ -129,31 +136,124 @@ def _lanes(digest: Column) -> list[Column]:
     ]
 
 
-def digest_columns(columns: Sequence[str]) -> list[Column]:
-    """Aggregates over a ``row_hash`` column that yield ``rows`` and ``digest``."""
-    lanes = [F.coalesce(F.sum(lane).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")) for lane in _lanes(F.col("row_hash"))]
-    head = F.lit("\x1f".join(columns))
-    text = F.concat_ws("\n", head, F.count(F.lit(1)).cast("string"), *[x.cast("string") for x in lanes])
-    return [F.count(F.lit(1)).alias("rows"), F.sha2(text, 256).alias("digest")]
+def _parent(node: Column | str, level: int) -> Column:
+    """Number of the node at ``level`` over a node of the level below; rows without id stay apart."""
+    node = F.col(node) if isinstance(node, str) else node
+    return F.lit(0).cast("bigint") if level == ROOT else F.floor(node / F.lit(FANOUT)).cast("bigint")
+
+
+def _node_columns(head: Column, digest: str, rows: Column) -> list[Column]:
+    """Aggregates that yield ``rows`` and ``digest`` of a node from its children's digests."""
+    zero = F.lit(0).cast("decimal(38,0)")
+    lanes = [F.coalesce(F.sum(lane).cast("decimal(38,0)"), zero).cast("string") for lane in _lanes(F.col(digest))]
+    rows = F.coalesce(rows, F.lit(0)).cast("bigint")
+    return [rows.alias("rows"), F.sha2(F.concat_ws("\n", head, rows.cast("string"), *lanes), 256).alias("digest")]
+
+
+def _named(level: int) -> Column:
+    return F.concat_ws("\n", F.lit(str(level)), F.coalesce(F.col("node").cast("string"), F.lit("none")))
+
+
+def _leaves(df: DataFrame, json_columns: Collection[str]) -> DataFrame:
+    text = canonical_row(df, json_columns)
+    chunk = F.floor(F.col("id") / F.lit(CHUNK_IDS)) if "id" in df.columns else F.lit(None)
+    hashed = text.select(chunk.cast("bigint").alias("node"), F.sha2("row_text", 256).alias("__hash"))
+    return hashed.groupBy("node").agg(*_node_columns(_named(0), "__hash", F.count(F.lit(1))))
+
+
+def _above(nodes: DataFrame, level: int) -> DataFrame:
+    grouped = nodes.select(_parent("node", level).alias("node"), "rows", F.col("digest").alias("__hash")).groupBy("node")
+    return grouped.agg(*_node_columns(_named(level), "__hash", F.sum("rows")))
+
+
+def _root(nodes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return nodes.withColumnRenamed("digest", "__hash").agg(*_node_columns(F.lit("\x1f".join(columns)), "__hash", F.sum("rows")))
 
 
 def table_digest(df: DataFrame, json_columns: Collection[str] = ()) -> DataFrame:
-    """One row: number of rows and content digest of the table."""
-    hashed = canonical_row(df, json_columns).select(F.sha2("row_text", 256).alias("row_hash"))
-    return hashed.agg(*digest_columns(df.columns))
+    """One row: number of rows and content digest of the table, the root of its digest tree.
+
+    An empty table has 0 rows and the digest of its column names.
+    """
+    nodes = _leaves(df, json_columns)
+    for level in range(1, ROOT):
+        nodes = _above(nodes, level)
+    return _root(nodes, df.columns)
+
+
+def digest_tree(df: DataFrame, json_columns: Collection[str] = ()) -> DataFrame:
+    """All nodes ``(level, node, rows, digest)`` of a table's digest tree; one root, node 0 of level ``ROOT``.
+
+    Node numbers are id chunks at level 0, null for rows without id. The leaves, a small fraction of
+    the table, are written once and every level is taken from them.
+    """
+    nodes = store(_leaves(df, json_columns), "digest-leaves")
+    tree = nodes.select(F.lit(0).alias("level"), "node", "rows", "digest")
+    for level in range(1, ROOT):
+        nodes = _above(nodes, level)
+        tree = tree.unionByName(nodes.select(F.lit(level).alias("level"), "node", "rows", "digest"))
+    root = _root(nodes, df.columns).select(F.lit(ROOT).alias("level"), F.lit(0).cast("bigint").alias("node"), "rows", "digest")
+    return tree.unionByName(root)
+
+
+def changed_chunks(found: DataFrame, recorded: DataFrame) -> DataFrame:
+    """The id chunks in which tables differ from their recorded trees.
+
+    Both sides are trees with their ``table`` name. Returns ``(table, first_id, last_id, rows,
+    pinned_rows, status)``: ``added`` and ``deleted`` chunks are on one side only, ``changed`` ones
+    on both. Ids are null for the chunk of rows without id. Tables that only one side has, and
+    tables of other columns but equal rows, have no chunks here; ``manifest_audit`` names them.
+    """
+
+    def side(tree: DataFrame, level: int, rows: str, digest: str) -> DataFrame:
+        at = tree.filter(F.col("level") == level)
+        return at.select("table", F.col("node").alias("__node"), F.col("rows").alias(rows), F.col("digest").alias(digest))
+
+    now, then = side(found, ROOT, "rows", "__now"), side(recorded, ROOT, "pinned_rows", "__then")
+    nodes = now.join(then, ["table", "__node"]).filter("__now <> __then")
+    for level in range(ROOT - 1, -1, -1):
+        # few nodes differ, as a rule; written so that both sides read the same ones
+        over = cut_lineage(nodes.select(F.col("table").alias("__table"), F.col("__node").alias("__over")))
+
+        def under(part: DataFrame) -> DataFrame:
+            child = (part["table"] == over["__table"]) & _parent(part["__node"], level + 1).eqNullSafe(over["__over"])
+            return part.join(over, child, "left_semi")
+
+        now = under(side(found, level, "rows", "__now")).withColumnRenamed("table", "__t").withColumnRenamed("__node", "__n")
+        then = under(side(recorded, level, "pinned_rows", "__then"))
+        same = (F.col("__t") == F.col("table")) & F.col("__n").eqNullSafe(F.col("__node"))
+        nodes = (
+            now.join(then, same, "full")
+            .filter(~F.col("__now").eqNullSafe(F.col("__then")))
+            .select(F.coalesce("table", "__t").alias("table"), F.coalesce("__node", "__n").alias("__node"), "rows", "pinned_rows", "__now", "__then")
+        )
+    status = F.when(F.col("__then").isNull(), "added").when(F.col("__now").isNull(), "deleted").otherwise("changed")
+    first = F.col("__node") * F.lit(CHUNK_IDS)
+    return nodes.select(
+        "table", first.alias("first_id"), (first + F.lit(CHUNK_IDS - 1)).alias("last_id"),
+        F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("pinned_rows", F.lit(0)).alias("pinned_rows"), status.alias("status"),
+    )
 
 
 def write_manifest(df: DataFrame, path: str, table: str, json_columns: Collection[str] = ()) -> DataFrame:
-    """Writes the manifest of a table as JSON: its id ranges (one line each) under ``ranges`` and
-    its row count and digest under ``tables``. Ranges are rows, not one document, so a table
-    with many gaps is written in parallel."""
+    """Writes the manifest of a table: its id ranges (JSON, one line each) under ``ranges``, its row
+    count and digest (JSON) under ``tables``, its digest tree (Parquet by level) under ``tree``.
+    Ranges are rows, not one document, so a table with many gaps is written in parallel."""
     named = id_ranges(df).select(F.lit(table).alias("table"), "first_id", "last_id")
-    head = table_digest(df, json_columns).select(F.lit(table).alias("table"), "rows", "digest")
     named.write.mode("overwrite").json(f"{path}/ranges")
-    head.write.mode("overwrite").json(f"{path}/tables")
+    tree = digest_tree(df, json_columns).select(F.lit(table).alias("table"), "level", "node", "rows", "digest")
+    tree.write.mode("overwrite").partitionBy("level").parquet(f"{path}/tree")
+    root = read_manifest_tree(df.sparkSession, path).filter(F.col("level") == ROOT)
+    root.select("table", "rows", "digest").write.mode("overwrite").json(f"{path}/tables")
     return read_manifest(df.sparkSession, path)
 
 
+def read_manifest_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest's tree rows ``(table, level, node, rows, digest)``."""
+    schema = "table string, node bigint, rows bigint, digest string, level int"
+    return spark.read.schema(schema).parquet(f"{path}/tree").select("table", "level", "node", "rows", "digest")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest's table rows ``(table, rows, digest)``."""
     return spark.read.schema("table string, rows bigint, digest string").json(f"{path}/tables")

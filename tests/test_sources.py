@@ -26,6 +26,46 @@ def test_digest_ignores_row_and_key_order(spark, ts):
     assert base != digest(table(spark, ts).unionByName(table(spark, ts)))
 
 
+LONG = "id bigint, value double"
+
+
+def named(df):
+    return manifest.digest_tree(df).select(F.lit("t").alias("table"), "level", "node", "rows", "digest")
+
+
+def test_changed_chunks_are_named(spark):
+    ids = list(range(0, 3_000_000, 1_000)) + [-1, -5_000, None, None]
+    base = spark.createDataFrame([(i, float(n)) for n, i in enumerate(ids)], LONG)
+    later = base.filter("id is null or id <> 1000000").withColumn(
+        "value", F.when(F.col("id").isin(-5_000, 2_000_000) | (F.col("id").isNull() & (F.col("value") > 3_002.5)), -1.0).otherwise(F.col("value"))
+    ).unionByName(spark.createDataFrame([(9_000_000, 1.0)], LONG))
+    found = {tuple(r)[1:] for r in manifest.changed_chunks(named(later.repartition(5)), named(base)).collect()}
+    size = manifest.CHUNK_IDS
+    chunks = {c: [i for i in ids if i is not None and i // size == c] for c in (-2, 2_000_000 // size, 1_000_000 // size)}
+    expected = {(c * size, c * size + size - 1, len(rows), len(rows), "changed") for c, rows in chunks.items()}
+    c = 1_000_000 // size
+    expected -= {(c * size, c * size + size - 1, len(chunks[c]), len(chunks[c]), "changed")}
+    expected |= {(c * size, c * size + size - 1, len(chunks[c]) - 1, len(chunks[c]), "changed"), (None, None, 2, 2, "changed")}
+    c = 9_000_000 // size
+    assert found == expected | {(c * size, c * size + size - 1, 1, 0, "added")}
+    assert manifest.changed_chunks(named(base), named(base.orderBy(F.desc("value")))).isEmpty()
+
+
+def test_tree_root_is_the_table_digest_and_empty_tables_have_one(spark, tmp_path):
+    base = spark.createDataFrame([(1, 2.0), (70_000_000_000, 3.0)], LONG)
+    root = manifest.digest_tree(base).filter(F.col("level") == manifest.ROOT).select("rows", "digest").first()
+    assert root == manifest.table_digest(base).first()
+    empty = manifest.table_digest(base.limit(0)).first()
+    assert empty["rows"] == 0 and len(empty["digest"]) == 64
+    gone = manifest.changed_chunks(named(base.limit(0)), named(base)).collect()
+    assert sorted((r["first_id"], r["rows"], r["pinned_rows"], r["status"]) for r in gone) == [
+        (0, 0, 1, "deleted"), (70_000_000_000 // 4096 * 4096, 0, 1, "deleted"),
+    ]
+    head = manifest.write_manifest(base, str(tmp_path / "m"), "t").first()
+    assert (head["table"], head["rows"], head["digest"]) == ("t", *root)
+    assert manifest.changed_chunks(named(base), manifest.read_manifest_tree(spark, str(tmp_path / "m"))).isEmpty()
+
+
 def test_float_text_is_shortest_round_trip(spark):
     values = [1.0, -0.0, 0.1, 1e-05, 12345678.5, 1e22, 123456789012.25, 0.0001, 2.5e-7, 1e16, float("inf")]
     df = spark.createDataFrame([(v,) for v in values], "v double").select(float_text(F.col("v")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwell.functions.answers import coerce_timestamp
-from panelwell.functions.timegrid import shift_hours
+from panelwell.functions.timegrid import MICROS_PER_MINUTE, micros, shift_hours
 from panelwell.operators.ordered import ordered_columns, row_rank_first
 
 # Fixed values of the study protocol.
@@ -175,6 +175,13 @@ def exact_quantile(
     No group is ever held in one task's memory.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
+    return quantile_of_counts(counts, group, value, q, name, max_group)
+
+
+def quantile_of_counts(
+    counts: DataFrame, group: Sequence[str], value: str, q: float, name: str = "quantile", max_group: int | None = None
+) -> DataFrame:
+    """Linear-interpolated quantile per group from ``(*group, value, __c)``, one row per distinct value."""
     ranked = ordered_columns(
         counts, group, [F.col(value)], sums={"__cum": F.col("__c")}, totals={"__n": F.col("__c")}, max_group=max_group,
     )
@@ -192,6 +199,62 @@ def exact_quantile(
     return ends.select(*group, result.alias(name))
 
 
+def fold_spans(folds: DataFrame, lookback_hours: float) -> DataFrame:
+    """``(app_user_id, spans)``: for every fold that trains on the user, when that training ends and which
+    time its test surveys can look at. One row per user, one array entry per fold.
+    """
+    at = micros(F.col("record_timestamp"))
+    spans = folds.groupBy("fold_index", "app_user_id").agg(
+        F.max(F.when(F.col("role") == "train", at)).alias("train_to"),
+        (F.min(F.when(F.col("role") == "test", at)) - F.lit(int(lookback_hours * 60 * MICROS_PER_MINUTE))).alias("held_from"),
+        F.max(F.when(F.col("role") == "test", at)).alias("held_to"),
+    )
+    return (
+        spans.filter("train_to is not null")
+        .groupBy("app_user_id")
+        .agg(F.collect_list(F.struct("fold_index", "train_to", "held_from", "held_to")).alias("spans"))
+    )
+
+
+def fold_upper_quantiles(
+    sensors: DataFrame, folds: DataFrame, q: float = 0.99, lookback_hours: float = 72.0, max_group: int | None = None
+) -> DataFrame:
+    """``(fold_index, modality, upper)``: each fold's limits, from its training rows alone.
+
+    ``folds`` has ``(fold_index, role, app_user_id, record_timestamp)``. A sensor row counts for a fold that
+    trains on its user if it starts before the last training survey, and not from ``lookback_hours``
+    before the first to the last test survey. The training sets of the folds overlap, so rows are counted
+    once per value and set of folds; only these counts are repeated for each fold. Null values and users
+    without a fold count nowhere; a modality without training rows has no limit.
+    """
+
+    def trains(start: Column) -> Column:
+        def inside(s: Column) -> Column:
+            held = F.coalesce(start.between(s["held_from"], s["held_to"]), F.lit(False))
+            return (start < s["train_to"]) & ~held
+
+        return F.sort_array(F.transform(F.filter("spans", inside), lambda s: s["fold_index"]))
+
+    rows = sensors.filter("value is not null").select("app_user_id", "modality", "value", micros(F.col("start_timestamp")).alias("__t"))
+    counts = (
+        rows.join(fold_spans(folds, lookback_hours), "app_user_id")
+        .groupBy("modality", "value", trains(F.col("__t")).alias("__folds"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(F.explode("__folds").alias("fold_index"), "modality", "value", "__n")
+        .groupBy("fold_index", "modality", "value")
+        .agg(F.sum("__n").alias("__c"))
+    )
+    return quantile_of_counts(counts, ["fold_index", "modality"], "value", q, "upper", max_group)
+
+
+def clip_by_fold(sensors: DataFrame, limits: DataFrame) -> DataFrame:
+    """Sensor rows of every fold, capped at its limit for the modality; ``limits`` (one row per fold and
+    modality) are broadcast. Rows of a modality without limit are left out, null values stay null."""
+    capped = F.when(F.col("value").isNotNull(), F.least("value", "upper"))
+    joined = sensors.join(F.broadcast(limits.select("fold_index", "modality", "upper")), "modality")
+    return joined.withColumn("value", capped).select("fold_index", *sensors.columns)
+
+
 def clip_upper_quantile(
     sensors: DataFrame, q: float = 0.99, approximate: bool = False, max_group: int | None = None
 ) -> DataFrame:

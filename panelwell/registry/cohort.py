@@ -13,6 +13,7 @@ from panelwell.plans.cohort import CohortSettings, StudyTables, build_cohort
 from panelwell.registry import frames
 from panelwell.registry.core import q6, query, r6
 from panelwell.registry.views import H, coerce
+from panelwell.session import cut_lineage
 from panelwell.sources import study
 
 EXCLUDED = ", ".join(str(u) for u in cleaning.DEFAULT_EXCLUDED_USERS)
@@ -160,6 +161,34 @@ def _(spark, sf):
     return cleaning.clip_upper_quantile(study.sensor(spark, sf)).select("id", "modality", r6("value").alias("value"))
 
 
+@query(
+    "clip_upper_quantile_by_fold",
+    f"""WITH spans AS (
+  SELECT fold_index, app_user_id, max(CASE WHEN role = 'train' THEN epoch_us(record_timestamp) END) AS train_to,
+    min(CASE WHEN role = 'test' THEN epoch_us(record_timestamp) END) - {72 * 3600 * 10**6} AS held_from,
+    max(CASE WHEN role = 'test' THEN epoch_us(record_timestamp) END) AS held_to
+  FROM v_cyclic GROUP BY fold_index, app_user_id),
+limits AS (
+  SELECT fold_index, modality, quantile_cont(value, 0.99) AS upper FROM v_sensor JOIN spans USING (app_user_id)
+  WHERE epoch_us(start_timestamp) < train_to AND NOT coalesce(epoch_us(start_timestamp) BETWEEN held_from AND held_to, false)
+  GROUP BY fold_index, modality)
+SELECT fold_index, modality, {q6('max(upper)')} AS upper, CAST(count_if(value > upper) AS BIGINT) AS n_clipped, {q6('sum(least(value, upper))')} AS total
+FROM v_sensor JOIN limits USING (modality) GROUP BY fold_index, modality""",
+    ("v_sensor", "v_cyclic"),
+)
+def _(spark, sf):
+    sensors = study.sensor(spark, sf)
+    limits = cut_lineage(cleaning.fold_upper_quantiles(sensors, frames.cyclic(spark, sf)))
+    raw = sensors.withColumn("__raw", F.col("value"))
+    return (
+        cleaning.clip_by_fold(raw, limits)
+        .groupBy("fold_index", "modality")
+        .agg(F.count_if(F.col("__raw") > F.col("value")).alias("n_clipped"), r6(F.sum("value")).alias("total"))
+        .join(F.broadcast(limits), ["fold_index", "modality"])
+        .select("fold_index", "modality", r6("upper").alias("upper"), "n_clipped", "total")
+    )
+
+
 OS_SQL = """SELECT app_user_id, CASE WHEN ios AND NOT android THEN 'ios' WHEN android AND NOT ios THEN 'android' ELSE 'both' END AS os
 FROM (SELECT app_user_id, bool_or(app_source LIKE '%iPhone%' OR app_source LIKE '%Apple Watch%' OR app_source LIKE '%HealthKit%') AS ios,
   bool_or(app_source LIKE '%androidx%') AS android FROM v_sensor GROUP BY app_user_id)"""

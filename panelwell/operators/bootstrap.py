@@ -1,7 +1,7 @@
 """Resampling: participant-cluster bootstrap with BCa intervals, and the row bootstrap.
 
 Draws are weights, never copied rows: a replicate is ``(replicate, app_user_id, weight)``, and
-all metrics of all replicates come from one weighted score table. Draws are hashes of (seed,
+all metrics of all replicates come from one walk down the score table (``weightings``). Draws are hashes of (seed,
 replicate, slot), so they do not depend on partitioning and SQL can repeat them.
 """
 
@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from panelwell.operators.metrics import BINARY_METRICS, MIN_SPECIFICITY, binary_metrics, melt_metrics, score_table
 from panelwell.operators.ordered import largest_group, ordered_columns
-from panelwell.session import broadcast_rows, group_rows, shuffle_partitions
+from panelwell.operators.weightings import score_segments, weighted_metrics
+from panelwell.session import broadcast_rows, cut_lineage, group_rows, shuffle_partitions
+
+#: Draws of a bootstrap up to this size are broadcast.
+DRAW_BYTES = 64 << 20
 
 
 def hash_number(*parts: Column | int | str) -> Column:
@@ -31,17 +35,21 @@ def ranked_users(predictions: DataFrame) -> DataFrame:
     return ordered_columns(users, [], [F.col("app_user_id")], position="user_rank", group_size="n_users")
 
 
-def bootstrap_weights(predictions: DataFrame, n_bootstraps: int = 1000, seed: int = 0) -> DataFrame:
-    """``(replicate, app_user_id, weight)``: every replicate draws U users with replacement."""
-    users = ranked_users(predictions)
-    slots = users.select(
+def _drawn(users: DataFrame, n_bootstraps: int, seed: int) -> DataFrame:
+    """``(replicate, user_rank)`` per draw. Each user becomes a thousand hashes, so the few users are spread over all tasks first."""
+    slots = users.repartition(shuffle_partitions(users.sparkSession), "user_rank").select(
         F.col("user_rank").alias("slot"), "n_users",
         F.explode(F.sequence(F.lit(0), F.lit(n_bootstraps - 1))).alias("replicate"),
     )
-    drawn = slots.select(
+    return slots.select(
         "replicate", (hash_number(seed, F.col("replicate"), F.col("slot")) % F.col("n_users")).alias("user_rank")
     )
-    counts = drawn.groupBy("replicate", "user_rank").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def bootstrap_weights(predictions: DataFrame, n_bootstraps: int = 1000, seed: int = 0) -> DataFrame:
+    """``(replicate, app_user_id, weight)``: every replicate draws U users with replacement."""
+    users = ranked_users(predictions)
+    counts = _drawn(users, n_bootstraps, seed).groupBy("replicate", "user_rank").agg(F.count(F.lit(1)).alias("weight"))
     return counts.join(users.select("user_rank", "app_user_id"), "user_rank").select("replicate", "app_user_id", "weight")
 
 
@@ -83,40 +91,41 @@ def _n_scores(predictions: DataFrame) -> int:
 def cluster_bootstrap(
     predictions: DataFrame, n_bootstraps: int = 1000, seed: int = 0, min_specificity: float = MIN_SPECIFICITY
 ) -> DataFrame:
-    """Every metric of every replicate, one row per replicate; null where a draw has one class."""
-    n_users = predictions.select("app_user_id").distinct().count()
-    table = rows_by_user_resample(
-        predictions, bootstrap_weights(predictions, n_bootstraps, seed), n_users * n_bootstraps
-    )
-    # a replicate has no more distinct scores than the predictions have
-    return binary_metrics(table, ["replicate"], min_specificity, max_group=_n_scores(predictions))
+    """Every metric of every replicate, one row per replicate; null where a draw has one class.
+
+    The draws of all participants are broadcast while their proven size (one number per draw) is within
+    ``DRAW_BYTES``; then the draws and the (participant, score) rows are all that is shuffled. Larger cohorts join their draws by participant.
+    """
+    users = ranked_users(predictions)
+    n_users = users.count()
+    if 8 * n_users * n_bootstraps > DRAW_BYTES:
+        table = rows_by_user_resample(predictions, bootstrap_weights(predictions, n_bootstraps, seed), n_users * n_bootstraps)
+        # a replicate has no more distinct scores than the predictions have
+        return binary_metrics(table, ["replicate"], min_specificity, max_group=_n_scores(predictions))
+    picked = _drawn(users, n_bootstraps, seed).groupBy("user_rank").agg(F.collect_list("replicate").alias("entries"))
+    # both passes read them
+    draws = cut_lineage(users.select("user_rank", "app_user_id").join(picked, "user_rank").select("app_user_id", "entries"))
+    segments = score_segments(score_table(predictions, ["app_user_id"]))
+    return weighted_metrics(segments, n_bootstraps, "replicate", draws=draws, min_specificity=min_specificity)
 
 
 def jackknife(predictions: DataFrame, groups: int | None = None, min_specificity: float = MIN_SPECIFICITY) -> DataFrame:
     """Every metric with one participant left out, one row per left-out participant.
 
-    The table of a leave-one-out set is the whole score table minus the participant's own, so it
-    has users × distinct scores rows. For cohorts where that is too much, ``groups`` leaves out
-    one group of participants at a time, the usual form for large samples.
+    A left-out set is a weighting: zero for its participant, one for all others. Each set still
+    adds up the whole curve, inside the tasks; no rows of sets and scores are made. For cohorts where
+    that takes too long, ``groups`` leaves out one group of participants at a time, the usual form
+    for large samples.
     """
     users = ranked_users(predictions)
-    whole = score_table(predictions)
     n_users = users.count()
     n_sets = n_users if groups is None else min(groups, n_users)
-    n_scores = _n_scores(predictions)
     placed = predictions.join(
-        users.select("app_user_id", (F.col("user_rank") % n_sets).alias("left_out")), "app_user_id"
-    )
-    own = score_table(placed, ["left_out"]).select(
-        "left_out", "score", F.col("pos").alias("__p"), F.col("neg").alias("__n")
+        users.select("app_user_id", (F.col("user_rank") % max(n_sets, 1)).alias("left_out")), "app_user_id"
     )
-    sets = whole.withColumn("left_out", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_sets - 1).cast("bigint"))))
-    rest = sets.join(own, ["left_out", "score"], "left").select(
-        "left_out", "score",
-        (F.col("pos") - F.coalesce("__p", F.lit(0))).alias("pos"),
-        (F.col("neg") - F.coalesce("__n", F.lit(0))).alias("neg"),
-    ).filter("pos + neg > 0")
-    return binary_metrics(rest, ["left_out"], min_specificity, max_group=n_scores)
+    own = score_table(placed, ["left_out"]).withColumn("entries", F.array(F.col("left_out").cast("int")))
+    sets = weighted_metrics(score_segments(own), n_sets, "left_out", base=1, step=-1, min_specificity=min_specificity)
+    return sets.withColumn("left_out", F.col("left_out").cast("bigint"))
 
 
 def bca_interval(

@@ -93,6 +93,30 @@ def test_draws_and_intervals(predictions, data):
         assert shown[m]["ci_low"] <= point[m] <= shown[m]["ci_high"]
 
 
+def test_blocks_pieces_and_null_scores_give_the_same(spark, predictions, monkeypatch):
+    from panelwell.operators import weightings
+
+    odd = spark.createDataFrame(
+        [(9, 900 + i, 50 + i % 2, i % 2 if i < 4 else None, None, None if i < 3 else 0.3) for i in range(6)], predictions.schema
+    )
+    df = cut_lineage(predictions.unionByName(odd))
+
+    def rows(made, key):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in made.orderBy(key).collect())
+
+    monkeypatch.setattr(bootstrap, "DRAW_BYTES", 0)
+    joined = rows(bootstrap.cluster_bootstrap(df, 30), "replicate")
+    monkeypatch.undo()
+    left = rows(bootstrap.jackknife(df), "left_out")
+    for block, cells in ((4096, 2_000_000), (7, 14)):
+        monkeypatch.setattr(weightings, "BLOCK", block)
+        monkeypatch.setattr(weightings, "CELLS", cells)
+        assert rows(bootstrap.cluster_bootstrap(df, 30), "replicate") == joined
+        assert rows(bootstrap.jackknife(df), "left_out") == left
+    assert len(joined) == 30 and len(left) == 14 and len(rows(bootstrap.jackknife(df, 4), "left_out")) == 4
+    assert bootstrap.jackknife(predictions.limit(0)).count() == bootstrap.cluster_bootstrap(predictions.limit(0), 5).count() == 0
+
+
 def test_one_user_with_all_positives_has_no_interval(spark):
     rows = [(u, int(u == 0 and i < 3), 0.3 + 0.1 * (i % 4)) for u in range(6) for i in range(5)]
     df = cut_lineage(spark.createDataFrame([(u, y, 1 - p, p) for u, y, p in rows], "app_user_id bigint, y_true int, prob_class_0 double, prob_class_1 double"))

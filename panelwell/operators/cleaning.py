@@ -166,6 +166,11 @@ def enrollment_join(sensors: DataFrame, windows: DataFrame) -> DataFrame:
     return sensors.join(windows, "app_user_id").filter(inside).select(*sensors.columns)
 
 
+def restrict_to_study(sensors: DataFrame, windows: DataFrame, start: str = STUDY_START) -> DataFrame:
+    """Sensor rows inside their user's enrolment window; without any window, rows since the study start."""
+    return study_start_cutoff(sensors, start) if windows.isEmpty() else enrollment_join(sensors, windows)
+
+
 def exact_quantile(
     df: DataFrame, group: Sequence[str], value: str, q: float, name: str = "quantile", max_group: int | None = None
 ) -> DataFrame:

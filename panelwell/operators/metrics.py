@@ -211,13 +211,15 @@ def with_predicted_class(predictions: DataFrame, n_classes: int = 2) -> DataFram
     return predictions.withColumn("y_pred", (F.array_position(probs, F.array_max(probs)) - 1).cast("int"))
 
 
-def multiclass_metrics(
+def multiclass_by_class(
     predictions: DataFrame, n_classes: int, min_specificity: float = MIN_SPECIFICITY, label: str = "y_true",
     max_group: int | None = None,
 ) -> DataFrame:
-    """Macro one-vs-rest metrics: every row is exploded to one row per class, then all classes go
-    through the same curve. A class that is neither present nor predicted stays out of F1,
-    precision and recall means."""
+    """One-vs-rest metrics, one row per class with its counts ``tp, fp, fn, tn``.
+
+    Every row is exploded to one row per class, then all classes go through the same curve. Curve
+    metrics are null for a class that has no positives or no negatives; ratios without a denominator are 0.
+    """
     called = with_predicted_class(predictions, n_classes)
     per_class = F.array(*[
         F.struct(
@@ -236,20 +238,33 @@ def multiclass_metrics(
     curve = score_curve(table, ["class"], max_group)
     stats = curve.groupBy("class").agg(
         *[c.alias(k) for k, c in curve_aggregates(min_specificity).items()],
-        F.sum("hit_pos").alias("__tp"), F.sum("hit_neg").alias("__fp"),
-        F.sum(F.col("pos") - F.col("hit_pos")).alias("__fn"), F.sum(F.col("neg") - F.col("hit_neg")).alias("__tn"),
+        F.sum("hit_pos").alias("tp"), F.sum("hit_neg").alias("fp"),
+        F.sum(F.col("pos") - F.col("hit_pos")).alias("fn"), F.sum(F.col("neg") - F.col("hit_neg")).alias("tn"),
+    )
+    made = threshold_metrics(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
+    return stats.select(
+        "class", _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), "auroc",
+        *[made[m].alias(m) for m in ("precision", "recall", "specificity")], "sensitivity_at_specificity", "auprc",
+        (F.col("tp") + F.col("fn")).alias("support"), "tp", "fp", "fn", "tn",
     )
-    made = threshold_metrics(F.col("__tp"), F.col("__fp"), F.col("__fn"), F.col("__tn"))
-    seen = F.col("__tp") + F.col("__fp") + F.col("__fn") > 0
-    tp, fp, fn = F.col("__tp"), F.col("__fp"), F.col("__fn")
-    return stats.agg(
-        F.avg(F.when(seen, _ratio(2 * tp, 2 * tp + fp + fn))).alias("f1"),
+
+
+def multiclass_metrics(
+    predictions: DataFrame, n_classes: int, min_specificity: float = MIN_SPECIFICITY, label: str = "y_true",
+    max_group: int | None = None,
+) -> DataFrame:
+    """Macro one-vs-rest metrics. A class that is neither present nor predicted stays out of F1,
+    precision and recall means."""
+    rows = multiclass_by_class(predictions, n_classes, min_specificity, label, max_group)
+    seen = F.col("tp") + F.col("fp") + F.col("fn") > 0
+    return rows.agg(
+        F.avg(F.when(seen, F.col("f1"))).alias("f1"),
         F.avg("auroc").alias("auroc"),
-        F.avg(F.when(seen, made["precision"])).alias("precision"),
-        F.avg(F.when(seen, made["recall"])).alias("recall"),
-        F.avg(made["specificity"]).alias("specificity"),
+        F.avg(F.when(seen, F.col("precision"))).alias("precision"),
+        F.avg(F.when(seen, F.col("recall"))).alias("recall"),
+        F.avg("specificity").alias("specificity"),
         F.avg("sensitivity_at_specificity").alias("sensitivity_at_specificity"),
-        F.avg(F.when(seen, made["recall"])).alias("balanced_accuracy"),
+        F.avg(F.when(seen, F.col("recall"))).alias("balanced_accuracy"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -13,11 +13,12 @@ from panelwell.operators.cleaning import (
     PREPROCESSORS,
     STUDY_START,
     clip_upper_quantile,
-    enrollment_join,
+    coerce_timestamps,
     enrollment_windows,
     exclude_users,
     os_filter,
     preprocess,
+    restrict_to_study,
 )
 from panelwell.operators.dedup import dedup_responses
 from panelwell.operators.labels import (
@@ -78,12 +79,15 @@ class Cohort:
 
 
 def clean_sensors(tables: StudyTables, settings: CohortSettings, max_sensors: int | None = None) -> DataFrame:
-    """Preprocess, exclude, restrict to enrolment windows (from all responses), clip."""
+    """Preprocess, exclude, restrict to enrolment windows (from all responses), clip.
+
+    Without any response there are no windows; the study start takes their place.
+    """
     sensors = preprocess(tables.sensors, settings.preprocessors, settings.study_start)
     sensors = exclude_users(sensors, settings.exclude)
     windows = enrollment_windows(tables.responses, settings.daily, settings.lead_days, settings.trail_days)
     # written once: the quantile, the OS filter, the coverage gate and all windows read it
-    enrolled = store(enrollment_join(sensors, windows), "sensors", ["modality"])
+    enrolled = store(restrict_to_study(sensors, windows, settings.study_start), "sensors", ["modality"])
     return clip_upper_quantile(enrolled, settings.clip, max_group=max_sensors)
 
 
@@ -107,8 +111,12 @@ def build_master(tables: StudyTables, settings: CohortSettings, max_responses: i
 
 
 def build_cohort(tables: StudyTables, settings: CohortSettings = CohortSettings()) -> Cohort:
-    """Cleaned sensors, labelled surveys that pass the OS filter and coverage gate, demographics."""
+    """Cleaned sensors, labelled surveys that pass the OS filter and coverage gate, demographics.
+
+    Survey times may be text; text that is no time becomes null.
+    """
     require_utc(tables.responses.sparkSession)
+    tables = replace(tables, responses=coerce_timestamps(tables.responses, ["timestamp"]))
     # a count over the responses bounds every group of surveys that the build has to order
     max_responses, _ = largest_group(tables.responses, ["app_user_id"])
     sensors = clean_sensors(tables, settings)

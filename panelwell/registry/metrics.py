@@ -231,7 +231,7 @@ def multiclass(spark, sf):
     )
 
 
-def multiclass_sql() -> str:
+def multiclass_sql(body: str) -> str:
     score = [f"CAST(({K} + {37 * c}) % 50 + CASE WHEN event_id % 3 = {c} THEN 20 ELSE 0 END + 1 AS DOUBLE)" for c in range(3)]
     return f"""WITH s AS (SELECT event_id, CAST(event_id % 3 AS INTEGER) AS y_true, {', '.join(f'{x} AS s{c}' for c, x in enumerate(score))} FROM events),
 p AS (SELECT event_id, y_true, s0 / (s0 + s1 + s2) AS p0, s1 / (s0 + s1 + s2) AS p1, s2 / (s0 + s1 + s2) AS p2 FROM s),
@@ -239,17 +239,31 @@ c AS (SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE
 r AS ({' UNION ALL '.join(f'SELECT {k} AS class, p{k} AS prob_class_1, CAST(y_true = {k} AS INTEGER) AS y_true, y_pred = {k} AS hit FROM c' for k in range(3))}),
 f AS (SELECT class, count_if(hit AND y_true = 1)::DOUBLE AS tp, count_if(hit AND y_true = 0)::DOUBLE AS fp, count_if(NOT hit AND y_true = 1)::DOUBLE AS fn, count_if(NOT hit AND y_true = 0)::DOUBLE AS tn FROM r GROUP BY class),
 m AS ({metrics_sql(table_sql('r', 'class'), 'class', True)})
-SELECT {q6('avg(2 * tp / (2 * tp + fp + fn))')} AS f1, {q6('avg(auroc)')} AS auroc, {q6('avg(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END)')} AS precision,
+{body}"""
+
+
+MACRO = f"""SELECT {q6('avg(2 * tp / (2 * tp + fp + fn))')} AS f1, {q6('avg(auroc)')} AS auroc, {q6('avg(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END)')} AS precision,
   {q6('avg(tp / (tp + fn))')} AS recall, {q6('avg(tn / (tn + fp))')} AS specificity, {q6('avg(sensitivity_at_specificity)')} AS sensitivity_at_specificity,
   {q6('avg(tp / (tp + fn))')} AS balanced_accuracy FROM f JOIN (SELECT class, auroc, sensitivity_at_specificity FROM m) USING (class)"""
+BY_CLASS = f"""SELECT class, {q6('2 * tp / (2 * tp + fp + fn)')} AS f1, {q6('auroc')} AS auroc, {q6('CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END')} AS precision,
+  {q6('tp / (tp + fn)')} AS recall, {q6('tn / (tn + fp)')} AS specificity, {q6('sensitivity_at_specificity')} AS sensitivity_at_specificity, {q6('auprc')} AS auprc,
+  CAST(tp + fn AS BIGINT) AS support, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn
+  FROM f JOIN (SELECT class, auroc, sensitivity_at_specificity, auprc FROM m) USING (class)"""
 
 
-@query("multiclass_metrics", multiclass_sql())
+@query("multiclass_metrics", multiclass_sql(MACRO))
 def _(spark, sf):
     wide = metrics.multiclass_metrics(multiclass(spark, sf), 3)
     return wide.select(*[r6(c).alias(c) for c in wide.columns])
 
 
+@query("multiclass_by_class", multiclass_sql(BY_CLASS))
+def _(spark, sf):
+    wide = metrics.multiclass_by_class(multiclass(spark, sf), 3)
+    whole = ("class", "support", "tp", "fp", "fn", "tn")
+    return wide.select(*[c if c in whole else r6(c).alias(c) for c in wide.columns])
+
+
 @query(
     "softmax_pair",
     f"SELECT survey_response_id, {q6('exp(prob_class_0) / (exp(prob_class_0) + exp(prob_class_1))')} AS p0, {q6('exp(prob_class_1) / (exp(prob_class_0) + exp(prob_class_1))')} AS p1 FROM v_predictions",

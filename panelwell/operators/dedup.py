@@ -8,15 +8,16 @@ within a run all answers are equal, so only times matter: the first is kept, the
 one later than ``gap`` after it, and so on.
 
 Almost all runs have one row. Short runs are folded in one task each. A long run (a burst of
-copies may hold a third of all rows) is never collected: each row's successor is found by a
-join on time cells, and the rows reached from the run's start are marked by doubling jumps.
+copies may hold a third of all rows) is never collected: each row's successor is found by one
+ordered pass over range segments, and the rows reached from the run's start are marked by
+doubling jumps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwell.functions.timegrid import MICROS_PER_MINUTE, micros
@@ -93,27 +94,19 @@ def _fold_runs(points: DataFrame, run_key: Sequence[str], gap: int) -> DataFrame
 
 
 def _jump_runs(points: DataFrame, run_key: Sequence[str], gap: int) -> DataFrame:
-    """Exact for runs of any length: successor by time cells, then pointer doubling."""
-    # Rows of a run follow each other within one gap, so the row after t + gap comes no later
-    # than t + 2·gap: it lies in the cell that holds t + gap, or it is the first of the next cell.
-    width = F.lit(gap + 1).cast("bigint")
-    cells = cut_lineage(points.withColumn("__cell", F.floor(F.col("t") / width)))
-    part = [*run_key, "__cell"]
-    firsts = cells.groupBy(*part).agg(F.min("t").alias("__first"))
-    probes = cells.select(
-        *run_key, F.floor((F.col("t") + gap) / width).alias("__cell"),
-        F.col("t").alias("__from"), (F.col("t") + gap).alias("__at"),
-    )
-    stacked = probes.unionByName(
-        cells.select(*part, F.lit(None).cast("bigint").alias("__from"), F.col("t").alias("__at"))
-    )
-    beyond = Window.partitionBy(*part).orderBy("__at").rangeBetween(1, Window.unboundedFollowing)
-    same_cell = F.min(F.when(F.col("__from").isNull(), F.col("__at"))).over(beyond)
-    inside = stacked.withColumn("__in", same_cell).filter("__from is not null")
-    following = inside.select(*run_key, (F.col("__cell") + 1).alias("__cell"), "__from", "__in")
-    edges = following.join(firsts, part, "left").select(
-        *run_key, F.col("__from").alias("t"), F.coalesce("__in", "__first").alias("__next")
+    """Exact for runs of any length: the successor of every row, then pointer doubling.
+
+    A row's successor is the first one later than ``t + gap``. Rows and their ``t + gap`` are passed
+    in descending order, and the least time met so far is the answer; at equal times a ``t + gap`` comes
+    first. The pass goes through range segments, so rows crowded into one gap are no single task.
+    """
+    points = cut_lineage(points)
+    events = points.select(*run_key, F.col("t").alias("__at"), F.lit(1).alias("__is_row"), F.col("t").alias("__from")).unionByName(
+        points.select(*run_key, (F.col("t") + gap).alias("__at"), F.lit(0).alias("__is_row"), F.col("t").alias("__from"))
     )
+    downwards = [F.col("__at").desc(), F.col("__is_row"), F.col("__from")]
+    passed = ordered_columns(events, run_key, downwards, maxima={"__least": F.when(F.col("__is_row") == 1, -F.col("__at"))})
+    edges = passed.filter("__is_row = 0").select(*run_key, F.col("__from").alias("t"), (-F.col("__least")).alias("__next"))
     jumps = cut_lineage(edges.filter("__next is not null"))
     reached = cut_lineage(points.groupBy(*run_key).agg(F.min("t").alias("t")))
     found = reached.count()

@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from panelwell.functions.timegrid import MICROS_PER_MINUTE
-from panelwell.operators import dedup
+from panelwell.operators import dedup, ordered
+from panelwell.session import GROUP_ROWS_KEY
 
 RESPONSE = "id bigint, app_user_id bigint, timestamp timestamp_ntz, survey_id int"
 ANSWER = "id bigint, survey_response_id bigint, question_id int, answer string"
@@ -47,3 +48,31 @@ def test_long_runs_by_jumps_equal_the_greedy_pass(spark, monkeypatch, tiny_group
     assert sorted(r["id"] for r in dedup.kept_responses(responses, answers).collect()) == expected
     monkeypatch.setattr(dedup, "FOLD_ROWS", 10_000)
     assert sorted(r["id"] for r in dedup.kept_responses(responses, answers).collect()) == expected
+
+
+def test_a_burst_inside_one_gap_is_spread_over_segments(spark, monkeypatch):
+    gap, n = 10 * MICROS_PER_MINUTE, 100_000
+    # one user's copies: all of them inside one gap, then a few later ones
+    times = [i * 1000 for i in range(n)] + [gap + 5, 2 * gap + 6, 2 * gap + 7]
+    responses = spark.range(n + 3).select(
+        "id", F.lit(7).cast("bigint").alias("app_user_id"),
+        F.timestamp_micros(F.when(F.col("id") < n, F.col("id") * 1000).otherwise(F.element_at(F.array(*map(F.lit, times[n:])), (F.col("id") - n + 1).cast("int")))).cast("timestamp_ntz").alias("timestamp"),
+    )
+    answers = spark.createDataFrame([], ANSWER)
+    sizes = []
+
+    def watched(df, group, order, segments):
+        out = segmented(df, group, order, segments)
+        sizes.append(out.groupBy(ordered.SEGMENT).count().agg(F.max("count")).first()[0])
+        return out
+
+    segmented = ordered.range_segments
+    monkeypatch.setattr(ordered, "range_segments", watched)
+    spark.conf.set(GROUP_ROWS_KEY, "20000")
+    try:
+        kept = sorted(r["id"] for r in dedup.kept_responses(responses, answers).collect())
+    finally:
+        spark.conf.unset(GROUP_ROWS_KEY)
+    assert kept == greedy([(t, i, 7, "") for i, t in enumerate(times)], gap)
+    # positions, runs and successors: none of the passes has more in a segment than a task may order
+    assert len(sizes) == 3 and max(sizes) <= 20_000

@@ -15,7 +15,7 @@ import time
 from pyspark.sql import functions as F
 
 from panelwell.registry import REGISTRY, frames
-from panelwell.session import local_session
+from panelwell.session import local_session, run_scope
 
 HEADLINE = (
     "table_digest",
@@ -51,7 +51,8 @@ def main() -> None:
         for timed in (False, True):
             frames.forget_bounds()
             start = time.perf_counter()
-            rows = consume(REGISTRY[name].run(spark, sf_dir))
+            with run_scope(spark):
+                rows = consume(REGISTRY[name].run(spark, sf_dir))
             took = time.perf_counter() - start
             if timed:
                 seconds[name] = round(took, 3)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +78,49 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@dataclass
+class Run:
+    """The stored copies of one run: their folder, and which plan each of them holds."""
+
+    folder: str
+    copies: dict[tuple, list[tuple[DataFrame, DataFrame]]] = field(default_factory=dict)
+
+    def find(self, df: DataFrame, key: tuple) -> DataFrame | None:
+        # equal hashes only nominate a copy: the plans themselves are compared
+        return next((copy for plan, copy in self.copies.get(key, []) if plan.sameSemantics(df)), None)
+
+
+_RUN: ContextVar[Run | None] = ContextVar("panelwell_run", default=None)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[Run]:
+    """A run that owns what is stored and checkpointed inside it.
+
+    All of it lies in one fresh folder of the shared checkpoint folder. Inside the run, a plan that has
+    been stored already is read from its copy instead of being written again; equal plans are found by
+    their fingerprint. The folder is removed at the end, also after an error, so results have to be
+    written or collected inside. Runs may be nested; an inner one owns its own copies.
+
+    Input tables must not change during a run. Only deterministic plans are shared; ``store`` writes
+    others (random numbers, partition ids) anew.
+    """
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    outer = context.getCheckpointDir()
+    run = Run(f"{outer}/run-{uuid.uuid4().hex}")
+    context.setCheckpointDir(run.folder)
+    token = _RUN.set(run)
+    try:
+        yield run
+    finally:
+        _RUN.reset(token)
+        # the context opens a new folder below the one that is named, so name the parent
+        context.setCheckpointDir(outer.rsplit("/", 1)[0])
+        path = context._jvm.org.apache.hadoop.fs.Path(run.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the session's checkpoints, which all executors can reach."""
     ensure_checkpoint_dir(spark)
@@ -84,11 +130,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it from there.
 
-    Unlike a checkpoint, later readers see only the columns and partitions they ask for.
+    Unlike a checkpoint, later readers see only the columns and partitions they ask for. Inside a
+    ``run_scope`` an equal plan is written once, and the copy is removed when the run ends.
     """
+    run = _RUN.get()
+    deterministic = run is not None and df._jdf.queryExecution().analyzed().deterministic()
+    key = (df.semanticHash(), tuple(partition_by), df.schema.json()) if deterministic else None
+    if key is not None and (copy := run.find(df, key)) is not None:
+        return copy
     path = shared_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    if key is not None:
+        run.copies.setdefault(key, []).append((df, copy))
+    return copy
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

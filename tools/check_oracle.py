@@ -17,7 +17,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from panelwell.registry import REGISTRY  # noqa: E402
-from panelwell.session import local_session  # noqa: E402
+from panelwell.session import local_session, run_scope  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -64,8 +64,9 @@ def main() -> int:
         entry = REGISTRY[name]
         start = time.time()
         try:
-            df = entry.run(spark, sf_dir)
-            rows = [tuple(r) for r in df.collect()]
+            with run_scope(spark):
+                df = entry.run(spark, sf_dir)
+                rows = [tuple(r) for r in df.collect()]
             took = time.time() - start
             if entry.sql is None:
                 print(f"rows {name}: {len(rows)} ({took:.1f}s)", flush=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from panelwell.functions.probabilities import positive_prob, softmax_pair
@@ -332,9 +334,30 @@ def _(spark, sf):
     return bootstrap.pooled_metrics_with_intervals(frames.stored_predictions(spark, sf), N_BOOTSTRAPS)
 
 
-@query("row_bootstrap")
+ROW_BOOTSTRAPS = 200
+
+
+def row_bootstrap_sql() -> str:
+    """The Poisson draws and metrics of every replicate, then their spread."""
+    term, bound, steps = math.exp(-1.0), 0.0, []
+    for k in range(20):
+        bound += term
+        steps.append(f"WHEN u < {bound!r}::DOUBLE THEN {k}")
+        term /= k + 1
+    shown = [m for m in BINARY_METRICS if m != "auprc"]
+    return f"""WITH drawn AS (SELECT p.*, replicate, CAST('0x' || substr(md5('0:' || replicate || ':' || survey_response_id), 1, 15) AS BIGINT) / {float(1 << 60)!r}::DOUBLE AS u
+  FROM v_predictions p, (SELECT CAST(unnest(range({ROW_BOOTSTRAPS})) AS INTEGER) AS replicate)),
+w AS (SELECT * FROM (SELECT *, CASE {' '.join(steps)} ELSE 20 END AS weight FROM drawn) WHERE weight > 0),
+m AS ({metrics_sql(table_sql('w', 'replicate', 'weight'), 'replicate', True)}),
+long AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {m} AS value FROM m" for m in shown)})
+SELECT metric, {q6('avg(value)')} AS mean, {q6('stddev_samp(value)')} AS std, {q6('var_samp(value)')} AS var, count(value) AS n FROM long GROUP BY metric"""
+
+
+@query("row_bootstrap", row_bootstrap_sql(), ("v_predictions",))
 def _(spark, sf):
-    return bootstrap.row_bootstrap(frames.stored_predictions(spark, sf), 200)
+    rows = bootstrap.row_bootstrap(frames.stored_predictions(spark, sf), ROW_BOOTSTRAPS)
+    return rows.select("metric", *[r6(c).alias(c) for c in ("mean", "std", "var")], "n")
+
 
 
 def hash_sql(by: str, source: str, name: str = "user_hash") -> str:

@@ -20,6 +20,7 @@ from panelwell.sources.manifest import (
     pinned_scan,
     read_manifest_ranges,
     table_digest,
+    write_by_id,
     write_manifest,
 )
 from panelwell.sources.tables import CSV_OPTIONS, fold_metrics_wide, modality_union, scan_table, sink_fold_metrics, sink_predictions, write_shared
@@ -90,6 +91,14 @@ def _(spark, sf):
     return pinned_scan(_events_as_table(spark, sf), PINNED).select("id", "user_id", "value")
 
 
+@query("pinned_scan_blocks", "SELECT id, app_user_id, value FROM v_sensor WHERE modality = 'step'", ("v_sensor",))
+def _(spark, sf):
+    """The ids of one modality, read from a table laid out by id blocks."""
+    laid = write_by_id(study.sensor(spark, sf), shared_path(spark, "by-id"), 1 << 10)
+    recorded = id_ranges(study.sensor(spark, sf).filter("modality = 'step'"))
+    return pinned_scan(laid, recorded.select("first_id", "last_id"), 1 << 10).select("id", "app_user_id", "value")
+
+
 @query("pinned_scan_many_ranges", "SELECT id, app_user_id, value FROM v_sensor WHERE modality = 'step'", ("v_sensor",))
 def _(spark, sf):
     # the ids of the step rows are the manifest; it has thousands of ranges

@@ -35,12 +35,30 @@ def ranges_frame(spark: SparkSession, ranges: Sequence[tuple[int, int]]) -> Data
     return spark.createDataFrame([(int(a), int(b)) for a, b in ranges], schema)
 
 
-def pinned_scan(df: DataFrame, ranges: Sequence[tuple[int, int]] | DataFrame | None) -> DataFrame:
+def write_by_id(df: DataFrame, path: str, block_ids: int = ID_BLOCK) -> DataFrame:
+    """Writes a table with one folder per block of ``block_ids`` ids (column ``id_block``) and reads it back.
+
+    A block is written by one task and sorted, so that ranges prune folders, and row groups inside them.
+    ``block_ids`` is chosen for files of some hundred MB; rows without an id have a folder of their own.
+    """
+    block = F.floor(F.col("id") / F.lit(block_ids).cast("bigint")).cast("bigint")
+    placed = df.withColumn("id_block", block).repartition("id_block").sortWithinPartitions("id_block", "id")
+    placed.write.mode("overwrite").partitionBy("id_block").parquet(path)
+    fields = [f for f in df.schema.fields if f.name != "id_block"]
+    schema = T.StructType([*fields, T.StructField("id_block", T.LongType())])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def pinned_scan(
+    df: DataFrame, ranges: Sequence[tuple[int, int]] | DataFrame | None, block_ids: int = ID_BLOCK
+) -> DataFrame:
     """Rows whose ``id`` lies in any inclusive range. ``None`` (table not listed) keeps all rows.
 
     A short list is a predicate that reaches the scan. A table of ranges is joined: each range
     is cut into id blocks, rows look up their own block, and the range bounds are the residual.
     Overlapping ranges are merged first, so the block table stays proportional to the ids covered.
+    A table with a column ``id_block`` (see ``write_by_id``; same ``block_ids``) is read from the folders
+    of the wanted blocks only.
     """
     if ranges is None:
         return df
@@ -50,30 +68,37 @@ def pinned_scan(df: DataFrame, ranges: Sequence[tuple[int, int]] | DataFrame | N
         if len(ranges) <= PREDICATE_RANGES:
             keep = F.lit(False)
             for first, last in ranges:
-                keep = keep | F.col("id").between(F.lit(int(first)), F.lit(int(last)))
+                inside = F.col("id").between(F.lit(int(first)), F.lit(int(last)))
+                if "id_block" in df.columns:
+                    inside = inside & F.col("id_block").between(int(first) // block_ids, int(last) // block_ids)
+                keep = keep | inside
             return df.filter(keep)
         ranges = ranges_frame(df.sparkSession, ranges)
-    return _pinned_by_block(df, ranges)
+    return _pinned_by_block(df, ranges, block_ids)
 
 
-def _pinned_by_block(df: DataFrame, ranges: DataFrame) -> DataFrame:
-    block = F.lit(ID_BLOCK).cast("bigint")
-    # ranges that end beyond the table would only add empty blocks
-    bounds = df.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+def _pinned_by_block(df: DataFrame, ranges: DataFrame, block_ids: int) -> DataFrame:
+    block = F.lit(block_ids).cast("bigint")
+    laid_out = "id_block" in df.columns
+    # ranges that end beyond the table would only add empty blocks; folder names tell the ends of a laid out table
+    ends = [F.min("id_block") * block, (F.max("id_block") + 1) * block - 1] if laid_out else [F.min("id"), F.max("id")]
+    bounds = df.agg(ends[0].alias("low"), ends[1].alias("high")).first()
     if bounds["low"] is None:
-        return df
+        return df.filter(F.lit(False))
     clipped = ranges.select(
         F.greatest("first_id", F.lit(bounds["low"])).alias("first_id"),
         F.least("last_id", F.lit(bounds["high"])).alias("last_id"),
     ).filter("first_id <= last_id")
-    merged = merge_ranges(clipped)
+    # the filter tells the optimizer that the blocks are few, so that it prunes folders by them
+    merged = merge_ranges(clipped).filter("first_id <= last_id")
     blocks = merged.withColumn(
-        "__block", F.explode(F.sequence(F.floor(F.col("first_id") / block), F.floor(F.col("last_id") / block)))
+        "__wanted", F.explode(F.sequence(F.floor(F.col("first_id") / block), F.floor(F.col("last_id") / block)))
     )
     if blocks.limit(broadcast_rows(df.sparkSession) + 1).count() <= broadcast_rows(df.sparkSession):
         blocks = F.broadcast(blocks)
-    rows = df.withColumn("__block", F.floor(F.col("id") / block))
-    hit = (rows["__block"] == blocks["__block"]) & rows["id"].between(blocks["first_id"], blocks["last_id"])
+    rows = df if laid_out else df.withColumn("__block", F.floor(F.col("id") / block))
+    own = rows["id_block"] if laid_out else rows["__block"]
+    hit = (own == blocks["__wanted"]) & rows["id"].between(blocks["first_id"], blocks["last_id"])
     return rows.join(blocks, hit, "left_semi").drop("__block")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from panelwell.operators.cleaning import exact_quantile
 from panelwell.operators.ordered import ordered_columns
 from panelwell.operators.metrics import binary_metrics, score_table
-from panelwell.sources.manifest import id_ranges, merge_ranges, pinned_scan
+from panelwell.sources.manifest import id_ranges, merge_ranges, pinned_scan, write_by_id
 
 SCHEMA = "g int, t int, id int, v double"
 
@@ -72,3 +72,22 @@ def test_pinned_scan_by_ranges_table(spark):
     assert by_list == by_table == [*range(10), 20, *range(95, 100)]
     assert sorted(map(tuple, merge_ranges(table).collect()))[0] == (0, 9)
     assert pinned_scan(df, None).count() == 100 and pinned_scan(df, []).count() == 0
+
+
+def test_a_layout_by_id_blocks_is_read_from_the_wanted_folders(spark, tmp_path):
+    df = spark.range(1000).select("id", (F.col("id") * 2).alias("value")).unionByName(
+        spark.createDataFrame([(None, 7), (-3, -6)], "id bigint, value bigint")
+    )
+    laid = write_by_id(df, str(tmp_path / "laid"), 10)
+    ranges = [(10 * i, 10 * i + 3) for i in range(0, 60)] + [(5, 12), (-5, -2), (995, 10**15)]
+    expected = sorted({i for a, b in ranges for i in range(a, min(b, 999) + 1) if i >= 0 or i == -3})
+    for given in (ranges, spark.createDataFrame(ranges, "first_id bigint, last_id bigint")):
+        scan = pinned_scan(laid, given, 10)
+        assert sorted(r["id"] for r in scan.collect()) == expected
+        plan = scan._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruning" in plan
+    short = pinned_scan(laid, ranges[:2], 10)
+    assert sorted(r["id"] for r in short.collect()) == [0, 1, 2, 3, 10, 11, 12, 13]
+    assert "PartitionFilters: [" in short._jdf.queryExecution().executedPlan().toString().replace("PartitionFilters: []", "")
+    empty = write_by_id(df.limit(0), str(tmp_path / "none"), 10)
+    assert pinned_scan(empty, ranges, 10).count() == 0

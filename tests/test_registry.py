@@ -37,7 +37,7 @@ def test_query_equals_its_sql(spark, db, name):
 def test_every_name_has_a_callable_and_most_have_sql():
     without = {n for n, e in REGISTRY.items() if e.sql is None}
     assert without == {
-        "clip_upper_quantile_approximate", "bca_interval", "row_bootstrap", "logistic_l2", "logistic_l1", "random_forest",
+        "clip_upper_quantile_approximate", "bca_interval", "logistic_l2", "logistic_l1", "random_forest",
         "boosted_trees", "support_vector_machine", "fit_predict_fold", "hyper_parameter_search", "catch22",
         "pipeline_grid", "nested_search_lr_l2", "nested_search_lr_l1", "nested_search_rf", "nested_search_gbt", "nested_search_svm",
     }

@@ -8,15 +8,17 @@ replicate, slot), so they do not depend on partitioning and SQL can repeat them.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwell.operators.metrics import BINARY_METRICS, MIN_SPECIFICITY, binary_metrics, melt_metrics, score_table
 from panelwell.operators.ordered import largest_group, ordered_columns
-from panelwell.operators.weightings import score_segments, weighted_metrics
+from panelwell.operators.weightings import CELLS, left_out_metrics, score_segments, weighted_metrics
 from panelwell.session import broadcast_rows, cut_lineage, group_rows, shuffle_partitions
 
 #: Draws of a bootstrap up to this size are broadcast.
@@ -50,37 +52,69 @@ def bootstrap_weights(predictions: DataFrame, n_bootstraps: int = 1000, seed: in
     """``(replicate, app_user_id, weight)``: every replicate draws U users with replacement."""
     users = ranked_users(predictions)
     counts = _drawn(users, n_bootstraps, seed).groupBy("replicate", "user_rank").agg(F.count(F.lit(1)).alias("weight"))
-    return counts.join(users.select("user_rank", "app_user_id"), "user_rank").select("replicate", "app_user_id", "weight")
+    # Spark takes exploded draws for as few as the users they come from and would broadcast them
+    named = users.select("user_rank", "app_user_id").hint("shuffle_hash")
+    return counts.join(named, "user_rank").select("replicate", "app_user_id", "weight")
+
+
+def _resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per score the sums of all replicates, as vectors, from one row per user with its draws and its scores."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = np.unique(batch.column("__draws").flatten().field("replicate").to_numpy(zero_copy_only=False))
+        height = max(1, CELLS // max(1, len(numbers)))
+        for start in range(0, batch.num_rows, height):
+            part = batch.slice(start, height)
+            draws, own = part.column("__draws"), part.column("__own")
+            drawn, scored = draws.flatten(), own.flatten()
+            weights = np.zeros((part.num_rows, len(numbers)), np.int64)
+            place = np.searchsorted(numbers, drawn.field("replicate").to_numpy(zero_copy_only=False))
+            np.add.at(weights, (np.repeat(np.arange(part.num_rows), np.diff(draws.offsets.to_numpy())), place), drawn.field("weight").to_numpy(zero_copy_only=False))
+            user = np.repeat(np.arange(part.num_rows), np.diff(own.offsets.to_numpy()))
+            pos, neg = (scored.field(name).to_numpy(zero_copy_only=False) for name in ("pos", "neg"))
+            coded = scored.field("score").dictionary_encode("encode")
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            for at in range(0, len(order), height):
+                rows = order[at:at + height]
+                starts = np.flatnonzero(np.r_[True, codes[rows][1:] != codes[rows][:-1]])
+                times = weights[user[rows]]
+                sums = [np.add.reduceat(c[rows][:, None] * times, starts, axis=0) for c in (pos, neg)]
+                kept = np.add.reduceat(times, starts, axis=0) > 0
+                offsets = pa.array(np.r_[0, np.cumsum(kept.sum(axis=1))], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (np.broadcast_to(numbers, kept.shape)[kept], sums[0][kept], sums[1][kept])]
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[rows][starts])), *lists], names=["score", "replicate", "pos", "neg"])
 
 
 def rows_by_user_resample(predictions: DataFrame, weights: DataFrame, max_weights: int | None = None) -> DataFrame:
     """Weighted score table per replicate: ``(replicate, score, pos, neg)``.
 
-    Rows are reduced to (user, score) first. Each user's draws travel as one array (at most one
-    entry per replicate), so the join has one row per user on that side. A small user table is
-    broadcast after a count (or by the given bound on its rows); otherwise the join is salted by the size of the largest user. Each
-    row then becomes hundreds of replicate rows, so the rows are spread over all tasks first:
-    adaptive coalescing would judge them by their size before that.
+    Rows are reduced to (user, score) first. Each user's draws and scores travel as one array each, a hot
+    user's scores in as many as its size needs. Tasks add up vectors with an entry per replicate
+    for each score, so users and draws are never multiplied into rows. Only draws with a given bound on
+    their rows are broadcast.
     """
     scores = score_table(predictions, ["app_user_id"])
     draws = weights.groupBy("app_user_id").agg(F.collect_list(F.struct("replicate", "weight")).alias("__draws"))
     spark = predictions.sparkSession
-    if max_weights is None:
-        max_weights = weights.limit(broadcast_rows(spark) + 1).count()
-    if max_weights <= broadcast_rows(spark):
-        joined = scores.repartition(shuffle_partitions(spark)).join(F.broadcast(draws), "app_user_id")
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((scores, "score"), (weights, "replicate"))}
+    own = F.collect_list(F.struct("score", "pos", "neg")).alias("__own")
+    if max_weights is not None and max_weights <= broadcast_rows(spark):
+        joined = scores.groupBy("app_user_id").agg(own).join(F.broadcast(draws), "app_user_id")
     else:
         top, _ = largest_group(scores, ["app_user_id"])
         salts = max(1, math.ceil(top / group_rows(spark)))
-        salted = scores.withColumn("__salt", F.pmod(F.xxhash64("score"), F.lit(salts)).cast("int")).repartition(
-            shuffle_partitions(spark), "app_user_id", "__salt"
-        )
+        salted = scores.withColumn("__salt", F.pmod(F.xxhash64("score"), F.lit(salts)).cast("int"))
         copies = draws.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = salted.join(copies, ["app_user_id", "__salt"])
+        joined = salted.groupBy("app_user_id", "__salt").agg(own).join(copies.hint("merge"), ["app_user_id", "__salt"])
+    vectors = joined.select("__draws", "__own").mapInArrow(
+        _resampled, f"score {kinds['score']}, replicate array<{kinds['replicate']}>, pos array<bigint>, neg array<bigint>"
+    )
     return (
-        joined.select("score", "pos", "neg", F.explode("__draws").alias("__d"))
+        vectors.select("score", F.explode(F.arrays_zip("replicate", "pos", "neg")).alias("__d"))
         .groupBy(F.col("__d.replicate").alias("replicate"), "score")
-        .agg(F.sum(F.col("pos") * F.col("__d.weight")).alias("pos"), F.sum(F.col("neg") * F.col("__d.weight")).alias("neg"))
+        .agg(F.sum("__d.pos").alias("pos"), F.sum("__d.neg").alias("neg"))
     )
 
 
@@ -112,10 +146,11 @@ def cluster_bootstrap(
 def jackknife(predictions: DataFrame, groups: int | None = None, min_specificity: float = MIN_SPECIFICITY) -> DataFrame:
     """Every metric with one participant left out, one row per left-out participant.
 
-    A left-out set is a weighting: zero for its participant, one for all others. Each set still
-    adds up the whole curve, inside the tasks; no rows of sets and scores are made. For cohorts where
-    that takes too long, ``groups`` leaves out one group of participants at a time, the usual form
-    for large samples.
+    A curve of at most ``broadcastRows`` distinct scores is sent to the tasks, where each set takes its own
+    counts off it. With more scores a left-out set is a weighting: zero for its participant, one for all
+    others, and each set adds up the whole curve inside the tasks. No rows of sets and scores are made. For
+    cohorts where that takes too long, ``groups`` leaves out one group of participants at a time, the
+    usual form for large samples.
     """
     users = ranked_users(predictions)
     n_users = users.count()
@@ -123,7 +158,11 @@ def jackknife(predictions: DataFrame, groups: int | None = None, min_specificity
     placed = predictions.join(
         users.select("app_user_id", (F.col("user_rank") % max(n_sets, 1)).alias("left_out")), "app_user_id"
     )
-    own = score_table(placed, ["left_out"]).withColumn("entries", F.array(F.col("left_out").cast("int")))
+    own = cut_lineage(score_table(placed, ["left_out"]))
+    curve = own.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    if 0 < curve.count() <= broadcast_rows(predictions.sparkSession):
+        return left_out_metrics(own, curve, n_sets, min_specificity)
+    own = own.withColumn("entries", F.array(F.col("left_out").cast("int")))
     sets = weighted_metrics(score_segments(own), n_sets, "left_out", base=1, step=-1, min_specificity=min_specificity)
     return sets.withColumn("left_out", F.col("left_out").cast("bigint"))
 

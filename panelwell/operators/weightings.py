@@ -7,7 +7,8 @@ of each segment, from which the counts above a segment follow; the second one wa
 curve. What is shuffled are the (participant, score) rows, whatever the number of weightings.
 
 Limits of memory: a task holds ``CELLS`` numbers per vector table, the driver two numbers per
-segment and weighting, for at most ``SEGMENTS`` segments and ``BLOCK`` weightings at a time.
+segment and weighting, for at most ``SEGMENTS`` segments and ``BLOCK`` weightings at a time; with several
+blocks each one is written before the next.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwell.operators.metrics import BINARY_METRICS, MIN_SPECIFICITY, threshold_metrics
@@ -149,10 +150,68 @@ def weighted_metrics(
             above[segment] = running
             running = running + sums[segment]
         carried = context.broadcast((running, above))
-        parts.append(rows.mapInArrow(_walk(first, size, base, step, carried, min_specificity), PARTS))
+        walked = rows.mapInArrow(_walk(first, size, base, step, carried, min_specificity), PARTS)
+        if n_weightings > BLOCK:  # else the driver would hold the sums of all blocks at once
+            walked = cut_lineage(walked)
+            carried.destroy()
+        parts.append(walked)
     if not parts:
         parts = [segments.sparkSession.createDataFrame([], PARTS)]
-    whole = reduce(DataFrame.union, parts).groupBy("weighting").agg(
+    return _finished(reduce(DataFrame.union, parts), name)
+
+
+def _left_out(pos: np.ndarray, neg: np.ndarray, hit: np.ndarray, min_specificity: float) -> Callable:
+    """The curve sums without each row's own counts; ``pos``, ``neg`` and ``hit`` are the whole curve from the top score down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        height = max(1, CELLS // len(pos))
+        for batch in batches:
+            for start in range(0, batch.num_rows, height):
+                part = batch.slice(start, height)
+                own, n = part.column("__own"), part.num_rows
+                at = np.repeat(np.arange(n), np.diff(own.offsets.to_numpy())) * len(pos)
+                counts = own.flatten()
+                at = at + counts.field("place").to_numpy(zero_copy_only=False)
+                p, q = (
+                    whole - np.bincount(at, counts.field(name).to_numpy(zero_copy_only=False), n * len(pos)).reshape(n, -1)
+                    for name, whole in (("pos", pos), ("neg", neg))
+                )
+                tp, fp = np.cumsum(p, axis=1), np.cumsum(q, axis=1)
+                n_neg = fp[:, -1:]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    specific = 1.0 - fp / n_neg >= min_specificity
+                sums = {
+                    "wins": (p * (n_neg - fp + q / 2.0)).sum(axis=1),
+                    "area": (p * tp / np.maximum(tp + fp, 1.0)).sum(axis=1),
+                    "above": np.where(specific, tp, 0.0).max(axis=1),
+                    "hit_pos": p @ hit, "hit_neg": q @ hit, "pos": tp[:, -1], "neg": fp[:, -1],
+                }
+                yield pa.RecordBatch.from_pydict({"weighting": part.column("weighting"), **{k: pa.array(v) for k, v in sums.items()}})
+
+    return run
+
+
+def left_out_metrics(own: DataFrame, curve: DataFrame, n_sets: int, min_specificity: float = MIN_SPECIFICITY) -> DataFrame:
+    """Every metric without one of the sets 0 to ``n_sets`` - 1 at a time, from the sets' own counts (left_out, score, pos, neg) and their sum.
+
+    ``curve`` has a row per distinct score, one at least, and goes to every task; the caller checks its size.
+    """
+    placed = cut_lineage(curve.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc())) - 1))
+    # null scores come last
+    hit = F.coalesce(F.col("score") > 0.5, F.lit(False)).cast("double")
+    whole = np.array(placed.orderBy("place").select("pos", "neg", hit).collect(), float).reshape(-1, 3)
+    found = F.broadcast(placed.select(F.col("score").alias("__score"), "place"))
+    sets = own.join(found, F.col("score").eqNullSafe(F.col("__score"))).groupBy("left_out").agg(
+        F.collect_list(F.struct("place", "pos", "neg")).alias("__own")
+    )
+    # a set without rows leaves out nothing
+    sets = own.sparkSession.range(n_sets).withColumnRenamed("id", "left_out").join(sets.hint("merge"), "left_out", "left")
+    walked = sets.select(F.col("left_out").cast("int").alias("weighting"), "__own").mapInArrow(_left_out(*whole.T, min_specificity), PARTS)
+    return _finished(walked, "left_out").withColumn("left_out", F.col("left_out").cast("bigint"))
+
+
+def _finished(parts: DataFrame, name: str) -> DataFrame:
+    whole = parts.groupBy("weighting").agg(
         F.max("above").alias("above"),
         *[F.sum(c).alias(c) for c in ("wins", "area", "hit_pos", "hit_neg", "pos", "neg")],
     )

@@ -62,7 +62,7 @@ def rounded(df, *keep):
     ("v_predictions",),
 )
 def _(spark, sf):
-    return metrics.average_rank(frames.predictions(spark, sf), "prob_class_1", max_group=frames.in_all(spark, sf)).select("survey_response_id", "average_rank")
+    return metrics.average_rank(frames.stored_predictions(spark, sf), "prob_class_1", max_group=frames.in_all(spark, sf)).select("survey_response_id", "average_rank")
 
 
 @query(
@@ -145,7 +145,7 @@ def _(spark, sf):
     ("v_predictions",),
 )
 def _(spark, sf):
-    rows = metrics.fold_breakdown(frames.predictions(spark, sf), max_group=frames.in_all(spark, sf))
+    rows = metrics.fold_breakdown(frames.stored_predictions(spark, sf), max_group=frames.in_all(spark, sf))
     return rows.select("fold_index", F.col("n_predictions").cast("bigint"), "n_users", F.col("n_positive").cast("bigint"), r6("auroc").alias("auroc"))
 
 
@@ -190,7 +190,8 @@ def _(spark, sf):
     ("v_predictions",),
 )
 def _(spark, sf):
-    rows = frames.predictions(spark, sf)
+    # read by the tuning and by the calls
+    rows = frames.stored_predictions(spark, sf)
     tuned = metrics.tune_threshold(rows.filter("fold_index = 0"), (), frames.in_all(spark, sf))
     return metrics.apply_threshold(rows, tuned).select("survey_response_id", "y_pred")
 

@@ -48,7 +48,11 @@ class JoinSettings:
     def runs(self) -> int:
         """Runs for the target recall: the first split keeps a pair together with its similarity, each later one in one of two ways."""
         one = self.similarity * (1 - (1 - self.similarity) ** 2) ** (self.depth - 1)
-        return min(self.coordinates, math.ceil(math.log(1 - self.recall) / math.log(1 - one)))
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - one))
+
+    def width(self) -> int:
+        """Coordinates of a sketch: each run starts with one of its own, so there are as many as runs at least."""
+        return max(self.coordinates, self.runs())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -95,24 +99,24 @@ def sketches(docs: DataFrame, settings: JoinSettings) -> DataFrame:
 
     def run(batches):
         memo: dict[str, int] = {}
-        odd, offset = coordinate_seeds(settings.coordinates)
+        odd, offset = coordinate_seeds(settings.width())
         for batch in batches:
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
                 sets = [shingles(t, settings.words, memo) for t in part.column(2).to_pylist()]
                 size = np.array([len(s) for s in sets])
                 some = np.flatnonzero(size)
-                coordinates = np.zeros((len(sets), settings.coordinates), np.int64)
+                coordinates = np.zeros((len(sets), settings.width()), np.int64)
                 node = [b"" for _ in sets]
                 if len(some):
                     flat, first = np.concatenate([sets[i] for i in some]), np.r_[0, np.cumsum(size[some])[:-1]]
-                    for c in range(settings.coordinates):
+                    for c in range(settings.width()):
                         coordinates[some, c] = np.minimum.reduceat(flat * odd[c] + offset[c], first).view(np.int64)
                     a, b = np.add.reduceat(flat, first), np.add.reduceat(mixed(flat + np.uint64(1)), first)
                     for i, x, y in zip(some, a.tolist(), b.tolist()):
                         node[i] = x.to_bytes(8, "big") + y.to_bytes(8, "big")
                 values = pa.array(coordinates.ravel())
-                ends = pa.array(np.arange(0, len(sets) * settings.coordinates + 1, settings.coordinates), pa.int32())
+                ends = pa.array(np.arange(0, len(sets) * settings.width() + 1, settings.width()), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.ListArray.from_arrays(ends, values)], names=names
                 )
@@ -143,7 +147,7 @@ def leaves(nodes: DataFrame, settings: JoinSettings) -> DataFrame:
         if large.isEmpty():
             break
         split = cut_lineage(large.join(sketch, "node"))
-        chosen = [F.pmod(F.xxhash64("bucket", F.lit(way)), F.lit(settings.coordinates)).cast("int") for way in (1, 2)]
+        chosen = [F.pmod(F.xxhash64("bucket", F.lit(way)), F.lit(settings.width())).cast("int") for way in (1, 2)]
         # how often two nodes of the bucket agree in the first coordinate is their mean similarity;
         # where it is high a split would only repeat the bucket, so it is compared as it is
         agree = split.groupBy("bucket", F.get("sketch", chosen[0]).alias("value")).agg(F.count("*").alias("k"))

@@ -265,12 +265,12 @@ SELECT fold_index, CAST(sum(number) % 4294967296 AS BIGINT) AS test_user_hash, C
 )
 def _(spark, sf):
     metrics = ["precision", "recall", "specificity"]
-    wide = binary_metrics(
-        score_table(frames.predictions(spark, sf), ["fold_index"]), ["fold_index"], max_group=frames.in_all(spark, sf)
-    )
+    # read by the metrics and twice by the identity
+    tested = frames.stored_predictions(spark, sf)
+    wide = binary_metrics(score_table(tested, ["fold_index"]), ["fold_index"], max_group=frames.in_all(spark, sf))
     long = melt_metrics(wide, ["fold_index"], metrics)
     rows = fold_metrics_wide(long, ["fold_index"], metrics)
-    known = fold_identity(frames.master(spark, sf), frames.predictions(spark, sf))
+    known = fold_identity(frames.master(spark, sf), tested)
     written = sink_fold_metrics(rows, shared_path(spark, "fold-metrics"), {"pipeline": "protocol"}, known)
     return written.select("pipeline", "fold_index", "test_user_hash", "test_n_responses", *[r6(m).alias(m) for m in metrics])
 

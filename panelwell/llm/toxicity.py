@@ -10,7 +10,8 @@ Terms are 64-bit hashes, so neither tasks nor the driver hold them as strings.
 The examples' vectors form an inverted index in blocks of examples: each term knows its largest
 weight in each block. Lists of frequent terms are kept as dense blocks, those of rare ones as postings. A batch of
 texts reads the few blocks of largest bound first; of the others only those whose bound reaches the k-th best cosine
-found so far are read. Blocks are added up in single precision with a bound on the error; all
+found so far are read. Where that spares little, the next batches read all blocks at once. Terms that stand in the same
+examples equally often are one list. Blocks are added up in single precision with a bound on the error; all
 examples that may belong to the nearest within that bound are finished in double precision. Votes of the neighbours are weighted by similarity and class share, and
 a logistic curve fitted on left-one-out votes turns them into probabilities.
 """
@@ -18,7 +19,7 @@ a logistic curve fitted on left-one-out votes turns them into probabilities.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -35,10 +36,17 @@ PREFIXES = (4, 5, 6)
 MEMO = 300_000
 #: Numbers of the dense blocks; bounds their memory, and terms beyond it are kept as postings.
 DENSE = 1 << 24
+#: Characters of the texts whose new words are looked up together.
+TOGETHER = 500_000
+#: Bytes that end a word become spaces, A-Z lower case; all bytes of characters beyond ASCII stay.
+TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Texts searched together, and blocks that each reads first.
 BATCH, FIRST = 250, 6
-#: A term in this share of the examples (one in so many) is frequent.
-SHARE = 64
+#: Where the bounds left a batch more than half of its blocks to read, so many batches read all blocks at once before they are tried again.
+UNTRIED = 15
+#: A term in this share of the examples (one in so many) is frequent: its dense column costs each text less than the
+#: postings cost the texts that hold it.
+SHARE = 16
 
 
 @dataclass(frozen=True)
@@ -62,41 +70,86 @@ class Terms:
 
     def __init__(self, vocabulary: np.ndarray | None = None):
         self.vocabulary, self.memo = vocabulary, {}
-        self.table = np.zeros((1024, 1 + len(PREFIXES)), np.int64)
-        self.known = np.zeros(self.table.shape, bool)
+        # stands for no term: the place after the vocabulary's last, or a hash that no term has
+        self.none = 0 if vocabulary is None else len(vocabulary)
+        self.table = np.zeros((1024, 1 + len(PREFIXES)), np.int64 if vocabulary is None else np.int32)
+        self.seat = None if vocabulary is None else np.zeros(self.none + 1, np.int32)
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Collection[bytes]) -> None:
         if len(self.memo) + len(words) > MEMO:
             self.memo.clear()
         first, new = len(self.memo), [w for w in words if w not in self.memo]
         while first + len(new) > len(self.table):
-            self.table, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.table, self.known))
-        terms = [terms_of(w) for w in new]
-        flat = np.array([xxhash.xxh64_intdigest(t) for some in terms for t in some], np.uint64).view(np.int64)
-        found = np.ones(len(flat), bool)
-        if self.vocabulary is not None:
-            place = np.minimum(np.searchsorted(self.vocabulary, flat), max(0, len(self.vocabulary) - 1))
-            found = self.vocabulary[place] == flat if len(self.vocabulary) else ~found
-            flat = place
-        size = np.array([len(some) for some in terms], np.int64)
-        row = np.repeat(np.arange(first, first + len(new)), size)
-        column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        self.known[first:first + len(new)] = False
-        self.table[row, column], self.known[row, column] = flat, found
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[first:first + len(new)] = self.none
+        # ``terms_of`` by columns; a word of ASCII alone is cut as it is
+        texts = [w if w.isascii() else w.decode() for w in new]
+        star = {bytes: b"*", str: "*"}
+        for column, n in enumerate((0, *PREFIXES)):
+            long = [i for i, t in enumerate(texts) if len(t) >= n]
+            flat = np.array([xxhash.xxh64_intdigest(t[:n] + star[type(t)] if n else t) for t in map(texts.__getitem__, long)], np.uint64).view(np.int64)
+            if self.vocabulary is not None:
+                place = np.searchsorted(self.vocabulary, flat)
+                found = self.vocabulary[np.minimum(place, self.none - 1)] == flat if self.none else np.zeros(len(flat), bool)
+                flat = np.where(found, place, self.none)
+            self.table[first + np.array(long, np.int64), column] = flat
         self.memo.update(zip(new, range(first, first + len(new))))
 
+    def each(self, texts: Iterable[str | None], of: Callable[[Terms, np.ndarray], object]) -> Iterator:
+        """``of`` the table's rows of every text's words; the new words of some texts are learnt at once."""
+        held, size = [], 0
+        for text in texts:
+            if held and size + len(text or "") > TOGETHER:
+                yield from self._some(held, of)
+                held, size = [], 0
+            held.append(text or "")
+            size += len(text or "")
+        yield from self._some(held, of)
+
+    def _some(self, texts: list[str], of: Callable[[Terms, np.ndarray], object]) -> Iterator:
+        if len(texts) == 1:  # it may be long: each piece learns by itself
+            yield of(self, np.concatenate([self.rows(words, set(words)) for words in map(words_in, in_pieces(texts[0]))]))
+            return
+        lists = [words_in(text) for text in texts]
+        new = set().union(*lists)
+        for words in lists:
+            yield of(self, self.rows(words, new))
+            new = ()
+
+    def rows(self, words: list[bytes], new: Collection[bytes]) -> np.ndarray:
+        """The rows of the words in the table, once the new ones are learnt."""
+        if new:
+            self.learn(new)
+        return self.table[np.fromiter(map(self.memo.__getitem__, words), np.int32, len(words))]
+
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct terms of a text in order, and how often each occurs."""
-        parts = []
-        for piece in in_pieces(text or ""):
-            words = WORD.findall(piece.encode().lower().decode())  # the lower() of bytes is that of A-Z alone
-            try:
-                rows = [self.memo[w] for w in words]
-            except KeyError:
-                self.learn(set(words))
-                rows = [self.memo[w] for w in words]
-            parts.append(self.table[rows][self.known[rows]])
-        return np.unique(np.concatenate(parts), return_counts=True)
+        return next(self.each([text], Terms.counted))
+
+    def counted(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct terms in order, and how often each occurs."""
+        flat = found.ravel()
+        if self.seat is None:
+            return np.unique(flat[flat != self.none], return_counts=True)
+        # every place is held by one of its occurrences, for which all of them are counted; nothing is sorted but what is left
+        at = np.arange(len(flat), dtype=np.int32)
+        self.seat[flat] = at
+        holder = self.seat[flat]
+        first = np.flatnonzero((holder == at) & (flat != self.none))
+        ids, tf = flat[first], np.bincount(holder, minlength=len(flat))[first]
+        order = np.argsort(ids)
+        return ids[order], tf[order]
+
+    def distinct(self, found: np.ndarray) -> np.ndarray:
+        """The distinct places in the vocabulary, in no order."""
+        flat = found.ravel()
+        at = np.arange(len(flat), dtype=np.int32)
+        self.seat[flat] = at
+        return flat[(self.seat[flat] == at) & (flat != self.none)]
+
+
+def words_in(piece: str) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lower-cased."""
+    return piece.encode().translate(TO_WORDS).split()
 
 
 def spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,6 +167,30 @@ def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean
     return np.sqrt(np.maximum(0, 2 * total))
 
 
+def same_postings(term: np.ndarray, example: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+    """For each of n terms the first term that stands in the same examples, as often in each; itself if there is none."""
+    order = np.argsort(term, kind="stable")
+    term, example, tf = term[order], example[order], tf[order]
+    start = np.searchsorted(term, np.arange(n + 1))
+    count, used = np.diff(start), np.flatnonzero(np.diff(start))
+    first = np.arange(n)
+    if not len(used):
+        return first
+    h = (example.astype(np.uint64) << np.uint64(32) | tf.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    total = np.add.reduceat(h, start[used])
+    del h
+    place = np.lexsort((total, count[used]))
+    begins = np.r_[True, (np.diff(total[place]) != 0) | (np.diff(count[used][place]) != 0)]
+    first[used[place]] = used[place][np.flatnonzero(begins)][np.cumsum(begins) - 1]
+    # equal sums only nominate a term: the postings themselves are compared
+    other = np.repeat((start[first] - start[:-1]), count) + np.arange(len(term))
+    wrong = np.unique(term[(example[other] != example) | (tf[other] != tf)])
+    first[wrong] = wrong
+    return first
+
+
 def narrowed(counts: np.ndarray) -> np.ndarray:
     """The counts in the smallest type that holds them."""
     return counts.astype(np.min_scalar_type(int(counts.max())) if len(counts) else np.uint8)
@@ -133,18 +210,31 @@ class BlockMaxIndex:
         self.terms = np.concatenate([ids.astype(np.int32) for ids, _ in chosen] or [np.zeros(0, np.int32)])
         self.tf = narrowed(np.concatenate([tf for _, tf in chosen] or [np.zeros(0, np.int64)]))
         self.ends = np.r_[0, np.cumsum([len(ids) for ids, _ in chosen])].astype(np.int64)
+        self.first = same_postings(self.terms, self.examples(), self.tf, len(idf)).astype(np.int32)
+
+    def examples(self) -> np.ndarray:
+        """The example of each entry of ``terms``."""
+        return np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))
 
     def __getstate__(self) -> dict:
         """Counts alone are sent; what follows from them is computed where they arrive."""
-        return {name: getattr(self, name) for name in ("n", "block", "idf", "blocks", "order", "labels", "terms", "tf", "ends")}
+        return {name: getattr(self, name) for name in ("n", "block", "idf", "blocks", "order", "labels", "terms", "tf", "ends", "first")}
 
     def derive(self) -> None:
         """For the first search where the index is: weights, dense blocks with their largest weights, and postings of the rare terms."""
-        term, example = self.terms.astype(np.int64), np.repeat(np.arange(self.n), np.diff(self.ends))
-        weight = (1 + np.log(self.tf.astype(float))) * self.idf[term]
+        example = self.examples()
+        tf = 1 + np.log(self.tf.astype(float))
+        weight = tf * self.idf[self.terms]
         length = np.sqrt(np.bincount(example, weight * weight, self.n))
-        self.weight = weight = weight / np.where(length > 0, length, 1)[example]
-        count = np.bincount(term, minlength=len(self.idf))
+        scale = (1 / np.where(length > 0, length, 1))[example]
+        self.weight = weight * scale
+        # terms of equal postings, such as a rare word and its beginnings, are one list, whose weights lack the term's own factor
+        lists = np.flatnonzero(self.first == np.arange(len(self.first)))
+        self.list = np.searchsorted(lists, self.first).astype(np.int32)
+        kept = np.flatnonzero(self.first[self.terms] == self.terms)
+        term, example, weight = self.list[self.terms[kept]], example[kept], (tf[kept] * scale[kept]).astype(np.float32)
+        del tf, scale, kept
+        count = np.bincount(term, minlength=len(lists))
         often = np.lexsort((np.arange(len(count)), -count))[:DENSE // max(1, self.n)]
         often = np.sort(often[count[often] >= max(2, self.n // SHARE)])
         self.column = np.full(len(count), -1, np.int32)
@@ -155,10 +245,18 @@ class BlockMaxIndex:
         self.most = self.dense.reshape(self.blocks, self.block, -1).max(axis=1) if self.n else np.zeros((0, len(often)), np.float32)
         place = np.flatnonzero(~inside)
         place = place[np.argsort(term[place], kind="stable")]
-        self.posted, self.posted_weight = example[place], weight[place]
-        self.start = np.searchsorted(term[place], np.arange(len(count) + 1)).astype(np.int32)
-        # of sums in single precision, all of positive numbers that add up to one at most
-        self.slack = 2.0 ** -22 * (len(often) + 4096)
+        # an example and its weight are read as one number
+        self.posted = np.stack([example[place], weight[place].view(np.int32)], axis=1).view(np.int64).ravel()
+        self.start = np.r_[0, np.cumsum(np.where(self.column < 0, count, 0))]
+        self.untried = 0
+
+    def listed(self, ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of a text's terms, each once, and their weights."""
+        lists = self.list[ids]
+        order = np.argsort(lists)
+        lists = lists[order]
+        begins = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        return lists[begins], np.add.reduceat((values * self.idf[ids])[order], begins)
 
     def vector(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
         """Weights (1 + ln tf) idf, scaled to length one."""
@@ -178,20 +276,26 @@ class BlockMaxIndex:
     def _batch(self, texts: Sequence[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
         m, padded = len(texts), self.blocks * self.block
         values = [self.vector(*t) if len(t[0]) else np.zeros(0) for t in texts]
-        row = np.repeat(np.arange(m), [len(v) for v in values])
-        ids, value = np.concatenate([i for i, _ in texts]).astype(np.int64), np.concatenate(values)
-        column = self.column[ids]
-        asked = np.zeros((m, self.dense.shape[1]), np.float32)
-        asked[row[column >= 0], column[column >= 0]] = value[column >= 0]
-        rare = column < 0
-        at, size = spans(self.start[ids[rare]].astype(np.int64), self.start[ids[rare] + 1].astype(np.int64))
-        place = np.repeat(row[rare], size) * padded + self.posted[at]
-        base = np.bincount(place, np.repeat(value[rare], size) * self.posted_weight[at], m * padded).astype(np.float32).reshape(m, padded)
-        bound = asked @ self.most.T + base.reshape(m, self.blocks, self.block).max(axis=2)
+        asked, base, most = np.zeros((m, self.dense.shape[1]), np.float32), np.zeros((m, padded), np.float32), 0
+        for i, (ids, _) in enumerate(texts):
+            if not len(ids):
+                continue
+            lists, value = self.listed(ids, values[i])
+            column = self.column[lists]
+            often, rare = column >= 0, column < 0
+            asked[i, column[often]] = value[often]
+            most = max(most, int(often.sum()))
+            lists, value = lists[rare], value[rare].astype(np.float32)
+            at, size = spans(self.start[lists], self.start[lists + 1])
+            found = self.posted.take(at).view(np.int32).reshape(-1, 2)
+            base[i] = np.bincount(found[:, 0], np.repeat(value, size) * found[:, 1].view(np.float32), padded)
+        # sums in single precision of positive numbers are off by this share at most: a rounding for every number
+        # added, two for what it is made of, and some for the rare terms; twice, as two sums are compared
+        slack = 2 * (most + 16) * 2.0 ** -23
         scores = np.full((m, padded), -1.0, np.float32)
 
         def read(wanted: np.ndarray) -> np.ndarray:
-            """Adds up the wanted (text, block) pairs; returns what the k-th best of each text reaches at least."""
+            """Adds up the wanted (text, block) pairs; returns what sums must reach that may belong to the k best of each text."""
             if 2 * wanted.sum() > wanted.size:  # one product is faster than many small ones
                 np.add(asked @ self.dense.T, base, out=scores)
                 wanted = np.zeros_like(wanted)
@@ -202,19 +306,27 @@ class BlockMaxIndex:
                 scores[np.arange(m), without] = -1.0
             if k >= padded:
                 return np.zeros(m)
-            return np.maximum(0.0, np.partition(scores, padded - k, axis=1)[:, padded - k] - self.slack)
-
-        first = np.zeros((m, self.blocks), bool)
-        first[np.arange(m)[:, None], np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]] = True
-        floor = read(first)
-        floor = read(~first & (bound >= floor[:, None] - self.slack))
+            best = np.partition(scores, padded - k, axis=1)[:, padded - k].astype(float)
+            # cosines are told apart to twelve places
+            return np.maximum(0.0, best * (1 - slack) - 1e-11)
+
+        if self.untried:
+            self.untried -= 1
+            floor = read(np.ones((m, self.blocks), bool))
+        else:
+            bound = asked @ self.most.T + base.reshape(m, self.blocks, self.block).max(axis=2)
+            first = np.zeros((m, self.blocks), bool)
+            first[np.arange(m)[:, None], np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]] = True
+            floor = read(first)
+            more = ~first & (bound >= floor[:, None])
+            self.untried = UNTRIED if 2 * more.sum() > more.size else 0
+            floor = read(more)
         spread, out = np.zeros(len(self.idf)), []
         for i in range(m):
-            some = np.flatnonzero((scores[i, :self.n] >= floor[i] - self.slack) & (scores[i, :self.n] > 0))
+            some = np.flatnonzero((scores[i, :self.n] >= floor[i]) & (scores[i, :self.n] > 0))
             # the text's vector spread out over all terms, to finish the examples that are left
             spread[texts[i][0]] = values[i]
-            at, size = spans(self.ends[some], self.ends[some + 1])
-            found = np.bincount(np.repeat(np.arange(len(some)), size), spread[self.terms[at]] * self.weight[at], len(some))
+            found = np.array([spread.take(self.terms[a:b]) @ self.weight[a:b] for a, b in zip(self.ends[some].tolist(), self.ends[some + 1].tolist())])
             spread[texts[i][0]] = 0.0
             some, found = some[found > 0], found[found > 0]
             best = np.lexsort((some, -np.round(found, 12)))[:k]
@@ -309,9 +421,10 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         terms, total = Terms(shared()), np.zeros(n + 1, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                found = [terms.counts(text)[0] for text in batch.column(0).slice(start, 500).to_pylist()]
-                total[:n] += np.bincount(np.concatenate(found).astype(np.int64), minlength=n)
-                total[n] += len(found)
+                texts = batch.column(0).slice(start, 500).to_pylist()
+                for found in terms.each(texts, Terms.distinct):
+                    total[found] += 1
+                total[n] += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "df"])
 
     # bounded by the examples' terms
@@ -394,7 +507,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 rows = [] if fitted else [(0.0, 0, 0.0, 0, [])] * part.num_rows
-                for vote, members, cosines in fitted.votes([terms.counts(t) for t in part.column(2).to_pylist()]) if fitted else ():
+                for vote, members, cosines in fitted.votes(list(terms.each(part.column(2).to_pylist(), Terms.counted))) if fitted else ():
                     named = [fitted.examples[i] for i in members[:3].tolist()]
                     rows.append((fitted.score(vote), len(members), float(cosines[0]) if len(cosines) else 0.0, int(fitted.index.labels[members].sum()), named))
                 score, near, cosine, toxic, named = zip(*rows) if rows else ((), (), (), (), ())
